@@ -120,27 +120,28 @@ def fields(ddl: str) -> T.StructType:
 
 
 def label_sample(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_label: int
-) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_label`` training documents of each label value, chosen by a hash of doc_id.
-
-    Labels are read only from documents outside the held-out part.  The choice reads two narrow columns; texts are
-    fetched afterwards for the chosen ids only, so neither a shuffle nor the driver ever sees more texts than the
-    documented bound.  A null text counts as empty; null labels take no part; a doc_id that has both labels keeps the larger.
+    docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_label: int
+) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(text, label) of at most ``per_label`` training documents of each label value, and the full count of each value.
+
+    Labels are read only from documents outside the held-out part.  The choice, the smallest hashes of doc_id, reads
+    two narrow columns; texts are fetched afterwards for the chosen ids only, so neither a shuffle nor the driver
+    sees more texts than the documented bound.  A null text counts as empty; null labels and ids take no part; a
+    doc_id with both labels keeps the larger, one with several texts the smallest.
     """
-    from pyspark.sql import Window
-
-    lab = (
+    spark = docs.sparkSession
+    y = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("y"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
     )
-    ids = docs.select("doc_id").distinct().join(lab, "doc_id")
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_label).select("doc_id", "y")
-    rows = [(r.doc_id, r.y) for r in chosen.collect()]  # bounded: per_label ids per label value
+    totals = {r.y: r.n for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = []
+    for value in sorted(totals):  # a top-k by hash: no task holds more than per_label rows
+        rows += [(r.doc_id, r.y) for r in y.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
     if not rows:
-        return []
-    small = spark.createDataFrame(rows, "doc_id long, y int")
+        return [], {}
+    small = spark.createDataFrame(rows, "doc_id long, y int")  # at most per_label rows a label value
     got = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
-    return [(r.text or "", r.y) for r in sorted(got.collect(), key=lambda r: r.doc_id)]
+    return [(r.text or "", r.y) for r in sorted(got.collect(), key=lambda r: r.doc_id)], totals
