@@ -32,7 +32,7 @@ from . import _common as C
 #: Training documents of each label value at most.
 PER_LABEL = 2000
 LANDMARKS = 160
-LAMBDA = 0.7
+LAMBDA = 0.9
 SPAN = 6
 #: Longer units are cut into windows of this many letters, each starting half a window after the last.
 WINDOW = 24
