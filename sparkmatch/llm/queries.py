@@ -1,16 +1,17 @@
 """The queries of the training-data operators: each applies its operator to its whole table and returns the digest columns.
 
-No result here can be expressed in SQL, so ``ORACLE_SQL`` is empty; ``tests/llm`` hold each query against the
-library concerned, a brute-force version or held-out accuracy.
+``ORACLE_SQL`` has the one query that SQL can express; ``tests/llm`` hold the others against the library concerned, a
+brute-force version or held-out accuracy.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, token_counts
+from . import bpe, decontam, langid, quality, token_counts, topk, toxicity
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -21,10 +22,57 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, keep_text=False)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = C.table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.train(docs, parts=3, part=1)
+    asked = docs.select("doc_id", C.held_out("doc_id", 3, 1).alias("held_out"), "text")
+    return langid.identify(asked, model, keep_text=False)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontam.leaks(docs, C.table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
+    machine = toxicity.train(docs, C.table(spark, sf_dir, "labels", "doc_id", "toxic"), parts=5, part=0)
+    asked = docs.select("doc_id", C.held_out("doc_id", 5, 0).alias("held_out"), "text")
+    return toxicity.score(asked, machine, threshold=0.5, keep_text=False)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path(PIECE_BPE), limit=4096, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, C.table(spark, sf_dir, "labels", "doc_id", "quality"), parts=4, part=2)
+    asked = docs.select("doc_id", C.held_out("doc_id", 4, 2).alias("held_out"), "text")
+    return quality.score(asked, model, threshold=0.7, keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_top_k, op5_language, op6_decontamination, op7_toxicity, op8_token_counts, op10_quality)}
+
+_SHINGLES = """
+  select {key}, array_to_string(w[i:least(i + 4, len(w))], ' ') as s
+  from (select {key}, w, unnest(range(1, greatest(len(w) - 3, 2))) as i
+        from (select {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from {table}) where len(w) > 0)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+with item as (select distinct * from ({_SHINGLES.format(key="item_id", table="benchmark")})),
+     held as (select distinct * from ({_SHINGLES.format(key="doc_id", table="documents")})),
+     sizes as (select item_id, count(*) as n_shingles from item group by 1),
+     found as (select doc_id, item_id, count(*) as n_found from held join item using (s) group by 1, 2)
+select doc_id, item_id, n_found, n_shingles, n_found / n_shingles as containment
+from found join sizes using (item_id) where n_found >= 0.8 * n_shingles
+""",
+}
