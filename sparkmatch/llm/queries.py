@@ -6,12 +6,14 @@ brute-force version or held-out accuracy.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, decontam, langid, near_dup, quality, token_counts, topk, toxicity
+from . import bpe, decontam, langid, near_dup, quality, token_counts, topk, toxicity, training_order
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -55,6 +57,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path(PIECE_BPE), limit=4096, keep_text=False)
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
+    base = f"{C.scratch_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    return training_order.write(docs, public_tokenizers.path(PIECE_BPE), base)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.train(docs, C.table(spark, sf_dir, "labels", "doc_id", "quality"), parts=4, part=2)
@@ -62,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(asked, model, threshold=0.7, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_top_k, op3_near_duplicates, op5_language, op6_decontamination, op7_toxicity, op8_token_counts, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_top_k, op3_near_duplicates, op5_language, op6_decontamination, op7_toxicity, op8_token_counts, op9_training_order, op10_quality)}
 
 _SHINGLES = """
   select {key}, array_to_string(w[i:least(i + 4, len(w))], ' ') as s

@@ -58,7 +58,6 @@ class PieceCounter:
         #: The proof of the shortcut: strings that the model, given them alone, encodes as themselves.
         self.whole = {p: i for p, i in ((p, self._merge(p)) for p in normal if p == p.lstrip(MARK) or p[0] == MARK) if len(i) == 1}
         self.n_whole = len(self.whole)
-        self.codes: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece by the model's merges.  The library puts a mark first, which the piece must then have."""
@@ -77,27 +76,46 @@ class PieceCounter:
         """The independent pieces of a text, which is first marked as the model does; none for an empty text."""
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def code(self, piece: str) -> tuple[int, ...]:
-        got = self.whole.get(piece) or self.codes.get(piece)
-        if got is None:
-            got = self._merge(piece)
-            if len(self.codes) < CACHE_ENTRIES and len(piece) <= CACHE_CHARS:
-                self.codes[piece] = got
-        return got
+    def ids(self, piece: str) -> tuple[int, ...]:
+        return self.whole.get(piece) or self._merge(piece)
+
+    def plain(self, text: str) -> bool:
+        """Whether the words between single spaces are independent of each other: no run of spaces, none at an end."""
+        return bool(text) and MARK not in text and text[0] != " " and text[-1] != " " and "  " not in text
+
+
+class WordTable(dict):
+    """Word between spaces to what ``value`` makes of its ids; one is worked out when it is first asked for.
 
+    A word holds one independent piece or more (marks that nothing merges with cut it); only pieces that are not
+    proved whole tokens are merged.
+    """
+
+    def __init__(self, counter: PieceCounter, value):
+        super().__init__()
+        self.counter, self.value = counter, value
+
+    def __missing__(self, word: str):
+        got = self.of_pieces(MARK + word)
+        if len(self) < CACHE_ENTRIES and len(word) <= CACHE_CHARS:
+            self[word] = got
+        return got
 
-class CountTable(dict):
-    """Piece to number of tokens: one for the proved whole tokens; others are merged when first asked for."""
+    def of_pieces(self, marked: str):
+        ids = self.counter.ids
+        return self.value([i for p in self.counter.cut.findall(marked) for i in ids(p)])
 
-    def __init__(self, counter: PieceCounter):
-        super().__init__(dict.fromkeys(counter.whole, 1))
-        self.counter = counter
+    def total(self, text: str) -> int:
+        """Sum of the values of a text's words; for values that are numbers."""
+        if self.counter.plain(text):
+            return sum(map(self.__getitem__, text.split(" ")))
+        return self.of_pieces(MARK + text.replace(" ", MARK)) if text else 0
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.counter._merge(piece))
-        if len(self) < CACHE_ENTRIES and len(piece) <= CACHE_CHARS:
-            self[piece] = n
-        return n
+    def joined(self, text: str) -> bytes:
+        """The values of a text's words joined; for values that are bytes."""
+        if self.counter.plain(text):
+            return b"".join(map(self.__getitem__, text.split(" ")))
+        return self.of_pieces(MARK + text.replace(" ", MARK)) if text else b""
 
 
 @cache
@@ -106,8 +124,8 @@ def load(path: str) -> PieceCounter:
 
 
 @cache
-def counts(path: str) -> CountTable:
-    return CountTable(load(path))
+def counts(path: str) -> WordTable:
+    return WordTable(load(path), len)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -115,11 +133,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
     C.prepare(docs.sparkSession)
 
     def make():
-        pieces, table = load(path).pieces, counts(path)
+        table = counts(path)
 
         def block(texts):
             texts = [t or "" for t in texts]
-            n = [sum(map(table.__getitem__, pieces(t))) for t in texts]
+            n = [table.total(t) for t in texts]
             return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
         return block
