@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
-from . import bpe, decontam, langid, near_dup, quality, token_counts, topk, toxicity, training_order
+from . import bpe, decontam, html_text, langid, near_dup, quality, token_counts, topk, toxicity, training_order
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -33,6 +33,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(C.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = C.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_text.extract(pages, html_text.trained(), keep_html=False)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.train(docs, parts=3, part=1)
@@ -70,7 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(asked, model, threshold=0.7, keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_top_k, op3_near_duplicates, op5_language, op6_decontamination, op7_toxicity, op8_token_counts, op9_training_order, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_top_k, op3_near_duplicates, op4_html_text, op5_language, op6_decontamination, op7_toxicity, op8_token_counts, op9_training_order, op10_quality)}
 
 _SHINGLES = """
   select {key}, array_to_string(w[i:least(i + 4, len(w))], ' ') as s
