@@ -22,8 +22,10 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _common as C
 
@@ -237,9 +239,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that each array of ids stands for; null for a null array, an error for an unknown id."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     C.prepare(tokens.sparkSession)
 
     @F.pandas_udf("binary")
