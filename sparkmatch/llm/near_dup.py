@@ -39,7 +39,7 @@ BANDS, ROWS = 20, 5
 DF_BITS = 18
 CAP = 64
 STEPS = 8
-TILE = 64
+TILE = 256
 #: Bits of the filter on texts in pairs: 4 MB at every size.  A fuller filter lets more texts through, never fewer.
 FILTER_BITS = 1 << 25
 
