@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 
 #: Text bytes that one call of an operator's block function sees at most (a longer single text comes alone).
 BLOCK_BYTES = 6 << 20
-#: Rows of one Arrow batch between the JVM and Python; Spark also bounds a batch by bytes.
+#: Rows and bytes of one Arrow batch between the JVM and Python; a single larger row comes alone.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,6 +32,7 @@ def prepare(spark: SparkSession) -> None:
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (_ROOT, env.get("PYTHONPATH", "")) if p)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -39,7 +39,7 @@ BANDS, ROWS = 20, 5
 DF_BITS = 18
 CAP = 64
 STEPS = 8
-TILE = 256
+TILE = 128
 #: Bits of the filter on texts in pairs: 4 MB at every size.  A fuller filter lets more texts through, never fewer.
 FILTER_BITS = 1 << 25
 
@@ -209,13 +209,13 @@ def _verify(batches):
     """Pairs (a, b) that are linked, of rows (a, b, ea, wa, eb, wb)."""
     for batch in batches:
         keep = []
-        for i, (ea, wa, eb, wb) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
-            ea, eb = np.frombuffer(ea, _U), np.frombuffer(eb, _U)
-            wa, wb = np.frombuffer(wa, np.uint8), np.frombuffer(wb, np.uint8)
+        for i in range(len(batch)):  # row by row: a batch of long texts is not copied as a whole
+            ea, wa, eb, wb = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((2, _U), (3, np.uint8), (4, _U), (5, np.uint8)))
             at = np.minimum(np.searchsorted(ea, eb), len(ea) - 1)
             if linked(int(wb[ea[at] == eb].sum(dtype=np.int64)), int(wa.sum(dtype=np.int64)), int(wb.sum(dtype=np.int64))):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
 def common_weights(elements: list[np.ndarray], weights: list[np.ndarray], columns: int = 8192) -> np.ndarray:
