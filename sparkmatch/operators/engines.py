@@ -56,8 +56,12 @@ def _extend(partial: DataFrame, step: Step, edges: DataFrame, check: Callable[[i
 
 
 def _binary(index: Index, plan: list[Step], edges: Callable[[int, int], DataFrame], check: Callable[[int, int], DataFrame]) -> DataFrame:
-    out = _root(plan[0], index.candidates.of[plan[0].u])
-    for step in plan[1:]:
+    out, rest = _root(plan[0], index.candidates.of[plan[0].u]), plan[1:]
+    if rest and index.candidates.notes.get("label_only"):  # every end of an edge of the label pair is a candidate
+        second = rest.pop(0)
+        e = edges(second.near[0], second.u)
+        out = e.select(F.col("src").alias(col(plan[0].u)), F.col("dst").alias(col(second.u))).where(second.accepts(F.col(col(second.u))))
+    for step in rest:
         out = _extend(out, step, edges(step.near[0], step.u), lambda w, u=step.u: check(w, u))
     return _ordered(out, len(plan))
 
@@ -127,7 +131,7 @@ def lftj(index: Index, plan: list[Step]) -> DataFrame:
 
 def ceci(index: Index, plan: list[Step]) -> DataFrame:
     c = index.candidates
-    return lftj(build(filters.ceci(c.graph, c.query, root=plan[0].u)), plan)
+    return lftj(build(filters.make("ceci", c.graph, c.query, root=plan[0].u)), plan)
 
 
 def rm(index: Index, plan: list[Step]) -> DataFrame:

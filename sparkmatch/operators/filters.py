@@ -59,6 +59,12 @@ def prune(c: Candidates, u: int, near: list[int]) -> None:
         c.of[u] = c.of[u].join(_toward(c, u, w).select(F.col("src").alias("v")), "v", "left_semi")
 
 
+def label(graph: DataGraph, query: QueryGraph) -> Candidates:
+    """Same label alone.  Costs nothing: the edges of a label pair need no further semi-join."""
+    of = {u: graph.vertices.where(F.col("label") == query.labels[u]).select(F.col("id").alias("v")) for u in range(len(query))}
+    return Candidates(query, graph, of, {"label_only": True})
+
+
 def ldf(graph: DataGraph, query: QueryGraph) -> Candidates:
     """Same label, at least the degree."""
     of = {
@@ -145,16 +151,23 @@ def _matches(need: int):
     return run
 
 
-def _sweep(c: Candidates, order, visit: Callable[[int], None], store: Store | None) -> Candidates:
+def narrowed(graph: DataGraph, query: QueryGraph, store: Store) -> DataGraph:
+    """The part of a graph with the query's labels, written once to be read by every step of a filter."""
+    labels = sorted(set(query.labels))
+    edges = graph.edges.where(F.col("src_label").isin(labels) & F.col("dst_label").isin(labels))
+    return DataGraph(store.put(graph.vertices.where(F.col("label").isin(labels))), store.put(edges.sortWithinPartitions("src_label", "dst_label")))
+
+
+def _sweep(c: Candidates, order, visit: Callable[[int], None], store: Store) -> None:
+    """Visits the vertices in order.  What a visit leaves is written, since several later visits read it."""
     for u in order:
+        before = c.of[u]
         visit(u)
-    if store:
-        new = c.stored(store)
-        c.of.update(new.of)
-    return c
+        if c.of[u] is not before:
+            c.of[u] = store.put(c.of[u])
 
 
-def gql(graph: DataGraph, query: QueryGraph, store: Store | None = None, sweeps: int = 2) -> Candidates:
+def gql(graph: DataGraph, query: QueryGraph, store: Store, sweeps: int = 2) -> Candidates:
     """``nlf``, then sweeps in order of id: a candidate's neighbours must match all neighbours of u."""
     c = nlf(graph, query)
     for _ in range(sweeps):
@@ -162,7 +175,7 @@ def gql(graph: DataGraph, query: QueryGraph, store: Store | None = None, sweeps:
     return c
 
 
-def calig(graph: DataGraph, query: QueryGraph, store: Store | None = None) -> Candidates:
+def calig(graph: DataGraph, query: QueryGraph, store: Store) -> Candidates:
     """``ldf``, then three sweeps, forward, back and forward, with the same test."""
     c, ids = ldf(graph, query), list(range(len(query)))
     for order in (ids, ids[::-1], ids):
@@ -183,7 +196,7 @@ def _root(root: int | None, choose: Callable[[], int]) -> int:
     return choose() if root is None else root
 
 
-def _tree_filter(c: Candidates, tree: T.Tree, down: Callable[[int], list[int]], up: Callable[[int], list[int]], store: Store | None) -> Candidates:
+def _tree_filter(c: Candidates, tree: T.Tree, down: Callable[[int], list[int]], up: Callable[[int], list[int]], store: Store) -> Candidates:
     """Top-down with ``down`` of each vertex, then bottom-up with ``up``."""
     _sweep(c, tree.order, lambda u: prune(c, u, down(u)), store)
     _sweep(c, tree.order[::-1], lambda u: prune(c, u, up(u)), store)
@@ -191,27 +204,26 @@ def _tree_filter(c: Candidates, tree: T.Tree, down: Callable[[int], list[int]],
     return c
 
 
-def tso(graph: DataGraph, query: QueryGraph, store: Store | None = None, root: int | None = None) -> Candidates:
+def tso(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """Down the breadth-first tree by parents, then up by children."""
     c = nlf(graph, query)
     tree = T.breadth_first(query, _root(root, lambda: T.root_by_frequency(query, label_counts(graph, query)[0], c.counts(), label_counts(graph, query)[1])))
     return _tree_filter(c, tree, lambda u: [] if tree.parent[u] is None else [tree.parent[u]], tree.children, store)
 
 
-def cfl(graph: DataGraph, query: QueryGraph, store: Store | None = None, root: int | None = None) -> Candidates:
+def cfl(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """Level by level: forward by all neighbours before, back by later neighbours of the level; then up by deeper neighbours."""
     c = nlf(graph, query)
     tree = T.breadth_first(query, _root(root, lambda: T.root_in_core(query, label_counts(graph, query)[0], c.counts())))
     for level in tree.levels():
-        for u in level:
-            prune(c, u, tree.before(u))
+        _sweep(c, level, lambda u: prune(c, u, tree.before(u)), store)
         _sweep(c, level[::-1], lambda u: prune(c, u, [w for w in tree.after(u) if tree.level[w] == tree.level[u]]), store)
     _sweep(c, tree.order[::-1], lambda u: prune(c, u, tree.deeper(u)), store)
     c.notes["tree"] = tree
     return c
 
 
-def dpiso(graph: DataGraph, query: QueryGraph, store: Store | None = None, root: int | None = None) -> Candidates:
+def dpiso(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """``ldf``, then over the breadth-first directed graph: forward, backward, forward."""
     c = ldf(graph, query)
     tree = T.breadth_first(query, _root(root, lambda: T.root_by_ratio(query, c.counts(), leaves=False)))
@@ -222,7 +234,7 @@ def dpiso(graph: DataGraph, query: QueryGraph, store: Store | None = None, root:
     return c
 
 
-def ceci(graph: DataGraph, query: QueryGraph, store: Store | None = None, root: int | None = None) -> Candidates:
+def ceci(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """Down the tree by the parent and then by the other neighbours before; up by every neighbour after.
 
     Going up, a candidate stays only if each later neighbour has a candidate beside it, that is while its number of
@@ -252,7 +264,7 @@ def _still(c: Candidates, u: int) -> DataFrame:
     return out
 
 
-def veq(graph: DataGraph, query: QueryGraph, store: Store | None = None, root: int | None = None) -> Candidates:
+def veq(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """``ldf`` and one sweep by all neighbours; then three sweeps over the directed graph, back, forward and back.
 
     A sweep tests neighbour counts over those that are still candidates, and the neighbours after (before, going forward).
@@ -272,7 +284,7 @@ def veq(graph: DataGraph, query: QueryGraph, store: Store | None = None, root: i
     return c
 
 
-def rm(graph: DataGraph, query: QueryGraph, store: Store | None = None) -> Candidates:
+def rm(graph: DataGraph, query: QueryGraph, store: Store) -> Candidates:
     """Relational: one relation for each query edge, its ends filtered by neighbour labels, then a full reducer of semi-joins.
 
     The reducer goes along the degeneracy order and back, twice; each vertex is reduced by its neighbours on one side.
@@ -286,9 +298,8 @@ def rm(graph: DataGraph, query: QueryGraph, store: Store | None = None) -> Candi
     return c
 
 
-def steady(graph: DataGraph, query: QueryGraph, store: Store | None = None, start: Candidates | None = None) -> Candidates:
+def steady(graph: DataGraph, query: QueryGraph, store: Store, start: Candidates | None = None) -> Candidates:
     """Sweeps by all neighbours until no candidate goes any more: the fixpoint of arc consistency from ``start`` (``nlf`` if not given)."""
-    store = store or Store(graph.vertices.sparkSession, "steady")
     c = (start or nlf(graph, query)).stored(store)
     n = sum(c.counts().values())
     while True:
@@ -305,12 +316,14 @@ def false_positive_ratio(c: Candidates, least: Candidates) -> float:
     return sum((a[u] - b[u]) / a[u] if a[u] else 0.0 for u in a) / max(1, len(a))
 
 
-FILTERS: dict[str, Callable[..., Candidates]] = {"ldf": ldf, "nlf": nlf, "gql": gql, "tso": tso, "cfl": cfl, "dpiso": dpiso, "ceci": ceci, "veq": veq, "rm": rm, "calig": calig, "steady": steady}
+FILTERS: dict[str, Callable[..., Candidates]] = {"label": label, "ldf": ldf, "nlf": nlf, "gql": gql, "tso": tso, "cfl": cfl, "dpiso": dpiso, "ceci": ceci, "veq": veq, "rm": rm, "calig": calig, "steady": steady}
 
 
 def make(name: str, graph: DataGraph, query: QueryGraph, store: Store | None = None, root: int | None = None) -> Candidates:
+    """The named filter.  Those with sweeps write their steps to ``store``, or to one of their own."""
     if name not in FILTERS:
         raise ValueError(f"no filter {name!r}; there are {', '.join(FILTERS)}")
-    if name in ("ldf", "nlf"):
+    if name in ("label", "ldf", "nlf"):
         return FILTERS[name](graph, query)
-    return FILTERS[name](graph, query, store, **({"root": root} if name in ("tso", "cfl", "dpiso", "ceci", "veq") else {}))
+    store = store or Store(graph.vertices.sparkSession, f"filter-{name}")
+    return FILTERS[name](narrowed(graph, query, store), query, store, **({"root": root} if name in ("tso", "cfl", "dpiso", "ceci", "veq") else {}))

@@ -63,6 +63,7 @@ def build(c: Candidates, store: Store | None = None) -> Index:
     of = {}
     for u, w in sorted(c.query.edges):
         e = c.graph.step(c.query, u, w)
-        e = e.join(c.of[u].select(F.col("v").alias("src")), "src", "left_semi").join(c.of[w].select(F.col("v").alias("dst")), "dst", "left_semi")
+        if not c.notes.get("label_only"):
+            e = e.join(c.of[u].select(F.col("v").alias("src")), "src", "left_semi").join(c.of[w].select(F.col("v").alias("dst")), "dst", "left_semi")
         of[u, w] = store.put(e) if store else e
     return Index(c, of)

@@ -104,7 +104,9 @@ def prepare(
     """
     if engine not in engines.ENGINES:
         raise ValueError(f"no engine {engine!r}; there are {', '.join(engines.ENGINES)}")
-    c = filters.make(filter, graph, query, store, root)
+    c = filters.make(filter, filters.narrowed(graph, query, store) if store else graph, query, store, root)
+    if store and filter != "label":
+        c = c.stored(store)
     index = build(c, store)
     if isinstance(order, str):
         name, chosen = order, orders.make(order, query, index.stats(paths=order in ("tso", "cfl")) if order != "ri" else orders.Stats({}, {}))
