@@ -35,6 +35,19 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_holder: list = ["", lambda: None]
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called by an operator in a worker before it fills its caches: those of the operator before are dropped first.
+
+    Workers are reused from stage to stage, and only one operator's vocabulary and cache may fill one at a time.
+    """
+    if _holder[0] != name:
+        _holder[1]()
+        _holder[:] = [name, clear]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named table with just these columns (all without any); the selection reaches the Parquet scan."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Pre-tokens whose codes a worker keeps at most; later ones are encoded again when they come again.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 350_000
 #: A pre-token of more bytes than this is never cached.
 CACHE_BYTES = 64
 
@@ -211,6 +211,7 @@ def load(path: str, pattern: str) -> ByteBPE:
 
 
 def _digest(texts: list, path: str, pattern: str) -> dict:
+    C.claim("bpe", load.cache_clear)
     bpe = load(path, pattern)
     out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
     for ids in map(np.ndarray.tolist, bpe.encode_texts([t or "" for t in texts])):
@@ -232,6 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     C.prepare(docs.sparkSession)
 
     def block(texts):
+        C.claim("bpe", load.cache_clear)
         return {ids: [x.tolist() for x in load(path, pattern).encode_texts([t or "" for t in texts])]}
 
     return C.add_columns(docs, text, C.fields(f"`{ids}` array<int>"), lambda: block)

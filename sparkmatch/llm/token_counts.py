@@ -133,6 +133,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
     C.prepare(docs.sparkSession)
 
     def make():
+        C.claim("token_counts", counts.cache_clear)
         table = counts(path)
 
         def block(texts):

@@ -36,7 +36,7 @@ LAMBDA = 0.9
 SPAN = 6
 #: Longer units are cut into windows of this many letters, each starting half a window after the last.
 WINDOW = 24
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 350_000
 
 ALPHABET = 64
 #: Digits that stand for letters inside a word.
@@ -303,6 +303,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.5, text: str =
     shipped = docs.sparkSession.sparkContext.broadcast(machine)  # ALPHABET ** 3 weights: 1 MB at every size
 
     def make():
+        C.claim("toxicity", _scorers.clear)
         scorer = _scorer(shipped.value)
 
         def block(texts):

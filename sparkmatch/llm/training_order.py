@@ -61,6 +61,7 @@ def _table(path: str) -> token_counts.WordTable:
 
 def _stream(path: str):
     """ids of a text, ended; nothing for an empty text."""
+    C.claim("training_order", _table.cache_clear)
     table = _table(path)
     if table.counter.lib.vocab_size() > 1 << 16:
         raise ValueError("ids of 16 bits are written; the vocabulary is larger")
@@ -111,6 +112,7 @@ def write(docs: DataFrame, path: str, base: str, length: int = LENGTH, key: int
 
     def count(batches):
         total, split = 0, None
+        C.claim("training_order", _table.cache_clear)
         table = _table(counter_path)  # the table that the second pass uses: a reused worker has it warm
         for batch in batches:
             for part in C.blocks(batch, 1):
