@@ -92,3 +92,13 @@ def root_by_ratio(query: QueryGraph, count: dict[int, int], leaves: bool = True)
     """Least candidates over degree; without ``leaves`` only vertices of degree 2 or more, if there are any."""
     inside = [u for u in range(len(query)) if leaves or query.degree[u] > 1] or list(range(len(query)))
     return min(inside, key=lambda u: (count.get(u, 0) / max(1, query.degree[u]), u))
+
+
+def leaf_classes(query: QueryGraph) -> list[list[int]]:
+    """Leaves that may be exchanged: of one label, at the same neighbour, over edges of one label."""
+    by: dict[tuple, list[int]] = {}
+    for u in range(len(query)):
+        if query.degree[u] == 1:
+            (w,) = query.adjacent[u]
+            by.setdefault((query.labels[u], w, query.edge_label(u, w)), []).append(u)
+    return list(by.values())
