@@ -186,6 +186,14 @@ def kernel(index: Index, plan: list[Step]) -> tuple[list[int], list[int]]:
     return inside, shell
 
 
+def _below(name: str):
+    return lambda v: v < F.col(name)
+
+
+def _above(name: str):
+    return lambda v: v > F.col(name)
+
+
 def kss(index: Index, plan: list[Step]) -> DataFrame:
     """(n_embeddings), one row."""
     query = index.candidates.query
@@ -205,7 +213,7 @@ def kss(index: Index, plan: list[Step]) -> DataFrame:
             out = out.withColumn(name, F.array_except(name, F.array(*taken)))
         for a, b in (c for c in constraints if s in c):
             other = col(b if a == s else a)
-            out = out.withColumn(name, F.filter(name, (lambda v, o=other: v < F.col(o)) if a == s else (lambda v, o=other: v > F.col(o))))
+            out = out.withColumn(name, F.filter(name, _below(other) if a == s else _above(other)))
         groups.setdefault(query.labels[s], []).append(name)
     ways = F.lit(1).cast("long")
     for names in groups.values():
