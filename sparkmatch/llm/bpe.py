@@ -157,8 +157,8 @@ class ByteBPE:
         found = [list(map(known.get, words)) for words in split]
         fresh = list({w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None})
         local: dict[str, bytes] = {}
-        for start in range(0, len(fresh), 100_000):
-            part = fresh[start : start + 100_000]
+        for start in range(0, len(fresh), 25_000):
+            part = fresh[start : start + 25_000]
             for word, ids in zip(part, self.encode_many([w.encode("utf-8", "surrogatepass") for w in part]), strict=True):
                 local[word] = code = ids.tobytes()
                 if len(known) < CACHE_ENTRIES and len(word) <= CACHE_BYTES:
