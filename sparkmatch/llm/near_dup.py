@@ -1,33 +1,38 @@
 """Operator 3: near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Similarity.  A text is the multiset of its shingles of five words.  The weight of a shingle is its frequency in the
-text times its inverse document frequency over all texts, ln(1 + N / max(df, N / CAP)) in steps of 1 / STEPS.  Two
-texts are linked when their weighted Jaccard similarity, sum of minima over sum of maxima, is 0.8 or more; classes are
-the connected components of the links.  df is counted over all texts in 2 ** DF_BITS hashed counters.  Only df of
-N / CAP or more matters, and the counters' mean load is a fixed share of that at every N, so the error does not grow.
+text times its inverse document frequency over all texts, ln(1 + N / df) in steps of 1 / STEPS.  Two texts are linked
+when their weighted Jaccard similarity, sum of minima over sum of maxima, is 0.8 or more; classes are the connected
+components of the links.  df is the exact number of rows whose text holds the shingle.
 
 Plan.
 1. One pass gives each row the id of its text (64 bits over its word sequence; equal texts are one vertex from here
-   on) and, for each task, the document counts; both are written to the shared folder.
-2. One pass samples each distinct text: for each of BANDS * ROWS hashes the element (shingle, n-th occurrence) of
+   on), written to the shared folder.
+2. One pass counts df: a task adds up its own shingles and deals them packed, by their upper bits, to parts of about
+   PART_SHINGLES; a part returns the shingles of df > 1.  All others have df 1.
+3. A bitmap over the shingles of df > 1 tells for certain of most others that no other row holds them.  Each has the
+   greatest weight there is, so a text with less than four other elements to each of them is linked to no text.  The
+   distinct texts that are left are stored, df > 1 is joined to their shingles, and each is sampled:
+   for each of BANDS * ROWS hashes the element (shingle, n-th occurrence) of
    the least ln a of improved consistent weighted sampling; its gamma and uniform variates come from tables of 2 ** 16
    entries picked by a hash, ties going to the lesser hash of the element.  BANDS groups of ROWS samples are the bucket keys; a pair
    of similarity 0.8 shares none with a probability of 0.0004.
-3. Each bucket's members are paired with its least member only, and verified; components of the links so far.
-4. Buckets that still hold several components are compared in full across components, in square tiles of at most
+4. Each bucket's members are paired with its least member only, and verified; components of the links so far.
+5. Buckets that still hold several components are compared in full across components, in square tiles of at most
    TILE members a side; a tile returns only links that join components, so no group is expanded into all its pairs.
-5. Components again.  They are found by least-label propagation with pointer jumping, on tables in the shared folder.
+6. Components again.  They are found by least-label propagation with pointer jumping, on tables in the shared folder.
 
-No step collects rows to the driver or holds a bucket in one task.  Shingles of a text are computed again from the
-text where they are needed; a bitmap of fixed size keeps most texts that are in no pair out of that shuffle.
+No step collects rows to the driver or holds a bucket in one task; the driver sees the bitmap alone.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +41,18 @@ from . import shingles as S
 
 THRESHOLD = (4, 5)  # similarity of 0.8 as a fraction, compared in integers
 BANDS, ROWS = 20, 5
-DF_BITS = 18
-CAP = 64
+#: Least and most parts of the df count as powers of two, shingles of a part, and shingles that a task adds up at once.
+PART_BITS = (8, 20)
+PART_SHINGLES = 1 << 20
+HELD_SHINGLES = 1 << 21
+#: N / df is told apart up to this: everywhere.
+CAP = math.inf
 STEPS = 8
 TILE = 128
-#: Bits of the filter on texts in pairs: 4 MB at every size.  A fuller filter lets more texts through, never fewer.
-FILTER_BITS = 1 << 25
+#: Bits of the filter on shingles of df > 1 as powers of two, FILTER_LOAD for each shingle.  A fuller filter lets more
+#: texts through, never fewer.
+FILTER_BITS = (20, 30)
+FILTER_LOAD = 8
 
 _U = np.uint64
 
@@ -66,46 +77,56 @@ def _elements(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> _U(64 - DF_BITS)).astype(np.int64)
+    """The key under which a shingle's df is counted: all its bits, signed as in Spark."""
+    return shingle.view(np.int64)
 
 
 class Weights:
-    """Integer weight of each document-frequency counter, and the sampling tables."""
+    """Integer weights by document frequency, and the sampling tables.  Shingles that ``df`` leaves out have a df of 1."""
 
-    def __init__(self, n: int, heavy: dict[int, int]):
-        self.level = np.full(1 << DF_BITS, self._step(n, 0), np.uint8)
-        for bucket, df in heavy.items():
-            self.level[bucket] = self._step(n, df)
+    def __init__(self, n: int, df: dict[int, int]):
+        self.n, self.rare = n, self._step(n, 1)
+        self.keys = np.array(list(df), np.int64).view(_U)
+        self.df = np.array(list(df.values()), np.int64)
         self._tables = None
 
     @staticmethod
     def _step(n: int, df: int) -> int:
-        n = max(n, 1)
-        return max(1, round(STEPS * float(np.log(1 + n / max(df, n / CAP)))))
+        return max(1, round(STEPS * float(np.log(1 + max(n, 1) / df))))
 
     def of(self, shingle: np.ndarray) -> np.ndarray:
-        return self.level[_bucket(shingle)]
+        return self.among(shingle, self.keys, self.df)[0]
+
+    def among(self, shingle: np.ndarray, keys: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of each shingle by the df of the keys, and whether it is one of them."""
+        if not len(keys):
+            return np.full(len(shingle), self.rare, np.uint8), np.zeros(len(shingle), bool)
+        order = np.argsort(keys)
+        keys = keys[order]
+        level = np.maximum(1, np.rint(STEPS * np.log(1 + max(self.n, 1) / df[order]))).astype(np.uint8)
+        at = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
+        known = keys[at] == shingle
+        return np.where(known, level[at], np.uint8(self.rare)), known
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Rank of ln a by weight and table entry, and the odd factor of each hash."""
         if self._tables is None:
             rng = np.random.default_rng(20240229)
             r, c, beta = rng.gamma(2, 1, 1 << 16), rng.gamma(2, 1, 1 << 16), rng.random(1 << 16)
-            most = int(self.level.max())
-            log_w = np.log(np.arange(1, most + 1) / STEPS)[:, None]
+            log_w = np.log(np.arange(1, self.rare + 1) / STEPS)[:, None]
             t = np.floor(log_w / r + beta)
             log_a = np.log(c) - r * (t - beta) - r
             code = np.empty(log_a.size, np.uint32)
             code[np.argsort(log_a, axis=None, kind="stable")] = np.arange(log_a.size, dtype=np.uint32)
             factors = S.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
-            self._tables = code.astype(_U), factors
+            self._tables = code, factors
         return self._tables
 
     def bands(self, element: np.ndarray, level: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bucket keys of each text; ``starts`` are the first elements of the texts, none of which is empty."""
         code, factors = self.tables()
         row = (level.astype(_U) - _U(1)) << _U(16)
-        shift = _U(43)
+        shift = _U(40)  # at most 2 ** 8 weights of 2 ** 16 entries
         out = np.empty((len(starts), BANDS), np.int64)
         n, x, at = len(starts), np.empty_like(element), np.empty_like(element)
         for band in range(BANDS):
@@ -114,9 +135,9 @@ class Weights:
                 np.multiply(element, factors[k], out=x)
                 np.right_shift(x, _U(48), out=at)
                 at |= row
-                least = code[at]
+                least = code[at].astype(_U)
                 least <<= shift
-                x >>= _U(21)
+                x >>= _U(24)
                 least |= x
                 key = S.mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(least, starts))
             out[:, band] = key.view(np.int64)
@@ -132,71 +153,141 @@ def _pieces(texts: list[str]):
 
 
 def _keys(batches):
-    """Rows of two kinds: (doc_id, vid, null, null) for each document, (null, null, counter, documents) for each counter at the end."""
-    counts = np.zeros(1 << DF_BITS, np.int64)
-    names = ["doc_id", "vid", "counter", "n"]
+    """(doc_id, vid, number of distinct shingles) of each row."""
     for batch in batches:
         for part in C.blocks(batch, 1):
             vid: list = [None] * len(part)
+            n = [0] * len(part)
             for i, key, own in _pieces([t or "" for t in part.column(1).to_pylist()]):
-                vid[i] = key
-                counts[np.unique(_bucket(np.unique(own)))] += 1
-            empty = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vid, pa.int64()), empty, empty], names=names)
-    at = np.flatnonzero(counts)
-    empty = pa.nulls(len(at), pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=names)
+                vid[i], n[i] = key, len(own)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vid, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "vid", "n"])
 
 
-def _sampler(shipped):
+def _counted(shingle: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles in order and the sum of ``n``, or the number, of each; there must be one."""
+    order = np.argsort(shingle)
+    shingle = shingle[order]
+    starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    return shingle[starts], np.diff(starts, append=len(shingle)) if n is None else np.add.reduceat(n[order], starts)
+
+
+def _dealt(bits: int):
+    """Rows (part, packed shingles, packed number of rows that hold each)."""
+
+    def pack(held):
+        shingle, n = _counted(np.concatenate(held))
+        part = (shingle >> _U(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        ends = np.append(cut[1:], len(part))
+        n = n.astype(np.uint32)
+        at = list(zip(cut.tolist(), ends.tolist(), strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[cut], pa.int64()), pa.array([shingle[a:b].tobytes() for a, b in at], pa.binary()), pa.array([n[a:b].tobytes() for a, b in at], pa.binary())], names=["part", "s", "n"]
+        )
+
     def run(batches):
-        C.claim("near_dup", lambda: None)
-        weights, seen = shipped.value, set()
+        held, size = [], 0
         for batch in batches:
-            for part in C.blocks(batch, 0, 1 << 20):
-                fresh = []
-                for _, vid, own in _pieces([t or "" for t in part.column(0).to_pylist()]):
-                    if vid not in seen:
-                        if len(seen) < 200_000:
-                            seen.add(vid)
-                        fresh.append((vid, *_elements(own)))
-                if not fresh:
-                    continue
-                sizes = [len(e) for _, e, _ in fresh]
-                starts = np.cumsum(sizes) - sizes
-                element = np.concatenate([e for _, e, _ in fresh])
-                level = weights.of(np.concatenate([s for *_, s in fresh]))
-                keys = weights.bands(element, level, starts)
-                total = np.add.reduceat(level.astype(np.int64), starts)
-                flat = pa.array(keys.ravel(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([v for v, *_ in fresh], pa.int64()),
-                        pa.array(total, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat),
-                    ],
-                    names=["vid", "total", "keys"],
-                )
+            for part in C.blocks(batch, 0):
+                for _, _, own in _pieces([t or "" for t in part.column(0).to_pylist()]):
+                    held.append(np.unique(own))
+                    size += len(held[-1])
+                    if size >= HELD_SHINGLES:
+                        yield pack(held)
+                        held, size = [], 0
+        if held:
+            yield pack(held)
 
     return run
 
 
-def _unpacker(shipped, wanted):
+def _shared(rows: pa.Table) -> pa.Table:
+    """(shingle, df) of the shingles of one part with a df above 1."""
+    shingle, df = _counted(np.concatenate([np.frombuffer(x, _U) for x in rows["s"].to_pylist()]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["n"].to_pylist()]).astype(np.int64))
+    more = df > 1
+    return pa.table([pa.array(_bucket(shingle[more]), pa.int64()), pa.array(df[more], pa.int64())], names=["shingle", "df"])
+
+
+def _held(bits: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """Whether the filter has the bit of each shingle; where not, its df is 1."""
+    at = shingle & _U(8 * len(bits) - 1)
+    return (bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _linkable(shipped):
+    """(vid, packed shingles with repetitions) of the texts that may be linked to another."""
+    p, q = THRESHOLD
+
     def run(batches):
-        weights, bits = shipped.value, wanted.value
+        bits = np.frombuffer(shipped.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for part in C.blocks(batch, 0, 4 << 20):
                 out: list[tuple] = []
                 for _, vid, own in _pieces([t or "" for t in part.column(0).to_pylist()]):
-                    at = vid % FILTER_BITS
-                    if bits[at >> 3] >> (at & 7) & 1 and vid not in seen:
+                    if vid in seen:
+                        continue
+                    rest = int(_held(bits, own).sum())
+                    if (q - p) * rest >= p * (len(own) - rest):
                         if len(seen) < 200_000:
                             seen.add(vid)
-                        element, shingle = _elements(own)
-                        out.append((vid, element.tobytes(), weights.of(shingle).tobytes()))
+                        out.append((vid, own.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["vid", "e", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["vid", "s"])
+
+    return run
+
+
+def _exploded(shipped):
+    """(vid, shingle) of each distinct shingle that may have a df above 1."""
+
+    def run(batches):
+        bits = np.frombuffer(shipped.value, np.uint8)
+        for batch in batches:
+            for part in C.blocks(batch, 1, 4 << 20):
+                own = [np.unique(np.frombuffer(x, _U)) for x in part.column(1).to_pylist()]
+                vid = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                shingle = np.concatenate(own)
+                keep = _held(bits, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(vid[keep], pa.int64()), pa.array(_bucket(shingle[keep]), pa.int64())], names=["vid", "shingle"])
+
+    return run
+
+
+def _sampler(shipped):
+    """(vid, total, keys, e, w) of rows (vid, s, known): total weight, bucket keys, elements and their weights."""
+    p, q = THRESHOLD
+
+    def run(batches):
+        C.claim("near_dup", lambda: None)
+        weights = shipped.value
+        for batch in batches:
+            for part in C.blocks(batch, 1, 4 << 20):
+                ends = np.cumsum(pc.list_value_length(part.column(2)).to_numpy())
+                known = part.column(2).flatten()
+                key, df = known.field(0).to_numpy().view(_U), known.field(1).to_numpy()
+                fresh, start = [], 0
+                for vid, s, end in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends.tolist(), strict=True):
+                    element, shingle = _elements(np.frombuffer(s, _U))
+                    level, rest = weights.among(shingle, key[start:end], df[start:end])
+                    start, total = end, int(level.sum(dtype=np.int64))
+                    if q * int(level[rest].sum(dtype=np.int64)) >= p * total:
+                        fresh.append((vid, total, element, level))
+                if not fresh:
+                    continue
+                sizes = [len(e) for *_, e, _ in fresh]
+                keys = weights.bands(np.concatenate([e for *_, e, _ in fresh]), np.concatenate([w for *_, w in fresh]), np.cumsum(sizes) - sizes)
+                flat = pa.array(keys.ravel(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[0] for x in fresh], pa.int64()),
+                        pa.array([x[1] for x in fresh], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat),
+                        pa.array([x[2].tobytes() for x in fresh], pa.binary()),
+                        pa.array([x[3].tobytes() for x in fresh], pa.binary()),
+                    ],
+                    names=["vid", "total", "keys", "e", "w"],
+                )
 
     return run
 
@@ -311,14 +402,21 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     store = _Store(spark)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = source.select("text")
-    keyed = store.put(source.mapInArrow(_keys, "doc_id long, vid long, counter long, n long"))
-    rows = keyed.where("counter is null").select("doc_id", "vid")
-    n = rows.count()
-    # at most CAP * (mean number of distinct shingles) counters reach N / CAP, and never more than 2 ** DF_BITS
-    heavy = keyed.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("df")).where(F.col("df") >= n / CAP)
-    weights = spark.sparkContext.broadcast(Weights(n, {r.counter: r.df for r in heavy.collect()}))
-
-    samples = store.put(texts.mapInArrow(_sampler(weights), "vid long, total long, keys array<long>"))
+    rows = store.put(source.mapInArrow(_keys, "doc_id long, vid long, n long"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = rows.select("doc_id", "vid")
+    weights = spark.sparkContext.broadcast(Weights(n, {}))
+
+    bits = _bits(total / PART_SHINGLES, PART_BITS)
+    shared = store.put(texts.mapInArrow(_dealt(bits), "part long, s binary, n binary").groupBy("part").applyInArrow(_shared, "shingle long, df long"))
+    size = 1 << _bits(shared.count() * FILTER_LOAD, FILTER_BITS)
+    bit = F.pmod("shingle", F.lit(size)) + 1
+    maps = shared.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()  # size / 8 bytes
+    filled = spark.sparkContext.broadcast(_bitmap(maps, size))
+    linkable = store.put(texts.mapInArrow(_linkable(filled), "vid long, s binary").dropDuplicates(["vid"]))
+    known = linkable.mapInArrow(_exploded(filled), "vid long, shingle long").join(shared, "shingle").groupBy("vid").agg(F.collect_list(F.struct("shingle", "df")).alias("known"))
+    samples = store.put(linkable.join(known, "vid").select("vid", "s", "known").mapInArrow(_sampler(weights), "vid long, total long, keys array<long>, e binary, w binary"))
+    unpacked = samples.select("vid", "e", "w")
     member = samples.select(F.explode("keys").alias("key"), "vid", "total").distinct()
     buckets = store.put(
         member.groupBy("key").agg(F.min(F.struct("vid", "total")).alias("head"), F.count("*").alias("size")).where("size > 1")
@@ -328,12 +426,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     p, q = THRESHOLD
     light = F.least("total", "head_total") * q >= F.greatest("total", "head_total") * p
     pairs = store.put(held.where((F.col("vid") != F.col("head")) & light).select(F.col("head").alias("a"), F.col("vid").alias("b")).distinct())
-    bit = F.pmod("vid", F.lit(FILTER_BITS))
-    used = held.select("vid", bit.alias("bit")).distinct()
-    maps = used.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("m")).collect()  # FILTER_BITS / 8 bytes
-    shipped = spark.sparkContext.broadcast(_bitmap(maps))
-    unpacked = texts.mapInArrow(_unpacker(weights, shipped), "vid long, e binary, w binary").dropDuplicates(["vid"])
-    unpacked = store.put(unpacked.join(used.select("vid"), "vid", "left_semi"))
     side = lambda v: unpacked.select(F.col("vid").alias(v), F.col("e").alias(f"e{v}"), F.col("w").alias(f"w{v}"))
     links = store.put(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(_verify, "a long, b long"))
 
@@ -358,9 +450,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return rows.where("vid is not null").join(by_text, "vid").select("doc_id", "class_id").unionAll(alone)
 
 
-def _bitmap(maps: list) -> bytes:
+def _bits(least: float, bounds: tuple[int, int]) -> int:
+    """The power of two that reaches ``least``, within bounds."""
+    return min(max(math.ceil(math.log2(max(least, 1))), bounds[0]), bounds[1])
+
+
+def _bitmap(maps: list, size: int) -> bytes:
     """The whole filter; bucket k of Spark's bitmap functions, counted from 1, holds 32,768 bits."""
-    out = bytearray(FILTER_BITS // 8)
+    out = bytearray(size // 8)
     for row in maps:
         start = (row.k - 1) * 4096
         out[start : start + 4096] = row.m

@@ -113,6 +113,39 @@ def test_near_duplicates_equal_brute_force_and_tiles_lose_nothing(spark, monkeyp
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, c in want})
 
 
+def weighted_classes(rows):
+    """Classes by comparing every two texts under ln(1 + N / df), by words alone: nothing of the operator is used."""
+    from collections import Counter
+
+    own = [Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in (t.split() for _, t in rows)]
+    df = Counter(s for c in own for s in c)
+    weight = {s: np.log(1 + len(rows) / n) for s, n in df.items()}
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if not own[a].keys().isdisjoint(own[b].keys()):
+                common = sum(n * weight[s] for s, n in (own[a] & own[b]).items())
+                if common >= 0.8 * sum(n * weight[s] for s, n in (own[a] | own[b]).items()):
+                    low, high = sorted((group[a], group[b]))
+                    group = [low if g == high else g for g in group]
+    return sorted((rows[i][0], min(rows[j][0] for j in range(len(rows)) if group[j] == group[i])) for i in range(len(rows)))
+
+
+def test_near_duplicates_weigh_rare_and_common_shingles_apart(spark):
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage, boiler, body = words(86), [words(14), words(14)], words(104)
+    texts = [passage + words(9) for _ in range(10)]  # alike in a common passage only: 0.82 by count, less by weight
+    texts += [body + boiler[0], body + boiler[1]]  # apart in common lines only: 0.78 by count, more by weight
+    texts += [words(12) + line + words(12) for line in boiler for _ in range(14)]
+    texts += [words(40)] * 3 + [words(8) for _ in range(1000 - len(texts) - 3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = weighted_classes(rows)
+    assert [c for _, c in want[:12]] == [*range(10), 10, 10] and want[40:43] == [(40, 40), (41, 40), (42, 40)]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.class_id) for x in got.collect()) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.classes(df).count() == 0
