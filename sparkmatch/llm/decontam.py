@@ -1,6 +1,8 @@
 """Operator 6: benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by their number of distinct shingles into classes (u/2, u] for powers of two u.  For a class the
+Items of at most ``SHORT`` shingles are too small a part of any window for MinHash: each of their shingles is looked up
+by itself, so every document that holds one is a candidate.  The others are partitioned by their number of distinct
+shingles into classes (u/2, u] for powers of two u.  For a class the
 documents are cut into blocks of u shingles and searched through windows of two blocks, so every run of u shingles lies
 inside a window.  An item that a window holds has a Jaccard similarity of about 0.2 or more to it however long the
 document is, and one common MinHash value out of ``HASHES`` makes the pair of item and document a candidate: a
@@ -29,8 +31,9 @@ from . import shingles as S
 
 THRESHOLD = 0.8
 HASHES = 64
-#: Shingles of the smallest class.
+#: Shingles of the smallest class, and the most of an item that is looked up exactly.
 SMALLEST = 16
+SHORT = SMALLEST // 2
 BROADCAST_ITEMS = 20_000
 BROADCAST_CHARS = 16_000_000
 
@@ -42,6 +45,17 @@ def _minhash(values: np.ndarray, seed: np.uint64) -> np.ndarray:
     return (values * seed >> np.uint64(32)).astype(np.uint32)
 
 
+def _matches(values: np.ndarray, items: np.ndarray, asked: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+    """Pairs (owner of an asked value, item) of the equal ones among the sorted values; in one array, or none."""
+    a = np.searchsorted(values, asked, "left")
+    hit = np.flatnonzero(values[np.minimum(a, len(values) - 1)] == asked)
+    if not len(hit):
+        return []
+    n = np.searchsorted(values, asked[hit], "right") - a[hit]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[hit], n)
+    return [np.stack([np.repeat(owner[hit], n), items[at]], 1)]
+
+
 @dataclass
 class Index:
     """MinHash values of the items by class and hash, and their exact shingles."""
@@ -50,10 +64,12 @@ class Index:
     shingles: list[np.ndarray]
     #: (class size u, for each hash the sorted values and the item of each)
     classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]
+    #: the sorted shingles of the items of at most SHORT, and the item of each
+    short: tuple[np.ndarray, np.ndarray]
 
     @staticmethod
     def build(items: list[tuple[int, str]]) -> Index:
-        ids, sets, by = [], [], {}
+        ids, sets, by, few = [], [], {}, []
         for item, text in sorted(items, key=lambda x: x[0]):
             own = np.unique(S.shingles(text))
             if not len(own):
@@ -61,7 +77,7 @@ class Index:
             u = SMALLEST
             while u < len(own):
                 u *= 2
-            by.setdefault(u, []).append(len(ids))
+            (few if len(own) <= SHORT else by.setdefault(u, [])).append(len(ids))
             ids.append(item)
             sets.append(own)
         classes = []
@@ -72,10 +88,12 @@ class Index:
                 order = np.argsort(value, kind="stable")
                 tables.append((value[order], np.array(members)[order]))
             classes.append((u, tables))
-        return Index(ids, sets, classes)
+        value = np.concatenate([np.zeros(0, np.uint64), *(sets[m] for m in few)])
+        order = np.argsort(value, kind="stable")
+        return Index(ids, sets, classes, (value[order], np.repeat(np.array(few, np.int64), [len(sets[m]) for m in few])[order]))
 
     def candidates(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Pairs (position of the text, item) of which some window shares a MinHash value; all texts of a block at once."""
+        """Pairs (position of the text, item) of which some window shares a MinHash value, or the text a shingle of a short item; all texts of a block at once."""
         begin = np.cumsum(counts) - counts
         n_blocks = -(-counts // SMALLEST)
         # starts of the smallest blocks; none spans two texts
@@ -84,21 +102,15 @@ class Index:
         found = []
         if not len(first):
             return np.zeros((0, 2), np.int64)
+        if len(self.short[0]):
+            found += _matches(*self.short, own, np.repeat(np.arange(len(counts)), counts))
         plan = self._plan(owner)
-        for k, seed in enumerate(_SEEDS):
+        for k, seed in enumerate(_SEEDS if self.classes else []):
             low = np.minimum.reduceat(_minhash(own, seed), first)
             for (u, tables), (grid, pair) in zip(self.classes, plan, strict=True):
                 block = np.minimum.reduceat(low, grid) if u > SMALLEST else low
                 window = np.where(pair, np.minimum(block, np.append(block[1:], block[-1:])), block)
-                values, items = tables[k]
-                a = np.searchsorted(values, window, "left")
-                hit = np.flatnonzero(values[np.minimum(a, len(values) - 1)] == window)
-                if len(hit):
-                    b = np.searchsorted(values, window[hit], "right")
-                    n = b - a[hit]
-                    rows = np.repeat(owner[grid][hit], n)
-                    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[hit], n)
-                    found.append(np.stack([rows, items[at]], 1))
+                found += _matches(*tables[k], window, owner[grid])
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def _plan(self, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

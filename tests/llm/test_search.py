@@ -184,3 +184,25 @@ def test_decontamination_edges_and_groups(spark, monkeypatch):
         got = sorted(((r.doc_id or -1), r.item_id) for r in decontam.leaks(docs, items).collect())
         assert got == [(-1, 1), (1, 1), (3, 4)]
     assert sorted(r.n_items for r in decontam.flag(docs, items).collect()) == [0, 0, 1, 1, 1]
+
+
+def test_decontamination_finds_short_items_in_long_documents():
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    items = [(i, words(5 + i % 10)) for i in range(60)]
+    items += [(60, items[0][1]), (61, items[1][1][:5]), (62, ["a"])]  # a repeated one, a part of one, a single word
+    docs = [words(484) for _ in range(600)]
+    for i, doc in enumerate(docs):
+        for own in (items[i % 60][1], items[(7 * i + 3) % 60][1]):
+            at = r.randrange(len(doc)) if i % 2 else r.randrange(16)
+            doc[at:at] = own
+    sets = lambda w: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    want = set()
+    for d, doc in enumerate(docs):
+        held = sets(doc)
+        want |= {(d, i) for i, w in items if len(sets(w) & held) >= 0.8 * len(sets(w))}
+    index = decontam.Index.build([(i, " ".join(w)) for i, w in items])
+    got = index.search([" ".join(d) for d in docs], 0.8)
+    assert len(want) > 1000 and {(d, i) for d, i, *_ in got} == want and len(got) == len(want)
+    short = decontam.Index.build([(i, " ".join(w)) for i, w in items if len(w) <= 12])
+    assert {(d, i) for d, i, *_ in short.search([" ".join(d) for d in docs], 0.8)} == {(d, i) for d, i in want if len(items[i][1]) <= 12}
