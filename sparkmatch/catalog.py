@@ -219,6 +219,11 @@ greatest((select count(distinct label) from v), (select max(label) + 1 from v))
     _add("graph_four_cliques", lambda s, d: stats.four_cliques(every(s, d)).agg(F.count("*").alias("n")), f"{graph_sql()}, t as (select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst where x.src < x.dst and y.src < y.dst) select count(*) as n from t join e p on p.src = a join e q on q.src = b and q.dst = p.dst join e r on r.src = c and r.dst = p.dst where p.dst > c")
     peel = ", k0 as (select id from v)" + "".join(f", k{i + 1} as (select id from k{i} where (select count(*) from e where e.src = k{i}.id and e.dst in (select id from k{i})) >= 2)" for i in range(6))
     _add("graph_kcore", lambda s, d: stats.core_numbers(_coarse(_TREE_KINDS)(s, d), most=2), f"{graph_sql(kinds=_TREE_KINDS)}{peel} select id, cast(case when id in (select id from k6) then 2 when degree >= 1 then 1 else 0 end as bigint) as core from g")
+    # every kind of edge, peeled until nothing is left: k goes up when no vertex is below it
+    whole = f"""{graph_sql().replace("with v as", "with recursive v as", 1)}, peel(k, id) as (select 1, id from v union all
+select k + cast(least_d >= k as integer), id from (select k, id, d, min(d) over () as least_d from (select p.k, p.id, count(q.id) as d from peel p left join e on e.src = p.id left join peel q on q.id = e.dst group by 1, 2))
+where least_d >= k or d >= k) select id, cast(max(k) - 1 as bigint) as core from peel group by id"""
+    _add("graph_kcore_whole", lambda s, d: stats.core_numbers(every(s, d)), whole)
     _add("graph_unlabel", lambda s, d: every(s, d).unlabelled().vertices.groupBy("label").agg(F.count("*").alias("n"), F.max("degree").alias("max_degree")), f"{graph_sql()} select 0 as label, count(*) as n, max(degree) as max_degree from g")
     _add("graph_reify_edge_labels", lambda s, d: transform.reify_by_rank(square(s, d), 15, 10**12).metadata(), f"""{graph_sql(kinds=_SQUARE_KINDS)} select (select count(*) from v) + (select count(*) from one) as n_vertices, 2 * (select count(*) from one) as n_edges,
 cast(15 + (select max(el) from one) + 1 as bigint) as n_labels, greatest(cast((select max(degree) from g) as bigint), 2) as max_degree, greatest((select max(n) from (select count(*) as n from v group by label)), (select max(n) from (select count(*) as n from one group by el))) as max_label_frequency""")

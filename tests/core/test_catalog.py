@@ -21,3 +21,12 @@ def test_queries_equal_their_sql(spark, sf, name):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) and len(catalog.QUERIES) > 55
+
+
+def test_cores_of_the_whole_graph_equal_their_sql(spark, sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = dict(con.execute(catalog.ORACLE_SQL["graph_kcore_whole"]).fetchall())
+    got = {r.id: r.core for r in catalog.QUERIES["graph_kcore_whole"](spark, sf).collect()}
+    assert got == want and max(want.values()) > 2

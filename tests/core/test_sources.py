@@ -69,3 +69,27 @@ def test_statistics(spark):
     assert maps == {0: {1: 2}, 1: {0: 1}, 2: {0: 1}}
     able = stats.neighbour_label_maps(g).where(stats.contains_labels(stats.F.col("nlf"), {1: 2}))
     assert [r.id for r in able.collect()] == [0]
+
+
+def peeled(edges, n):
+    """Core numbers by taking away one vertex of the least degree after the other."""
+    near = {v: {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(n)}
+    core, k = {}, 0
+    while near:
+        v = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[v]))
+        core[v] = k
+        for w in near.pop(v):
+            near[w].discard(v)
+    return core
+
+
+def test_core_numbers_of_several_cores(spark):
+    clique = [(a, b) for a in range(6) for b in range(a)]
+    wheel = [(6 + i, 6 + (i + 1) % 7) for i in range(7)] + [(13, 6 + i) for i in range(7)]
+    ring = [(14 + i, 14 + (i + 1) % 4) for i in range(4)]
+    edges = [*clique, *wheel, *ring, (5, 6), (13, 14), (17, 18), (18, 19), (19, 20), (0, 7)]
+    g = data_graph(spark, [0] * 22, {e: None for e in edges})
+    want = peeled(edges, 22)
+    assert set(want.values()) == {0, 1, 2, 3, 5}
+    assert {r.id: r.core for r in stats.core_numbers(g).collect()} == want
