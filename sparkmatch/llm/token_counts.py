@@ -12,6 +12,9 @@ from __future__ import annotations
 import re
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_pb
@@ -21,6 +24,9 @@ from . import _common as C
 #: Distinct merged pieces whose codes a worker keeps at most.
 CACHE_ENTRIES = 500_000
 CACHE_CHARS = 48
+#: Words between spaces that are looked up together, and words merged by one call of the library.
+RUN_WORDS = 1 << 21
+MERGED_WORDS = 64
 
 MARK = "▁"  # stands for a space inside the vocabulary
 
@@ -58,6 +64,8 @@ class PieceCounter:
         #: The proof of the shortcut: strings that the model, given them alone, encodes as themselves.
         self.whole = {p: i for p, i in ((p, self._merge(p)) for p in normal if p == p.lstrip(MARK) or p[0] == MARK) if len(i) == 1}
         self.n_whole = len(self.whole)
+        #: By id: whether the token begins with a mark, that is a word.
+        self.opens = np.array([p.type == kinds.NORMAL and p.piece[0] == MARK for p in proto.pieces])
 
     def _merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece by the model's merges.  The library puts a mark first, which the piece must then have."""
@@ -79,43 +87,131 @@ class PieceCounter:
     def ids(self, piece: str) -> tuple[int, ...]:
         return self.whole.get(piece) or self._merge(piece)
 
-    def plain(self, text: str) -> bool:
-        """Whether the words between single spaces are independent of each other: no run of spaces, none at an end."""
-        return bool(text) and MARK not in text and text[0] != " " and text[-1] != " " and "  " not in text
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that each follow a space, one after the other, and where each word's end; no merge crosses a space."""
+        got: list[int] = []
+        for at in range(0, len(words), MERGED_WORDS):
+            got += self.lib.encode(" ".join(words[at : at + MERGED_WORDS]))
+        ids = np.array(got, np.uint32)
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) == len(words):
+            return ids, np.append(begin[1:], len(ids))
+        each = [self.lib.encode(w) for w in words]  # a vocabulary without a mark of its own
+        return np.array([i for w in each for i in w], np.uint32), np.cumsum([len(w) for w in each])
+
+    @staticmethod
+    def plain(texts: pa.Array) -> np.ndarray:
+        """Whether the words of each text between single spaces are independent: no run of spaces, none at an end, no mark."""
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        return ~pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
 
 
 class WordTable(dict):
-    """Word between spaces to what ``value`` makes of its ids; one is worked out when it is first asked for.
+    """Word between spaces to the number of its ids, or to the ids themselves as bytes.
 
-    A word holds one independent piece or more (marks that nothing merges with cut it); only pieces that are not
-    proved whole tokens are merged.
+    A word holds one independent piece or more (marks that nothing merges with cut it); only words that are not
+    proved whole tokens are merged.  Whole blocks of texts go through Arrow's split and dictionary, so each distinct
+    word of a block is looked up once.
     """
 
-    def __init__(self, counter: PieceCounter, value):
+    def __init__(self, counter: PieceCounter, as_ids: bool = False):
         super().__init__()
-        self.counter, self.value = counter, value
-
-    def __missing__(self, word: str):
-        got = self.of_pieces(MARK + word)
-        if len(self) < CACHE_ENTRIES and len(word) <= CACHE_CHARS:
-            self[word] = got
-        return got
-
-    def of_pieces(self, marked: str):
-        ids = self.counter.ids
-        return self.value([i for p in self.counter.cut.findall(marked) for i in ids(p)])
-
-    def total(self, text: str) -> int:
-        """Sum of the values of a text's words; for values that are numbers."""
-        if self.counter.plain(text):
-            return sum(map(self.__getitem__, text.split(" ")))
-        return self.of_pieces(MARK + text.replace(" ", MARK)) if text else 0
-
-    def joined(self, text: str) -> bytes:
-        """The values of a text's words joined; for values that are bytes."""
-        if self.counter.plain(text):
-            return b"".join(map(self.__getitem__, text.split(" ")))
-        return self.of_pieces(MARK + text.replace(" ", MARK)) if text else b""
+        self.counter, self.as_ids = counter, as_ids
+
+    def of_words(self, words: list[str]) -> list:
+        """The value of each word; words hold neither spaces nor marks."""
+        out = list(map(self.get, words))
+        fresh = [i for i, v in enumerate(out) if v is None]
+        whole, merge = self.counter.whole, []
+        for i in fresh:
+            if ids := whole.get(MARK + words[i]):
+                out[i] = np.array(ids, np.uint32).tobytes() if self.as_ids else 1
+            else:
+                merge.append(i)
+        if merge:
+            ids, ends = self.counter.merged([words[i] for i in merge])
+            if self.as_ids:
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                values = map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+            else:
+                values = np.diff(ends, prepend=0).tolist()
+            for i, value in zip(merge, values, strict=True):
+                out[i] = value
+        room = max(0, CACHE_ENTRIES - len(self))
+        self.update((words[i], out[i]) for i in fresh[:room] if len(words[i]) <= CACHE_CHARS)
+        return out
+
+    def of_text(self, text: str):
+        """The value of a text whose words are not independent, piece by piece."""
+        ids = [i for p in self.counter.pieces(text) for i in self.counter.ids(p)]
+        return np.array(ids, np.uint32).tobytes() if self.as_ids else len(ids)
+
+    def _blocks(self, texts: pa.Array):
+        """(which texts are plain, words of each of those, runs of (distinct values, place of each word among them))."""
+        ok = self.counter.plain(texts)
+        lists = pc.split_pattern(texts.filter(pa.array(ok)), " ")
+        words = lists.flatten()
+
+        def runs():
+            for at in range(0, len(words), RUN_WORDS):
+                coded = words.slice(at, RUN_WORDS).dictionary_encode()
+                yield self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+
+        return ok, pc.list_value_length(lists).to_numpy(), runs()
+
+    @staticmethod
+    def _sums(n: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+        """Sums of ``n``, one number for each word, by text; every text has a word."""
+        return np.add.reduceat(np.concatenate(n), np.cumsum(words) - words, dtype=np.int64) if len(words) else np.zeros(0, np.int64)
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text, none of which is null."""
+        ok, words, runs = self._blocks(texts)
+        n = [_sizes(values)[at] for values, at in runs]
+        out = np.zeros(len(texts), np.int64)
+        out[ok] = self._sums(n, words)
+        odd = np.flatnonzero(~ok)
+        out[odd] = _sizes([self.of_text(texts[i].as_py()) for i in odd.tolist()])
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the number of each; for a table of ids."""
+        ok, words, runs = self._blocks(texts)
+        n, flat = [], []
+        for values, at in runs:
+            own, size = np.frombuffer(b"".join(values), np.uint32), _sizes(values)
+            count = size[at]
+            flat.append(own[spread((np.cumsum(size) - size)[at], count)])
+            n.append(count)
+        total = np.zeros(len(texts), np.int64)
+        total[ok] = self._sums(n, words)
+        odd = {i: np.frombuffer(self.of_text(texts[i].as_py()), np.uint32) for i in np.flatnonzero(~ok).tolist()}
+        if not odd:
+            return np.concatenate([np.zeros(0, np.uint32), *flat]), total
+        total[list(odd)] = [len(x) for x in odd.values()]
+        begin = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint32)
+        out[spread(begin[ok], total[ok])] = np.concatenate([np.zeros(0, np.uint32), *flat])
+        for i, x in odd.items():
+            out[begin[i] : begin[i] + len(x)] = x
+        return out, total
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
+    ends = np.cumsum(count)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if n < 1 << 30 and begin.max(initial=0) < 1 << 30 else np.int64
+    out = np.repeat((begin - (ends - count)).astype(kind), count)
+    out += np.arange(n, dtype=kind)
+    return out
+
+
+def _sizes(values: list) -> np.ndarray:
+    if values and isinstance(values[0], bytes):
+        return np.fromiter(map(len, values), np.int32, len(values)) >> 2
+    return np.fromiter(values, np.int32, len(values))
 
 
 @cache
@@ -125,7 +221,7 @@ def load(path: str) -> PieceCounter:
 
 @cache
 def counts(path: str) -> WordTable:
-    return WordTable(load(path), len)
+    return WordTable(load(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -137,9 +233,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
         table = counts(path)
 
         def block(texts):
-            texts = [t or "" for t in texts]
-            n = [table.total(t) for t in texts]
-            return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            whole = pc.fill_null(pa.array(texts, pa.string()), "")
+            n = table.totals(whole)
+            return {"n_bytes": pc.binary_length(whole), "n_tokens": n, "over_limit": n > limit}
 
         return block
 

@@ -7,11 +7,14 @@ SHARD_SLOTS; each range is one file of fixed-stride records, so slot s lies in f
 (s % SHARD_SLOTS) * STRIDE.  A reader that stopped at any slot goes on from there by arithmetic alone.
 
 Plan.  A first pass counts the sequences of each input split; their running sums are where each split's numbers begin.
-The second pass tokenises again (which moves less than keeping the tokens would), numbers its sequences, computes the slots and sends the ids through one
-shuffle by slot range.  Each task sorts its ranges and writes them as a stream.  A file is written under a
-name of its own and then renamed, so a task that runs again after a lost executor leaves the same files.
-
-Both passes must see the same splits, so the input must be a file scan with filters and projections at most.
+The second pass tokenises again, numbers its sequences, computes the slots and sends the ids through one shuffle in
+which a task gets a range of shards by its number, so that all tasks get as many.  Each sorts its range and writes it
+as a stream.  Keeping the ids of the first pass would spare the second one's merges, but ids, shuffle and shards
+together are more than the disk budget of three times the input.  A file is written under a name of its own and then
+renamed, so a task that runs again after a lost executor leaves the same files.
+
+Both passes must see the same splits.  A file scan with filters and projections at most gives them; any other input is
+first written to the shared folder.  A split that differs in the second pass ends the job with an error.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,10 @@ from . import token_counts
 
 LENGTH = 512
 SHARD_SLOTS = 8192
+#: Tasks that write shards, at most: with more shards a task writes a range of several, one after the other.
+RANGES = 1 << 15
+#: Text bytes that are tokenised together.
+BLOCK_BYTES = 16 << 20
 ROUNDS = 4
 KEY = 0x5DEECE66D
 
@@ -56,31 +64,71 @@ def feistel(index: np.ndarray, m: int, key: int = KEY) -> np.ndarray:
 
 @cache
 def _table(path: str) -> token_counts.WordTable:
-    return token_counts.WordTable(token_counts.load(path), lambda ids: np.array(ids, np.uint16).tobytes())
+    table = token_counts.WordTable(token_counts.load(path), as_ids=True)
+    if table.counter.lib.vocab_size() > 1 << 16:
+        raise ValueError("ids of 16 bits are written; the vocabulary is larger")
+    return table
 
 
-def _stream(path: str):
-    """ids of a text, ended; nothing for an empty text."""
+def _claimed(path: str) -> token_counts.WordTable:
+    """The worker's table, the same for both passes: a reused worker has it warm."""
     C.claim("training_order", _table.cache_clear)
-    table = _table(path)
-    if table.counter.lib.vocab_size() > 1 << 16:
-        raise ValueError("ids of 16 bits are written; the vocabulary is larger")
-    end = np.array([table.counter.lib.eos_id()], np.uint16).tobytes()
-    return lambda text: table.joined(text) + end if text else b""
+    return _table(path)
+
+
+def _gathered(batches):
+    """Batches with columns (doc_id, text, split), no text null, of about BLOCK_BYTES of text; a longer text comes alone."""
+    held, size = [], 0
+    for batch in batches:
+        for part in C.blocks(batch, 1, BLOCK_BYTES):
+            n = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if held and size + n > BLOCK_BYTES:
+                yield _joined(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    columns = [pa.concat_arrays([p.column(i) for p in parts]) for i in range(3)]
+    return pa.RecordBatch.from_arrays([columns[0], pc.fill_null(columns[1], ""), columns[2]], names=["doc_id", "text", "split"])
+
+
+def _cut(ids: np.ndarray, n: np.ndarray, end: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ended ids of all texts, the bounds of their sequences, and each sequence's text and place in it."""
+    ended = (n > 0).astype(np.int64)
+    size = n + ended
+    begin = np.cumsum(size) - size
+    out = np.full(int(size.sum()), end, np.uint16)
+    out[token_counts.spread(begin, n)] = ids
+    count = -(-size // length)
+    text = np.repeat(np.arange(len(n)), count)
+    place = token_counts.spread(np.zeros(len(n), np.int64), count)
+    return out, np.append(begin[text] + place.astype(np.int64) * length, len(out)), text, place
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the plan is a file scan with filters and projections at most, whose splits are the same in every job."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith("LogicalRelation") and bool(df.inputFiles())
 
 
 class Writer:
     """Writes the sorted records of one task, range by range."""
 
-    def __init__(self, base: str, stride: int):
+    def __init__(self, base: str, shard_slots: int):
         self.fs, self.base = fs.FileSystem.from_uri(base)
-        self.stride, self.shard, self.out = stride, None, None
+        self.shard_slots, self.shard, self.out = shard_slots, None, None
 
     def add(self, slots: list[int], records: list[bytes]) -> None:
         for slot, record in zip(slots, records, strict=True):
-            if slot // SHARD_SLOTS != self.shard:
+            if slot // self.shard_slots != self.shard:
                 self.close()
-                self.shard = slot // SHARD_SLOTS
+                self.shard = slot // self.shard_slots
                 self.fs.create_dir(self.base, recursive=True)
                 self.part = f"{self.base}/.{self.shard}-{uuid.uuid4().hex}"
                 self.out = self.fs.open_output_stream(self.part)
@@ -97,27 +145,28 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write(docs: DataFrame, path: str, base: str, length: int = LENGTH, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, path: str, base: str, length: int = LENGTH, key: int = KEY, doc_id: str = "doc_id", text: str = "text", shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Writes the shards below ``base`` and returns their manifest, one row for each sequence.
 
     Columns: slot, doc_id, part (of the document, from 0), n_tokens (without padding), shard, byte_offset, crc32 of
     the record.  Null and empty texts have no sequence; repeated rows have sequences of their own; a null doc_id is kept.
-    An empty table writes an order file alone.  Padding is id 0.
+    An empty table writes an order file alone.  Other columns are not read.  Padding is id 0.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
-    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.spark_partition_id().alias("split"))
-    counter_path = path
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    if not _is_scan(source):
+        source.write.mode("overwrite").parquet(f"{base}/input")
+        source = spark.read.schema(source.schema).parquet(f"{base}/input")
+    source = source.withColumn("split", F.spark_partition_id())
 
     def count(batches):
         total, split = 0, None
-        C.claim("training_order", _table.cache_clear)
-        table = _table(counter_path)  # the table that the second pass uses: a reused worker has it warm
-        for batch in batches:
-            for part in C.blocks(batch, 1):
-                split = part.column(2)[0].as_py()
-                total += sum(-(-(len(table.joined(t)) // 2 + 1) // length) for t in part.column(1).to_pylist() if t)
+        for part in _gathered(batches):
+            split = part.column(2)[0].as_py()
+            n = _claimed(path).totals(part.column(1))
+            total += int((-(-(n[n > 0] + 1) // length)).sum())
         if split is not None:
             yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([total], pa.int64())], names=["split", "n"])
 
@@ -125,50 +174,47 @@ def write(docs: DataFrame, path: str, base: str, length: int = LENGTH, key: int
     sizes = sorted((r.split, r.n) for r in source.mapInArrow(count, "split int, n long").collect())
     first, m = {}, 0
     for split, n in sizes:
-        first[split] = m
+        first[split] = m, m + n
         m += n
     starts = spark.sparkContext.broadcast(first)
     stride = 2 * length
 
     def cut(batches):
-        stream, index, pad = _stream(counter_path), None, bytes(stride)
-        for batch in batches:
-            for part in C.blocks(batch, 1, 1 << 20):
-                if index is None:
-                    index = starts.value[part.column(2)[0].as_py()]
-                ids, parts, sizes_, records = [], [], [], []
-                for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = stream(t)
-                    for k, at in enumerate(range(0, len(raw), stride)):
-                        piece = raw[at : at + stride]
-                        ids.append(doc)
-                        parts.append(k)
-                        sizes_.append(len(piece) // 2)
-                        records.append(piece)
-                slots = feistel(np.arange(index, index + len(ids)), m, key) if ids else np.zeros(0, np.int64)
-                index += len(ids)
+        index = stop = None
+        for part in _gathered(batches):
+            table = _claimed(path)
+            if index is None:
+                index, stop = starts.value[part.column(2)[0].as_py()]
+            flat, bounds, of, place = _cut(*table.ids(part.column(1)), table.counter.lib.eos_id(), length)
+            slots = feistel(np.arange(index, index + len(of)), m, key) if len(of) else np.zeros(0, np.int64)
+            index += len(of)
+            if len(of):
+                records = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots // SHARD_SLOTS, pa.int64()), pa.array(slots, pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes_, pa.int32()), pa.array(records, pa.binary())],
+                    [pa.array(slots // shard_slots), pa.array(slots), part.column(0).take(pa.array(of)), pa.array(place, pa.int32()), pa.array(np.diff(bounds), pa.int32()), records],
                     names=["shard", "slot", "doc_id", "part", "n_tokens", "record"],
                 )
+        if index != stop:
+            raise RuntimeError("a split of the input is not what it was in the first pass")
 
     def store(batches):
-        out, pad = Writer(base, stride), bytes(stride)
+        out, pad = Writer(base, shard_slots), bytes(stride)
         for batch in batches:
-            slots = batch.column(1).to_pylist()
+            slots = batch.column(1).to_numpy()
             records = [r + pad[len(r) :] for r in batch.column(5).to_pylist()]
-            out.add(slots, records)
+            out.add(slots.tolist(), records)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), batch.column(3), batch.column(4), batch.column(0), pa.array([s % SHARD_SLOTS * stride for s in slots], pa.int64()), pa.array([zlib.crc32(r) for r in records], pa.int64())],
+                [batch.column(1), batch.column(2), batch.column(3), batch.column(4), batch.column(0), pa.array(slots % shard_slots * stride), pa.array(list(map(zlib.crc32, records)), pa.int64())],
                 names=["slot", "doc_id", "part", "n_tokens", "shard", "byte_offset", "crc32"],
             )
         out.close()
 
-    shards = max(1, -(-m // SHARD_SLOTS))
-    dealt = source.mapInArrow(cut, "shard long, slot long, doc_id long, part int, n_tokens int, record binary").repartition(shards, "shard")
+    shards = max(1, -(-m // shard_slots))
+    tasks = min(shards, RANGES)
+    dealt = source.mapInArrow(cut, "shard long, slot long, doc_id long, part int, n_tokens int, record binary").repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
     manifest = f"{base}/manifest"
     dealt.sortWithinPartitions("slot").mapInArrow(store, "slot long, doc_id long, part int, n_tokens int, shard long, byte_offset long, crc32 long").write.mode("overwrite").parquet(manifest)
-    spark.createDataFrame([(json.dumps({"sequences": m, "length": length, "stride": stride, "shard_slots": SHARD_SLOTS, "key": key, "dtype": "uint16"}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/order")
+    spark.createDataFrame([(json.dumps({"sequences": m, "length": length, "stride": stride, "shard_slots": shard_slots, "key": key, "dtype": "uint16"}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/order")
     return spark.read.parquet(manifest)
 
 

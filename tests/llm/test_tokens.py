@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -48,9 +49,15 @@ def test_a_merge_that_makes_a_lower_rank_goes_back():
 
 
 def test_piece_counts_equal_the_library():
-    counter, table = token_counts.load(PIECES), token_counts.counts(PIECES)
-    for text in fuzz(2):
-        assert table.total(text) == len(counter.lib.encode(text)), repr(text)
+    counter, table, ids = token_counts.load(PIECES), token_counts.counts(PIECES), token_counts.WordTable(token_counts.load(PIECES), as_ids=True)
+    texts = fuzz(2) + ["plain words only here", "a\nb c", "xqzj 漢漢 \x00y", "the the the"]
+    want = [counter.lib.encode(text) for text in texts]
+    for _ in range(2):  # the second time from the table
+        for block in (texts, [t for t in texts if "  " not in t], texts[-4:], []):
+            own = [want[texts.index(t)] for t in block]
+            assert table.totals(pa.array(block, pa.string())).tolist() == [len(x) for x in own]
+            flat, n = ids.ids(pa.array(block, pa.string()))
+            assert flat.tolist() == [i for x in own for i in x] and n.tolist() == [len(x) for x in own]
     assert counter.n_whole > 30_000
 
 
@@ -96,3 +103,16 @@ def test_training_order_round_trip_and_resume(spark, sf, tmp_path):
     assert all((a == b).all() for a, b in zip(training_order.read(base, 100, 140), slots[100:140], strict=True))
     empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert training_order.write(empty, PIECES, f"file://{tmp_path}/none").count() == 0
+
+
+def test_training_order_of_any_input_and_of_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "RANGES", 3)
+    rows = [(i % 7 or None, f"text {i} " * (i % 40), i) for i in range(90)] + [(5, None, 0), (5, "  two   spaces ", 1), (5, "  two   spaces ", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(5).orderBy("slot")  # no file scan
+    base = f"file://{tmp_path}/order"
+    got = training_order.write(docs, PIECES, base, length=16, shard_slots=8).collect()
+    lib = token_counts.load(PIECES).lib
+    want = sorted(x for _, t, _ in rows if t for ids in [[*lib.encode(t), lib.eos_id()]] for x in [ids[i : i + 16] for i in range(0, len(ids), 16)])
+    slots = list(training_order.read(base))
+    assert sorted(slots[r.slot][: r.n_tokens].tolist() for r in got) == want and len(slots) == len(want)
+    assert all(r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 32 for r in got)
