@@ -10,6 +10,7 @@ without any merge; only the other pieces are merged, each distinct piece once pe
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -92,7 +93,7 @@ class PieceCounter:
         got: list[int] = []
         for at in range(0, len(words), MERGED_WORDS):
             got += self.lib.encode(" ".join(words[at : at + MERGED_WORDS]))
-        ids = np.array(got, np.uint32)
+        ids = np.frombuffer(array("I", got), np.uint32)
         begin = np.flatnonzero(self.opens[ids])
         if len(begin) == len(words):
             return ids, np.append(begin[1:], len(ids))
@@ -110,8 +111,8 @@ class PieceCounter:
 class WordTable(dict):
     """Word between spaces to the number of its ids, or to the ids themselves as bytes.
 
-    A word holds one independent piece or more (marks that nothing merges with cut it); only words that are not
-    proved whole tokens are merged.  Whole blocks of texts go through Arrow's split and dictionary, so each distinct
+    A word holds one independent piece or more (marks that nothing merges with cut it).  For counts only words that
+    are not proved whole tokens are merged.  Whole blocks of texts go through Arrow's split and dictionary, so each distinct
     word of a block is looked up once.
     """
 
@@ -123,12 +124,14 @@ class WordTable(dict):
         """The value of each word; words hold neither spaces nor marks."""
         out = list(map(self.get, words))
         fresh = [i for i, v in enumerate(out) if v is None]
-        whole, merge = self.counter.whole, []
-        for i in fresh:
-            if ids := whole.get(MARK + words[i]):
-                out[i] = np.array(ids, np.uint32).tobytes() if self.as_ids else 1
-            else:
-                merge.append(i)
+        merge = fresh
+        if not self.as_ids:
+            whole, merge = self.counter.whole, []
+            for i in fresh:
+                if MARK + words[i] in whole:
+                    out[i] = 1
+                else:
+                    merge.append(i)
         if merge:
             ids, ends = self.counter.merged([words[i] for i in merge])
             if self.as_ids:
@@ -148,17 +151,13 @@ class WordTable(dict):
         return np.array(ids, np.uint32).tobytes() if self.as_ids else len(ids)
 
     def _blocks(self, texts: pa.Array):
-        """(which texts are plain, words of each of those, runs of (distinct values, place of each word among them))."""
-        ok = self.counter.plain(texts)
-        lists = pc.split_pattern(texts.filter(pa.array(ok)), " ")
-        words = lists.flatten()
-
-        def runs():
-            for at in range(0, len(words), RUN_WORDS):
-                coded = words.slice(at, RUN_WORDS).dictionary_encode()
-                yield self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
-
-        return ok, pc.list_value_length(lists).to_numpy(), runs()
+        """(which texts are plain, words of each of those, runs of (distinct words, place of each word among them))."""
+        ok = np.ones(len(texts), bool)
+        lists, runs = _coded(texts)
+        if any(_odd(words) for words, _ in runs):
+            ok = self.counter.plain(texts)
+            lists, runs = _coded(texts.filter(pa.array(ok)))
+        return ok, pc.list_value_length(lists).to_numpy(), ((self.of_words(words.to_numpy(zero_copy_only=False).tolist()), at.to_numpy()) for words, at in runs)
 
     @staticmethod
     def _sums(n: list[np.ndarray], words: np.ndarray) -> np.ndarray:
@@ -198,6 +197,19 @@ class WordTable(dict):
         return out, total
 
 
+def _coded(texts: pa.Array) -> tuple[pa.ListArray, list[tuple[pa.Array, pa.Array]]]:
+    """The texts cut at single spaces, and their words by dictionary in runs."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten()
+    runs = [words.slice(at, RUN_WORDS).dictionary_encode() for at in range(0, len(words), RUN_WORDS)]
+    return lists, [(r.dictionary, r.indices) for r in runs]
+
+
+def _odd(words: pa.Array) -> bool:
+    """Whether a word is empty (a text is, or has spaces beside each other or at an end) or holds a mark."""
+    return bool(pc.any(pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring(words, MARK))).as_py())
+
+
 def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
     ends = np.cumsum(count)

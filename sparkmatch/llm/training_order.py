@@ -1,20 +1,20 @@
 """Operator 9: token-ID output in training order.
 
 Every whole text is tokenised, ended by END and cut into sequences of LENGTH ids; the last one of a text is padded.
-The M sequences are numbered without gaps and a keyed Feistel permutation of 0 .. M - 1 gives each its global slot:
-the smallest even-bit domain that holds M, walked in cycles until the value is below M.  Slots are cut into ranges of
-SHARD_SLOTS; each range is one file of fixed-stride records, so slot s lies in file s // SHARD_SLOTS at byte
-(s % SHARD_SLOTS) * STRIDE.  A reader that stopped at any slot goes on from there by arithmetic alone.
-
-Plan.  A first pass counts the sequences of each input split; their running sums are where each split's numbers begin.
-The second pass tokenises again, numbers its sequences, computes the slots and sends the ids through one shuffle in
-which a task gets a range of shards by its number, so that all tasks get as many.  Each sorts its range and writes it
-as a stream.  Keeping the ids of the first pass would spare the second one's merges, but ids, shuffle and shards
-together are more than the disk budget of three times the input.  A file is written under a name of its own and then
-renamed, so a task that runs again after a lost executor leaves the same files.
-
-Both passes must see the same splits.  A file scan with filters and projections at most gives them; any other input is
-first written to the shared folder.  A split that differs in the second pass ends the job with an error.
+A sequence's number is its input split and its place in that, so numbers need no counting pass.  A keyed Feistel
+permutation of 0 .. DOMAIN - 1, the smallest domain of even bits walked in cycles until the value is below DOMAIN,
+gives each number a place that no other has; the slots 0, 1, 2, ... go to the sequences in the order of their places.
+Equal ranges of places are the shards: files of fixed-stride records, so slot s lies in the last file whose first slot
+is not above s, at byte (s - first slot) * STRIDE.  The order file has the first slots; a reader that stopped at any
+slot goes on from there by arithmetic alone.
+
+Plan.  One pass tokenises, numbers and permutes, and sends the ids through one shuffle in which task k gets the k-th
+range of places, so that all tasks get as many.  Each sorts its range and writes it as a stream.  A file is written
+under a name of its own and then renamed, so a task that runs again after a lost executor leaves the same file.  The
+numbers of rows in the files, one a shard, then give the first slots.
+
+A task that runs again must number alike, so the input must be a file scan with filters and projections at most; any
+other input is first written to the shared folder.
 """
 
 from __future__ import annotations
@@ -35,11 +35,16 @@ from . import _common as C
 from . import token_counts
 
 LENGTH = 512
+#: Sequences of a shard, about: their number is reckoned from the bytes of all texts, at so many bytes an id.
 SHARD_SLOTS = 8192
-#: Tasks that write shards, at most: with more shards a task writes a range of several, one after the other.
-RANGES = 1 << 15
+ID_BYTES = 3
+#: Shards at most; beyond that they are longer.
+SHARDS = 1 << 17
+#: Input splits and sequences of a split that numbers have room for.
+SPLITS, PLACES = 1_000_000, 1 << 32
+DOMAIN = SPLITS * PLACES
 #: Text bytes that are tokenised together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 ROUNDS = 4
 KEY = 0x5DEECE66D
 
@@ -118,21 +123,23 @@ def _is_scan(df: DataFrame) -> bool:
 
 
 class Writer:
-    """Writes the sorted records of one task, range by range."""
+    """Writes the records of one task, shard by shard."""
 
-    def __init__(self, base: str, shard_slots: int):
+    def __init__(self, base: str):
         self.fs, self.base = fs.FileSystem.from_uri(base)
-        self.shard_slots, self.shard, self.out = shard_slots, None, None
-
-    def add(self, slots: list[int], records: list[bytes]) -> None:
-        for slot, record in zip(slots, records, strict=True):
-            if slot // self.shard_slots != self.shard:
-                self.close()
-                self.shard = slot // self.shard_slots
-                self.fs.create_dir(self.base, recursive=True)
-                self.part = f"{self.base}/.{self.shard}-{uuid.uuid4().hex}"
-                self.out = self.fs.open_output_stream(self.part)
-            self.out.write(record)
+        self.shard, self.out, self.n = None, None, 0
+
+    def add(self, shard: int, records: list[bytes]) -> int:
+        """Number of records that the shard had before."""
+        if shard != self.shard:
+            self.close()
+            self.shard, self.n = shard, 0
+            self.fs.create_dir(self.base, recursive=True)
+            self.part = f"{self.base}/.{shard}-{uuid.uuid4().hex}"
+            self.out = self.fs.open_output_stream(self.part)
+        self.out.write(b"".join(records))
+        self.n += len(records)
+        return self.n - len(records)
 
     def close(self) -> None:
         if self.out:
@@ -150,7 +157,7 @@ def write(docs: DataFrame, path: str, base: str, length: int = LENGTH, key: int
 
     Columns: slot, doc_id, part (of the document, from 0), n_tokens (without padding), shard, byte_offset, crc32 of
     the record.  Null and empty texts have no sequence; repeated rows have sequences of their own; a null doc_id is kept.
-    An empty table writes an order file alone.  Other columns are not read.  Padding is id 0.
+    An empty table writes an empty order file alone.  Other columns are not read.  Padding is id 0.
     """
     spark = docs.sparkSession
     C.prepare(spark)
@@ -159,63 +166,56 @@ def write(docs: DataFrame, path: str, base: str, length: int = LENGTH, key: int
     if not _is_scan(source):
         source.write.mode("overwrite").parquet(f"{base}/input")
         source = spark.read.schema(source.schema).parquet(f"{base}/input")
-    source = source.withColumn("split", F.spark_partition_id())
-
-    def count(batches):
-        total, split = 0, None
-        for part in _gathered(batches):
-            split = part.column(2)[0].as_py()
-            n = _claimed(path).totals(part.column(1))
-            total += int((-(-(n[n > 0] + 1) // length)).sum())
-        if split is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([split], pa.int32()), pa.array([total], pa.int64())], names=["split", "n"])
-
-    # one small row for each split
-    sizes = sorted((r.split, r.n) for r in source.mapInArrow(count, "split int, n long").collect())
-    first, m = {}, 0
-    for split, n in sizes:
-        first[split] = m, m + n
-        m += n
-    starts = spark.sparkContext.broadcast(first)
     stride = 2 * length
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("text").alias("rows")).first()
+    shards = min(SHARDS, max(1, -(-(size.n // (ID_BYTES * length) + size.rows // 2) // shard_slots)))
+    width = -(-DOMAIN // shards)
 
     def cut(batches):
-        index = stop = None
+        number = None
         for part in _gathered(batches):
             table = _claimed(path)
-            if index is None:
-                index, stop = starts.value[part.column(2)[0].as_py()]
+            if number is None:
+                number = part.column(2)[0].as_py() * PLACES
             flat, bounds, of, place = _cut(*table.ids(part.column(1)), table.counter.lib.eos_id(), length)
-            slots = feistel(np.arange(index, index + len(of)), m, key) if len(of) else np.zeros(0, np.int64)
-            index += len(of)
             if len(of):
+                places = feistel(np.arange(number, number + len(of)), DOMAIN, key)
+                number += len(of)
                 records = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots // shard_slots), pa.array(slots), part.column(0).take(pa.array(of)), pa.array(place, pa.int32()), pa.array(np.diff(bounds), pa.int32()), records],
-                    names=["shard", "slot", "doc_id", "part", "n_tokens", "record"],
+                    [pa.array((places // width).astype(np.int32)), pa.array(places), part.column(0).take(pa.array(of)), pa.array(place, pa.int32()), pa.array(np.diff(bounds), pa.int32()), records],
+                    names=["shard", "place", "doc_id", "part", "n_tokens", "record"],
                 )
-        if index != stop:
-            raise RuntimeError("a split of the input is not what it was in the first pass")
 
     def store(batches):
-        out, pad = Writer(base, shard_slots), bytes(stride)
+        out, pad = Writer(base), bytes(stride)
         for batch in batches:
-            slots = batch.column(1).to_numpy()
-            records = [r + pad[len(r) :] for r in batch.column(5).to_pylist()]
-            out.add(slots.tolist(), records)
+            shard = batch.column(0).to_numpy()
+            records = [r if len(r) == stride else r + pad[len(r) :] for r in batch.column(5).to_pylist()]
+            row = np.empty(len(shard), np.int64)
+            bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if b > a:
+                    row[a:b] = np.arange(b - a) + out.add(int(shard[a]), records[a:b])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), batch.column(3), batch.column(4), batch.column(0), pa.array(slots % shard_slots * stride), pa.array(list(map(zlib.crc32, records)), pa.int64())],
-                names=["slot", "doc_id", "part", "n_tokens", "shard", "byte_offset", "crc32"],
+                [batch.column(0), pa.array(row), batch.column(2), batch.column(3), batch.column(4), pa.array(list(map(zlib.crc32, records)), pa.int64())],
+                names=["shard", "row", "doc_id", "part", "n_tokens", "crc32"],
             )
         out.close()
 
-    shards = max(1, -(-m // shard_slots))
-    tasks = min(shards, RANGES)
-    dealt = source.mapInArrow(cut, "shard long, slot long, doc_id long, part int, n_tokens int, record binary").repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
-    manifest = f"{base}/manifest"
-    dealt.sortWithinPartitions("slot").mapInArrow(store, "slot long, doc_id long, part int, n_tokens int, shard long, byte_offset long, crc32 long").write.mode("overwrite").parquet(manifest)
-    spark.createDataFrame([(json.dumps({"sequences": m, "length": length, "stride": stride, "shard_slots": shard_slots, "key": key, "dtype": "uint16"}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/order")
-    return spark.read.parquet(manifest)
+    dealt = source.withColumn("split", F.spark_partition_id()).mapInArrow(cut, "shard int, place long, doc_id long, part int, n_tokens int, record binary").repartitionById(shards, "shard")
+    written = f"{base}/manifest"
+    dealt.sortWithinPartitions("place").mapInArrow(store, "shard int, row long, doc_id long, part int, n_tokens int, crc32 long").write.mode("overwrite").parquet(written)
+    manifest = spark.read.parquet(written)
+    first, m = [], 0
+    for row in sorted(manifest.groupBy("shard").agg(F.count("*").alias("n")).collect()):  # one row for each shard
+        first.append((row.shard, m))
+        m += row.n
+    facts = {"sequences": m, "length": length, "stride": stride, "first": first, "key": key, "dtype": "uint16"}
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/order")
+    starts = spark.createDataFrame(first, "shard int, first long")  # at most SHARDS rows
+    placed = manifest.join(F.broadcast(starts), "shard")
+    return placed.select((F.col("first") + F.col("row")).alias("slot"), "doc_id", "part", "n_tokens", "shard", (F.col("row") * stride).alias("byte_offset"), "crc32")
 
 
 def read(base: str, start: int = 0, stop: int | None = None):
@@ -223,11 +223,12 @@ def read(base: str, start: int = 0, stop: int | None = None):
     files, root = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
     order = next(f.path for f in files.get_file_info(fs.FileSelector(f"{root}/order")) if "part-" in f.path and not f.base_name.startswith("."))
     order = json.loads(files.open_input_stream(order).read())
-    stride, slots = order["stride"], order["shard_slots"]
-    slot, stop = start, order["sequences"] if stop is None else min(stop, order["sequences"])
-    while slot < stop:
-        with files.open_input_file(f"{root}/{shard_name(slot // slots)}") as f:
-            f.seek(slot % slots * stride)
-            for _ in range(min(stop, (slot // slots + 1) * slots) - slot):
-                yield np.frombuffer(f.read(stride), np.uint16)
-                slot += 1
+    stride, stop = order["stride"], order["sequences"] if stop is None else min(stop, order["sequences"])
+    ends = [n for _, n in order["first"][1:]] + [order["sequences"]]
+    for (shard, first), end in zip(order["first"], ends, strict=False):
+        a, b = max(start, first), min(stop, end)
+        if a < b:
+            with files.open_input_file(f"{root}/{shard_name(shard)}") as f:
+                f.seek((a - first) * stride)
+                for _ in range(b - a):
+                    yield np.frombuffer(f.read(stride), np.uint16)

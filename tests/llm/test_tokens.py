@@ -105,8 +105,7 @@ def test_training_order_round_trip_and_resume(spark, sf, tmp_path):
     assert training_order.write(empty, PIECES, f"file://{tmp_path}/none").count() == 0
 
 
-def test_training_order_of_any_input_and_of_few_tasks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(training_order, "RANGES", 3)
+def test_training_order_of_any_input_and_of_many_shards(spark, tmp_path):
     rows = [(i % 7 or None, f"text {i} " * (i % 40), i) for i in range(90)] + [(5, None, 0), (5, "  two   spaces ", 1), (5, "  two   spaces ", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(5).orderBy("slot")  # no file scan
     base = f"file://{tmp_path}/order"
@@ -115,4 +114,8 @@ def test_training_order_of_any_input_and_of_few_tasks(spark, tmp_path, monkeypat
     want = sorted(x for _, t, _ in rows if t for ids in [[*lib.encode(t), lib.eos_id()]] for x in [ids[i : i + 16] for i in range(0, len(ids), 16)])
     slots = list(training_order.read(base))
     assert sorted(slots[r.slot][: r.n_tokens].tolist() for r in got) == want and len(slots) == len(want)
-    assert all(r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 32 for r in got)
+    assert sorted(r.slot for r in got) == list(range(len(want))) and len({r.shard for r in got}) > 4
+    ordered = sorted(got, key=lambda r: r.slot)
+    assert all((b.shard, b.byte_offset) == (a.shard, a.byte_offset + 32) or (b.shard > a.shard and b.byte_offset == 0) for a, b in zip(ordered, ordered[1:], strict=False))
+    again = training_order.write(docs, PIECES, f"file://{tmp_path}/again", length=16, key=9, shard_slots=8).collect()
+    assert sorted(r.crc32 for r in again) == sorted(r.crc32 for r in got) and [r.crc32 for r in sorted(again, key=lambda r: r.slot)] != [r.crc32 for r in ordered]
