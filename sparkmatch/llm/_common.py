@@ -9,11 +9,12 @@ Python worker builds it once.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,11 +70,39 @@ def scratch_dir(spark: SparkSession) -> str:
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(os.path.abspath("spark-warehouse"), "scratch")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared folder; nothing happens if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Store:
+    """Tables in the shared folder: each cuts the lineage and outlives the executor that wrote it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.names = spark, []
+        self.base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str = "") -> DataFrame:
+        name = name or str(len(self.names))
+        self.names.append(name)
+        df.write.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes the tables that no result reads any more."""
+        for name in [n for n in self.names if n not in names]:
+            remove(self.spark, f"{self.base}/{name}")
+            self.names.remove(name)
+
+
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose texts hold at most ``limit`` bytes together, or a single longer text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -104,8 +133,9 @@ def add_columns(
     gone = {c.lower() for c in drop} | outs
     kept = [f for f in df.schema.fields if f.name.lower() not in gone]
     names = [f.name for f in kept]
-    source = df.select(*[F.col(f"`{n}`") for n in names if n != read], F.col(f"`{read}`").cast("string").alias("__read"))
     order = [n for n in names if n != read]
+    # plain names on the way in: a name with a dot would be read as a field
+    source = df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(order)], F.col(f"`{read}`").cast("string").alias("read"))
     at = {n: i for i, n in enumerate(order)}
     col = len(order)
     schema = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == read else f.dataType) for f in kept), *out.fields])
@@ -134,6 +164,31 @@ def fields(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
+def smallest_hashes(pairs: DataFrame, per_class: int) -> tuple[list[tuple[int, str]], dict]:
+    """At most ``per_class`` distinct ids of each class, those of the smallest hashes, and the number of rows of each class.
+
+    ``pairs`` has columns doc_id (long) and y, without nulls; rows may repeat.  Counts by class, combined in each task,
+    say below which hash about twice as many ids of a class lie; only those are sorted, so no task holds a class.  A
+    class that falls short, as one of many repeated rows may, is asked again with a higher bound.
+    """
+    spark, width = pairs.sparkSession, 1 << 40
+    totals = {r.y: r.n for r in pairs.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row for each class
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(width))
+    share = {y: min(1.0, (2 * per_class + 100) / n) for y, n in totals.items()}
+    out = []
+    while share:
+        below = spark.createDataFrame([(y, int(s * width)) for y, s in share.items()], f"y {pairs.schema['y'].dataType.simpleString()}, below long")
+        near = pairs.join(F.broadcast(below), "y").where(place < F.col("below")).select("doc_id", "y").distinct()
+        w = Window.partitionBy("y").orderBy(place, "doc_id")
+        got: dict = {y: [] for y in share}
+        for r in near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_class).collect():
+            got[r.y].append(r.doc_id)
+        done = [y for y in share if len(got[y]) >= per_class or share[y] >= 1]
+        out += [(i, y) for y in done for i in got[y]]
+        share = {y: min(1.0, 8 * s) for y, s in share.items() if y not in done}
+    return out, totals
+
+
 def label_sample(
     docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, per_label: int
 ) -> tuple[list[tuple[str, int]], dict[int, int]]:
@@ -151,12 +206,9 @@ def label_sample(
         .agg(F.max(F.col(label).cast("int")).alias("y"))
         .join(docs.select("doc_id"), "doc_id", "left_semi")
     )
-    totals = {r.y: r.n for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rows = []
-    for value in sorted(totals):  # a top-k by hash: no task holds more than per_label rows
-        rows += [(r.doc_id, r.y) for r in y.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
+    rows, totals = smallest_hashes(y, per_label)
     if not rows:
         return [], {}
     small = spark.createDataFrame(rows, "doc_id long, y int")  # at most per_label rows a label value
-    got = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     return [(r.text or "", r.y) for r in sorted(got.collect(), key=lambda r: r.doc_id)], totals

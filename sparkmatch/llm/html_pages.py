@@ -2,7 +2,7 @@
 
 The pages vary in how they hold the article (article, main, or div, section and table cells with and without telling
 classes), in the furniture around and inside it (menus, headers, adverts, notices, forms, side columns, comments,
-footers) and in their mistakes (tags left open, no end tags).  Words are made of random syllables, so the model
+footers, or none of it), in the depth at which it all lies, and in their mistakes (tags left open, no end tags).  Words are made of random syllables, so the model
 cannot learn a language; it learns structure, class names and the shape of texts.
 """
 
@@ -119,6 +119,8 @@ class _Page:
                 out.append(self.side())
             else:
                 out.append(self.form())
+            if x < 0.9 and r.random() < 0.1:
+                out[-1] = r.choice(["<div>{}</div>", "<section>{}</section>", '<div class="row"><div>{}</div></div>']).format(out[-1])
         return r.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content"><div>{}</div></div>', '<div class="post entry">{}</div>', '<div class="article-body">{}</div>', '<section class="story">{}</section>', "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", '<div role="main">{}</div>', '<div itemprop="articleBody">{}</div>', '<div class="page"><div class="text">{}</div></div>']).format("".join(out))
 
     def html(self) -> str:
@@ -126,9 +128,13 @@ class _Page:
         some = lambda p, *makers: "".join(m() for m in makers if r.random() < p)
         before = some(0.5, self.notice) + some(0.35, self.header) + some(0.85, self.menu) + some(0.5, self.advert) + some(0.2, self.form) + some(0.2, self.side)
         after = some(0.3, self.side) + some(0.25, self.form) + some(0.4, self.comments) + some(0.3, self.advert) + some(0.85, self.footer) + some(0.1, self.notice)
-        body = before + self.article() + after
+        # some pages are the article alone, or begin or end with it
+        body = before * (r.random() < 0.85) + self.article() + after * (r.random() < 0.8)
         if r.random() < 0.3:
             body = f'<div class="{r.choice(["wrapper", "container", "page", "site"])}">{body}</div>'
+        if r.random() < 0.25:
+            depth = r.randint(1, 8)
+            body = "<div>" * depth + body + "</div>" * depth
         return "<!DOCTYPE html><html><head><title>x</title></head><body>" + body + r.choice(["</body></html>", ""])
 
 

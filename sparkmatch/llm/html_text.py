@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -28,11 +29,12 @@ from . import html_pages
 TRAINING_PAGES = 400
 
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " canvas object math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as part of the page.
-HIDDEN = frozenset("script style title textarea noscript iframe template svg math canvas audio video object noframes".split())
+HIDDEN = frozenset("script style title textarea noscript iframe template svg audio video noframes".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -65,9 +67,13 @@ class Block:
 
 
 class Paths:
-    """Interned ancestor paths; each has the features that its elements give."""
+    """Interned ancestor paths; each has the features that its elements give, or those of them that are known.
 
-    def __init__(self):
+    With known features a path holds no more of them than there are, however deep the page is.
+    """
+
+    def __init__(self, known=None):
+        self.known = known
         self.index: dict[tuple[int, str, str], int] = {}
         self.features: list[tuple[str, ...]] = [()]
 
@@ -81,7 +87,8 @@ class Paths:
                     names.add("role ad" if word == "ad" else f"word {word}" if not (r := [x for x in ROLES if word.startswith(x)]) else f"role {r[0]}")
             base = [f for f in self.features[parent] if not f.startswith("leaf ")]
             got = self.index[key] = len(self.features)
-            self.features.append((*dict.fromkeys([*base, *sorted(names)]), f"leaf {tag}"))
+            mine = [*sorted(names), f"leaf {tag}"]
+            self.features.append(tuple(dict.fromkeys([*base, *(f for f in mine if self.known is None or f in self.known)])))
         return got
 
 
@@ -89,6 +96,12 @@ def blocks(page: str, paths: Paths) -> list[Block]:
     """The leaf blocks of a page that have text, in order."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = [("", 0)]
+    inside: Counter[str] = Counter()  # open elements by tag: what is not open is not looked for
+
+    def pop(i: int) -> None:
+        inside.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -137,26 +150,26 @@ def blocks(page: str, paths: Paths) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if inside[tag] > 0 else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    pop(i)
                     break
             continue
         if tag in VOID or tag == "html":
             continue
         if stack[-1][0] == "p":
-            stack.pop()
+            pop(len(stack) - 1)
         if tag in _CLOSES:
             ends, until = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(inside[t] > 0 for t in ends) else ():
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    pop(i)
                     break
                 if stack[i][0] in until:
                     break
         if not attributes.endswith("/"):
-            if len(stack) < 256:  # deeper elements count as part of their ancestor
-                stack.append((tag, paths.child(stack[-1][1], tag, attributes)))
+            stack.append((tag, paths.child(stack[-1][1], tag, attributes)))
+            inside[tag] += 1
     flush()
     return out
 
@@ -184,10 +197,13 @@ class Field:
     weights: dict[str, float]
     bias: float
     pairs: np.ndarray  # [same path][label before][label]
-    paths: Paths = field(default_factory=Paths)
+    paths: Paths = field(default=None)
     path_scores: list[float] = field(default_factory=list)
     shape_scores: dict[tuple[str, ...], float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.paths = self.paths or Paths(self.weights.keys())
+
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "pairs": self.pairs}
 
@@ -226,7 +242,7 @@ class Field:
     def extract(self, page: str | None) -> str:
         """The main text of a whole page; empty for null, empty or all-other pages."""
         if len(self.paths.features) > 50_000 or len(self.shape_scores) > 50_000:  # a bound on what a worker keeps
-            self.paths, self.path_scores, self.shape_scores = Paths(), [], {}
+            self.paths, self.path_scores, self.shape_scores = Paths(self.weights.keys()), [], {}
         found = blocks(page or "", self.paths)
         return "\n".join(b.text for b, main in zip(found, self.decode(found), strict=True) if main)
 
@@ -289,7 +305,11 @@ def trained(pages: int = TRAINING_PAGES) -> Field:
 
 
 def extract(pages: DataFrame, model: Field, html: str = "html", keep_html: bool = True) -> DataFrame:
-    """Adds ``text``, the main text, and ``n_chars``, its code points, to every row; null pages have an empty text."""
+    """Adds ``text``, the main text, and ``n_chars``, its code points, to every row; null and empty pages have an empty text.
+
+    Repeated rows are returned as often, an empty table empty.  Columns of the table that are named text or n_chars
+    are replaced by the results; all others are kept.
+    """
     C.prepare(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -126,22 +126,28 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Centroids:
 
 
 def train(docs: DataFrame, parts: int = 3, part: int = 1, per_language: int = PER_LANGUAGE) -> Centroids:
-    """Fits on at most ``per_language`` documents of each language outside the held-out part, by smallest hash of doc_id."""
-    spark = docs.sparkSession
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~C.held_out("doc_id", parts, part))
-    narrow = known.select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # a filter on row_number keeps per_language rows of a language in each task before the shuffle
-    chosen = narrow.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_language).select("doc_id", "lang").collect()
+    """Fits on at most ``per_language`` documents of each language outside the held-out part, by smallest hash of doc_id.
+
+    Rows with a null doc_id, text or language take no part.  A doc_id of several rows counts once for each language,
+    with the least of its texts, so repeated rows add nothing and the driver gets ``per_language`` texts a language at
+    most.  No rows give a model that calls every text undetermined.
+    """
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~C.held_out("doc_id", parts, part))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("y"), "text")
+    chosen, _ = C.smallest_hashes(known.select("doc_id", "y"), per_language)
     if not chosen:
         return fit([])
-    small = spark.createDataFrame([(r.doc_id, r.lang) for r in chosen], "doc_id long, lang string").distinct()
-    got = known.select("doc_id", "lang", "text").join(F.broadcast(small), ["doc_id", "lang"]).select("text", "lang")
-    return fit(sorted((r.text, r.lang) for r in got.collect()))
+    small = docs.sparkSession.createDataFrame(chosen, "doc_id long, y string")  # per_language rows a language at most
+    got = known.join(F.broadcast(small), ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return fit(sorted((r.text, r.y) for r in got.collect()))
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds lang_pred, score and rejected of every whole text."""
+    """Adds lang_pred, score and rejected of every whole text.
+
+    A text that is null, empty or without a letter is ``und`` with score 0, and rejected.  Repeated rows are returned as
+    often, an empty table empty.  Columns of the results' names are replaced by them.
+    """
     C.prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS * DIMS floats a language
 

@@ -28,12 +28,11 @@ No step collects rows to the driver or holds a bucket in one task; the driver se
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -49,6 +48,8 @@ HELD_SHINGLES = 1 << 21
 CAP = math.inf
 STEPS = 8
 TILE = 128
+#: Tasks among which the members of one bucket are dealt where they meet its row.
+SPREAD = 16
 #: Bits of the filter on shingles of df > 1 as powers of two, FILTER_LOAD for each shingle.  A fuller filter lets more
 #: texts through, never fewer.
 FILTER_BITS = (20, 30)
@@ -360,21 +361,7 @@ def _tile(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-class _Store:
-    """Tables in the shared folder: each cuts the lineage and outlives the executor that wrote it."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.n = spark, 0
-        self.base = f"{C.scratch_dir(spark)}/near-dup-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
-def components(links: DataFrame, store: _Store) -> DataFrame:
+def components(links: DataFrame, store: C.Store) -> DataFrame:
     """(v, comp) of every vertex in a link (a, b); comp is the least vertex of its component.  Links may repeat."""
     pairs = links.where("a <> b")
     edges = store.put(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -390,19 +377,14 @@ def components(links: DataFrame, store: _Store) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, class_id) for each row of ``docs``; class_id is the least doc_id of the row's class.
-
-    Texts without a word (null, empty, marks only) are in a class of their own each.  Texts of the same words are
-    one class.  Rows with a null doc_id get the class of their text, which is null if no other row has an id.
-    Repeated rows are returned as often.  An empty table gives an empty result.
-    """
+def _solve(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, C.Store]:
+    """(doc_id, vid) of each row, vid null for a text without a word; (vid, comp, least doc_id) of each text; their store."""
     spark = docs.sparkSession
     C.prepare(spark)
-    store = _Store(spark)
+    store = C.Store(spark, "near-dup")
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = source.select("text")
-    rows = store.put(source.mapInArrow(_keys, "doc_id long, vid long, n long"))
+    rows = store.put(source.mapInArrow(_keys, "doc_id long, vid long, n long"), "rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows = rows.select("doc_id", "vid")
     weights = spark.sparkContext.broadcast(Weights(n, {}))
@@ -433,7 +415,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     placed = held.where("size > 2").join(comp, held.vid == comp.v, "left").select("key", "vid", F.coalesce("comp", "vid").alias("comp"))
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     parts = F.ceil(F.col("m") / TILE).cast("int")
-    left = placed.join(open_, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+    # a hot key's members meet its row in SPREAD tasks, and its tiles are dealt one by one
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "vid"), F.lit(SPREAD)))
+    open_ = open_.select("key", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("salt"))
+    left = salted.join(open_, ["key", "salt"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
     # a member goes to the tiles of its part with every part
     tiles = left.select("key", "vid", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     tiles = tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "vid", "comp")
@@ -443,8 +428,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     comp = components(links.unionAll(more), store)
 
     class_of = rows.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("least")).join(comp, F.col("vid") == F.col("v"), "left")
-    class_of = class_of.select("vid", F.coalesce("comp", "vid").alias("comp"), "least")
-    ids = store.put(class_of.groupBy("comp").agg(F.min("least").alias("class_id")))
+    class_of = store.put(class_of.select("vid", F.coalesce("comp", "vid").alias("comp"), "least"), "texts")
+    store.drop_all_but("rows", "texts")
+    return rows, class_of, store
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (doc_id, class_id) for each row of ``docs``; class_id is the least doc_id of the row's class.
+
+    Texts without a word (null, empty, marks only) are in a class of their own each.  Texts of the same words are
+    one class.  Rows with a null doc_id get the class of their text, which is null if no other row has an id.
+    Repeated rows are returned as often.  Other columns are not read.  An empty table gives an empty result.
+    """
+    rows, class_of, store = _solve(docs, doc_id, text)
+    ids = store.put(class_of.groupBy("comp").agg(F.min("least").alias("class_id")), "ids")
     by_text = class_of.join(ids, "comp").select("vid", "class_id")
     alone = rows.where("vid is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return rows.where("vid is not null").join(by_text, "vid").select("doc_id", "class_id").unionAll(alone)
@@ -464,12 +461,32 @@ def _bitmap(maps: list, size: int) -> bytes:
     return bytes(out)
 
 
+def _vid(texts: list) -> dict:
+    out: list = [None] * len(texts)
+    for i, key, _ in _pieces([t or "" for t in texts]):
+        out[i] = key
+    return {"__vid": out}
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each class: the one of the least doc_id stays, once if it is repeated.
+    """The rows of ``docs`` without all but one of each class: a row of the least doc_id stays, null ids counting last.
 
-    Rows with a null doc_id all stay: nothing names them.
+    A row, not an id, is kept or goes: rows that share a doc_id but not a class are judged apart, and of rows with
+    the same id (or none) and the same words one stays.  Texts without a word duplicate nothing: all of them stay.
+    All columns are returned.  An empty table gives an empty result.
     """
-    both = classes(docs, doc_id, text)
-    keep = both.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs[doc_id] == keep.doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.unionAll(docs.where(F.col(doc_id).isNull()))
+    rows, class_of, store = _solve(docs, doc_id, text)
+    one = rows.where("vid is not null").distinct().join(class_of.select("vid", "comp"), "vid")
+    best = one.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "vid")).alias("k"))
+    kept = store.put(best.select(F.col("k.doc_id").alias("__id"), F.col("k.vid").alias("__of")), "kept")
+    # an id of one row decides by itself; only rows of other ids are told apart by their texts
+    repeated = store.put(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id")), "repeated")
+    mine = F.col(f"`{doc_id}`").cast("long")
+    alone = kept.select("__id").unionAll(rows.where("vid is null").select(F.col("doc_id").alias("__id"))).join(repeated, "__id", "left_anti")
+    out = docs.join(alone, mine == F.col("__id"), "left_semi")
+    if not repeated.limit(1).count():
+        return out
+    several = C.add_columns(docs.join(repeated, mine.eqNullSafe(F.col("__id")), "left_semi"), text, C.fields("__vid long"), lambda: _vid)
+    held = several.join(kept, mine.eqNullSafe(F.col("__id")) & (F.col("__vid") == F.col("__of")), "left_semi").dropDuplicates([doc_id, "__vid"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return out.unionAll(held.select(*names)).unionAll(several.where("__vid is null").select(*names))

@@ -201,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, per
 
 
 def score(docs: DataFrame, model: GAM, threshold: float = 0.7, text: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold) of every whole text; null counts as empty."""
+    """Adds ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold) of every whole text; null counts as empty.
+
+    Repeated rows are returned as often, an empty table empty.  Columns of the results' names are replaced by them.
+    """
     C.prepare(docs.sparkSession)
     s, p = prefix + "score", prefix + "predicted"
 

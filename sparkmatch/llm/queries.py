@@ -1,6 +1,6 @@
 """The queries of the training-data operators: each applies its operator to its whole table and returns the digest columns.
 
-``ORACLE_SQL`` has the one query that SQL can express; ``tests/llm`` hold the others against the library concerned, a
+``ORACLE_SQL`` has the queries that SQL can express; ``tests/llm`` hold the others against the library concerned, a
 brute-force version or held-out accuracy.
 """
 
@@ -84,6 +84,14 @@ _SHINGLES = """
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     met as (select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.v, v.v) as bigint) as score
+             from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(n as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from met) where n <= 10
+""",
     "op6_decontamination": f"""
 with item as (select distinct * from ({_SHINGLES.format(key="item_id", table="benchmark")})),
      held as (select distinct * from ({_SHINGLES.format(key="doc_id", table="documents")})),

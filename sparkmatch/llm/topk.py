@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 4096
 LEVELS = 4
-#: Shares of all segments after which the proof is tried.
-PROOFS = (0.86,)
+#: Times that the search asks whether to stop, rows that it asks of, and postings as dear as one component scored exactly.
+LOOKS, ASKED = 8, 256
+DEAR = 1.5
+#: Rows beside k that are scored exactly for the threshold.
+SEEDS = 32
 
 
 def quantised(column: str) -> F.Column:
@@ -76,10 +79,12 @@ class ImpactIndex:
         bounds = np.full(n, floor.sum(), np.float32)
         mine = self.ids == own
         bounds[mine] = -np.inf
-        if n - mine.sum() <= k + 32:
+        if n - mine.sum() <= k + SEEDS:
             return self._rescore(np.flatnonzero(~mine), query, k)
         dims, levels = np.divmod(np.argsort(-gain, axis=None, kind="stable"), LEVELS)
-        proofs = {int(len(dims) * share) for share in PROOFS}
+        looks = {len(dims) * i // LOOKS - 1 for i in range(3, LOOKS)}
+        left_over = np.cumsum((self.starts[dims, levels + 1] - self.starts[dims, levels])[::-1])[::-1]
+        sample = np.arange(0, n, max(1, n // ASKED))
         slackness = 1 + np.abs(most).sum() * d * 2.0**-22  # covers the rounding of the accumulators
         # levels of a dimension come in order, from the top for a positive weight and from the bottom for a negative one
         weight, base = q.astype(np.float32), floor.astype(np.float32)
@@ -94,29 +99,33 @@ class ImpactIndex:
                 at = self.order[f, a:b]
                 bounds[at] += weight[f] * self.values[f, a:b] - base[f]
             done[f] += 1
-            if s in proofs:
+            if s in looks:
                 open_ = done < LEVELS
                 nxt = np.where(up, LEVELS - 1 - done, done)
                 left = np.where(open_, gain[np.arange(d), np.clip(nxt, 0, LEVELS - 1)], 0.0)
                 step = np.arange(LEVELS)
-                unseen = np.where(up[:, None], step <= nxt[:, None], step >= nxt[:, None])
-                upper = bounds + np.take((unseen * left[:, None]).astype(np.float32), self.cell).sum(1) + slackness
-                kth = np.partition(bounds, n - k)[n - k]
-                members = np.flatnonzero(upper >= kth)
-                if len(members) <= max(4 * k, 64):
+                unseen = (np.where(up[:, None], step <= nxt[:, None], step >= nxt[:, None]) * left[:, None]).astype(np.float32).ravel()
+                # the rows of the largest lower bounds, scored exactly, give a score that k rows are known to reach
+                top = np.argpartition(bounds, n - k - SEEDS)[n - k - SEEDS :]
+                kth = float(np.partition(self._exact(top[~mine[top]], query), -k)[-k]) - slackness
+                few = bounds[sample] + unseen[self.cell[sample]].sum(1) >= kth
+                if few.mean() * n * d * DEAR < left_over[s + 1]:
+                    members = np.flatnonzero(bounds + unseen[self.cell].sum(1) >= kth)
                     break
         else:
             kth = np.partition(bounds, n - k)[n - k]
             members = np.flatnonzero(bounds + slackness >= kth)
         return self._rescore(members[~mine[members]], query, k)
 
-    def _rescore(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         rows = self.rows[at]
         if len(at) and float(np.abs(rows).max()) * float(np.abs(query).max()) * len(query) >= 2.0**62:
             exact = rows.astype(object) @ query.astype(object)  # beyond 64 bits: exact, then held to the range of long
-            scores = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
-        else:
-            scores = rows @ query
+            return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
+        return rows @ query
+
+    def _rescore(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self._exact(at, query)
         best = np.lexsort((self.ids[at], -scores.astype(object) if len(scores) and scores.min() == -(2**63) else -scores))[:k]
         return at[best], scores[best]
 

@@ -5,11 +5,14 @@ written apart ("i d i o t").  phi(u) counts every subsequence of three letters,
 LAMBDA ** (letters spanned) up to SPAN letters; k(u, v) = <phi(u), phi(v)> / (|phi(u)| |phi(v)|).  A letter put in
 or left out changes few subsequences, so such variants stay close.
 
-Training.  Labels mark whole documents.  A labelled document is a bag of sentences, and a sentence a bag of units; a
-toxic bag needs one toxic unit, a clean bag has none.  The units that stand for the toxic bags are first those most
-associated with the label, later those that the machine scores highest.  The landmarks are the units that cover most
-toxic bags and the clean units closest to them.  The machine is linear in the Nystroem features
-K(u, landmarks) K(landmarks, landmarks)^(-1/2); each round adds the clean units that it gets wrong.
+Training.  Labels mark whole documents, so a sentence of a clean document is a clean sentence, and a toxic document has
+at least one toxic sentence, which the label does not name.  The machine is trained on sentences, each stood for by its
+witness, the unit that scores highest: all clean sentences are negative examples, and the sentences of toxic documents
+whose witness is scored toxic (or else the document's highest) are positive ones.  The first witnesses are, in toxic
+sentences, the units most associated with the label beyond chance and, in clean ones, those closest to these; later
+rounds take them by the machine of the round before, and clean witnesses of earlier rounds stay.  The landmarks are
+the units that cover most toxic documents and the clean units closest to them.  The machine is linear in the Nystroem
+features K(u, landmarks) K(landmarks, landmarks)^(-1/2).
 
 Scoring.  A Nystroem feature is a fixed mix of kernel values, and a kernel value a sum over subsequences, so the
 decision folds exactly into one weight per subsequence.  A text's score is the calibrated highest decision over all
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -34,6 +37,8 @@ PER_LABEL = 2000
 LANDMARKS = 160
 LAMBDA = 0.9
 SPAN = 6
+#: Cost of a violated margin.
+COST = 20.0
 #: Longer units are cut into windows of this many letters, each starting half a window after the last.
 WINDOW = 24
 CACHE_ENTRIES = 350_000
@@ -42,6 +47,7 @@ ALPHABET = 64
 #: Digits that stand for letters inside a word.
 DIGITS = str.maketrans("013457", "oieast")
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[\W_]{1,2}[^\W\d_](?![^\W_])){2,}")
+_SENTENCE = re.compile(r"(?<=[.!?\u2026])\s+|[\r\n]+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -188,74 +194,124 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.
     return w
 
 
-def fit(texts: list[str], labels: list[int], totals: dict[int, int], rounds: int = 4, hard: int = 800) -> Machine:
+class Sentences:
+    """The sentences of labelled texts as runs of unit numbers; a run of letters written apart is a sentence of its own."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        flat, sizes, text = array("i"), [], []
+        for k, t in enumerate(texts):
+            for words in [*map(str.split, _SENTENCE.split(t)), None]:
+                own = dict.fromkeys(apart(t) if words is None else (u for w in words for u in units(w)))
+                if own:
+                    flat.extend(number.setdefault(u, len(number)) for u in own)
+                    sizes.append(len(own))
+                    text.append(k)
+        self.names = list(number)
+        self.flat, self.text = np.array(flat, np.int64), np.array(text, np.int64)
+        self.starts = np.cumsum(sizes, dtype=np.int64) - sizes if sizes else np.zeros(0, np.int64)
+        self.sizes = np.array(sizes, np.int64)
+
+    def documents(self, keep: np.ndarray) -> np.ndarray:
+        """Number of the texts of the kept sentences that hold each unit."""
+        inside, n = np.repeat(keep, self.sizes), max(1, len(self.names))
+        return np.bincount(np.unique(np.repeat(self.text, self.sizes)[inside] * n + self.flat[inside]) % n, minlength=n)
+
+    def witnesses(self, value: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of the highest value of each sentence that is kept, and the sentence."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        mine = value[self.flat]
+        best = np.maximum.reduceat(mine, self.starts)
+        at = np.flatnonzero(mine == np.repeat(best, self.sizes))
+        _, first = np.unique(np.repeat(np.arange(len(self.starts)), self.sizes)[at], return_index=True)
+        which = np.flatnonzero(keep & np.isfinite(best))
+        return self.flat[at[first[which]]], which
+
+
+    def standing(self, value: np.ndarray, keep: np.ndarray, sure: float, least: float) -> np.ndarray:
+        """How many of the kept sentences each unit stands for: those whose witness is above ``sure``, or else its text's best above ``least``."""
+        witness, which = self.witnesses(value, keep)
+        mine, text = value[witness], self.text[which]
+        top = np.full(int(self.text.max(initial=-1)) + 1, -np.inf)
+        np.maximum.at(top, text, mine)
+        stands = (mine > sure) | ((mine == top[text]) & (mine > least))
+        return np.bincount(witness[stands], minlength=len(self.names)).astype(float)
+
+
+def _greatest(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """The greatest kernel value of each word with any landmark."""
+    parts = [kernel(words[i : i + 10_000], landmarks).max(1) for i in range(0, len(words), 10_000)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+
+
+def _decisions(machine: Machine, words: list[str]) -> np.ndarray:
+    parts = [machine.decide(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def fit(texts: list[str], labels: list[int], totals: dict[int, int], rounds: int = 4) -> Machine:
     """Fits machine and calibration to labelled texts; deterministic.  Without both labels every text gets the rate seen."""
     n_pos, n_neg = sum(labels), len(labels) - sum(labels)
     rate = (totals.get(1, 0) + 0.5) / (totals.get(0, 0) + totals.get(1, 0) + 1)
     flat = Machine(np.zeros(ALPHABET**3, np.float32), 0.0, 0.0, math.log(rate / (1 - rate)))
     if not n_pos or not n_neg:
         return flat
-    bags = [sorted({u for w in t.split() for u in units(w)} | set(apart(t))) for t in texts]
-    pos, neg = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (pos if y else neg).update(bag)
+    toxic = np.array(labels, bool)
+    found = Sentences(texts)
+    names, in_toxic = found.names, toxic[found.text] if len(found.text) else np.zeros(0, bool)
+    pos, neg = found.documents(in_toxic), found.documents(~in_toxic)
     # association beyond chance: the log-likelihood ratio of a unit's labels must exceed that of as many random units
-    chance, link = n_pos / (n_pos + n_neg), {}
-    least = math.log(len(pos.keys() | neg.keys())) - 1
-    for u, n in pos.items():
-        m = neg[u]
-        ratio = n * math.log(n / (n + m) / chance) + (m * math.log(m / (n + m) / (1 - chance)) if m else 0)
-        if n / (n + m) > chance and ratio > least:
-            link[u] = ratio
-    # the landmarks for toxic units: greedily, those that cover most toxic bags not yet covered twice
-    left = [[u for u in bag if u in link] for bag, y in zip(bags, labels, strict=True) if y]
-    toxic_marks: list[str] = []
-    cover = [0] * len(left)
-    holders: dict[str, list[int]] = {}
-    for i, bag in enumerate(left):
-        for u in bag:
-            holders.setdefault(u, []).append(i)
+    chance = n_pos / (n_pos + n_neg)
+    share = pos / np.maximum(1, pos + neg)
+    ratio = pos * np.log(np.maximum(share, 1e-12) / chance) + neg * np.log(np.maximum(1 - share, 1e-12) / (1 - chance))
+    linked = (pos > 0) & (share > chance) & (ratio > math.log(max(1, len(names))) - 1)
+    # the landmarks for toxic units: greedily, those that cover most toxic documents not yet covered twice
+    text = np.repeat(found.text, found.sizes)
+    holders: dict[int, np.ndarray] = {}
+    at = np.flatnonzero(linked[found.flat] & toxic[text])
+    order = at[np.argsort(found.flat[at], kind="stable")]
+    for part in np.split(order, np.flatnonzero(np.diff(found.flat[order])) + 1) if len(order) else ():
+        holders[int(found.flat[part[0]])] = np.unique(text[part])
+    cover = np.zeros(len(texts), np.int64)
+    toxic_marks: list[int] = []
     while holders and len(toxic_marks) < LANDMARKS // 2:
-        u = max(holders, key=lambda u: (sum(cover[i] < 2 for i in holders[u]) * link[u] / pos[u], u))
+        u = max(holders, key=lambda u: ((cover[holders[u]] < 2).sum() * ratio[u] / pos[u], names[u]))
         toxic_marks.append(u)
-        for i in holders.pop(u):
-            cover[i] += 1
+        cover[holders.pop(u)] += 1
     if not toxic_marks:
         return flat
-    weight = Counter()
-    for bag in left:
-        if bag and (here := [u for u in bag if u in toxic_marks] or [max(bag, key=link.__getitem__)]):
-            weight.update(here)
-    clean = sorted(neg, key=lambda u: (-neg[u], u))
-    near = kernel(clean[:20_000], toxic_marks).max(1)
-    close = [clean[i] for i in np.argsort(-near, kind="stable")[: LANDMARKS // 2]]
-    marks = list(dict.fromkeys(toxic_marks + close))
+    clean = np.array(sorted(np.flatnonzero(neg).tolist(), key=lambda u: (-neg[u], names[u])), np.int64)
+    near = np.full(len(names), -np.inf)
+    near[clean] = _greatest([names[u] for u in clean], [names[u] for u in toxic_marks])
+    close = clean[np.argsort(-near[clean], kind="stable")[: LANDMARKS // 2]].tolist()
+    marks = [names[u] for u in dict.fromkeys(toxic_marks + close)]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
-    chosen = list(dict.fromkeys(clean[:2000] + close))
+    negative = np.unique(np.append(found.witnesses(near, ~in_toxic)[0], close))
+    strength, sure = np.where(linked, ratio, -np.inf), ratio[linked].max()
+    strength[toxic_marks] += sure  # a landmark before any other linked unit
+    weight = found.standing(strength, in_toxic, sure, 0.0)
     machine = flat
     for _ in range(rounds):
-        positive = [u for u in weight if neg[u] <= 0.02 * n_neg + pos[u] * 0.2]
-        words = positive + chosen
-        y = np.array([1.0] * len(positive) + [-1.0] * len(chosen))
-        count = np.array([weight[u] for u in positive] + [1.0] * len(chosen))
-        cost = np.where(y > 0, 20.0 * len(chosen) * count / max(1, count[y > 0].sum()), 20.0)
-        x = np.hstack([kernel(words, marks) @ root, np.ones((len(words), 1))])
+        positive = np.flatnonzero((weight > 0) & (neg <= 0.02 * n_neg + pos * 0.2))
+        if not len(positive):
+            break
+        own = np.append(positive, negative)
+        y = np.append(np.ones(len(positive)), -np.ones(len(negative)))
+        cost = COST * np.append(weight[positive], np.ones(len(negative)))  # of each toxic sentence, and of each unit that stands for clean ones
+        x = np.hstack([kernel([names[u] for u in own], marks) @ root, np.ones((len(own), 1))])
         w = _svm(x, y, cost)
         beta = root @ w[:-1]
         folded = np.zeros(ALPHABET**3)
         for index, key, v in phi(marks):
             np.add.at(folded, key, v * beta[index][:, None])
         machine = Machine(folded.astype(np.float32), float(w[-1]), 1.0, 0.0, marks)
-        decisions = dict(zip(clean, machine.decide(clean).tolist(), strict=True))
-        chosen = list(dict.fromkeys(chosen + sorted((u for u in clean if decisions[u] > -0.5 and u not in weight), key=lambda u: (-decisions[u], u))[:hard]))
-        # a toxic bag is stood for by the unit that scores highest, if any scores at all
-        weight = Counter()
-        for bag in left:
-            got = machine.decide(bag) if bag else np.zeros(0)
-            weight.update(u for u, d in zip(bag, got, strict=True) if d > 0 or (d == got.max() and d > -1))
-        if not weight:
-            break
+        decision = _decisions(machine, names)
+        # clean sentences whose witness is not safely clean; those of earlier rounds stay
+        witness, _ = found.witnesses(decision, ~in_toxic)
+        negative = np.union1d(negative, witness[decision[witness] > -1])
+        weight = found.standing(np.where(linked, decision, -np.inf), in_toxic, 0.0, -1.0)
     z = Scorer(machine)(texts)
     y = np.array(labels, float)
     seen = {1: n_pos, 0: n_neg}
@@ -297,7 +353,10 @@ def _scorer(machine: Machine) -> Scorer:
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.5, text: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold) of every whole text; null counts as empty."""
+    """Adds ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold) of every whole text; null counts as empty.
+
+    Repeated rows are returned as often, an empty table empty.  Columns of the results' names are replaced by them.
+    """
     C.prepare(docs.sparkSession)
     s, p = prefix + "score", prefix + "predicted"
     shipped = docs.sparkSession.sparkContext.broadcast(machine)  # ALPHABET ** 3 weights: 1 MB at every size

@@ -29,3 +29,15 @@ def test_stages_take_effect_and_equal_their_operators(spark, sf):
     assert set(docs.columns) < set(got.columns) and got.where("n_tokens is null").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "byte_bpe"]
     assert stages.STAGES is corpus_pipeline.STAGES
+
+
+def test_stages_on_nulls_repeated_rows_clashing_names_and_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    odd = docs.selectExpr("*", "1 as score", "2 as `a.b`", "3 as vid", "4 as n_tokens").unionAll(docs.limit(2).selectExpr("*", "1", "2", "3", "4"))
+    odd = odd.unionAll(spark.createDataFrame([(None, None, None, None, None, 1, 2, 3, 4), (900, "", "en", "web", 0, 1, 2, 3, 4)], odd.schema))
+    for table in (odd, odd.limit(0)):
+        for name, stage in stages.STAGES:
+            got = stage(spark, table, sf)
+            assert name == "byte_bpe" or got.columns == table.columns
+            n = got.count()
+            assert n <= table.count() and (name != "byte_bpe" or n == table.count())

@@ -32,6 +32,16 @@ def test_top_k_equals_brute_force_with_ties_and_bad_rows(spark, monkeypatch):
     assert topk.search(few, few.where("vec_id = 0")).count() == 3
 
 
+def test_top_k_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from '/root/testdata/sf0.1/embeddings.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op2_top_k"]).fetchall())
+    got = queries.op2_top_k(spark, "/root/testdata/sf0.1")
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, got.collect())) == want and len(want) >= 200
+
+
 def test_impact_index_proves_its_answers():
     r = np.random.default_rng(2)
     rows = r.integers(-300, 300, (3000, 16))
@@ -113,6 +123,20 @@ def test_near_duplicates_equal_brute_force_and_tiles_lose_nothing(spark, monkeyp
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, c in want})
 
 
+def test_one_row_of_each_class_stays_and_no_other_text_goes(spark):
+    r = random.Random(9)
+    text = {k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for k, n in (("A", 60), ("B", 60), ("D", 60), ("more", 40))}
+    rows = [(5, "A"), (5, "B"), (3, "B"), (7, "D"), (7, "A more"), (7, "D"), (None, "D"), (None, "F"), (None, "F"), (8, ""), (8, ""), (9, None)]
+    text |= {"A more": text["A"] + " " + text["more"], "F": "one two", "": "..."}
+    df = spark.createDataFrame([(i, text.get(k), k, 1) for i, k in rows], "doc_id long, text string, `a.b` string, vid int")
+    got = near_dup.keep_one(df)
+    assert got.columns == df.columns
+    want = [(3, "B"), (5, "A"), (7, "A more"), (7, "D"), (8, ""), (8, ""), (9, None), (None, "F")]
+    assert sorted(((x.doc_id or 99, x["a.b"]) for x in got.collect()), key=str) == sorted(((i or 99, k) for i, k in want), key=str)
+    assert near_dup.keep_one(df.limit(0)).count() == 0
+    assert sorted((x.doc_id or 99, x.class_id or 99) for x in near_dup.classes(df).collect()) == [(3, 3), (5, 3), (5, 5), (7, 7), (7, 7), (7, 7), (8, 8), (8, 8), (9, 9), (99, 7), (99, 99), (99, 99)]
+
+
 def weighted_classes(rows):
     """Classes by comparing every two texts under ln(1 + N / df), by words alone: nothing of the operator is used."""
     from collections import Counter
