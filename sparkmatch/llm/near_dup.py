@@ -43,7 +43,7 @@ BANDS, ROWS = 20, 5
 #: Least and most parts of the df count as powers of two, shingles of a part, and shingles that a task adds up at once.
 PART_BITS = (8, 20)
 PART_SHINGLES = 1 << 20
-HELD_SHINGLES = 1 << 21
+HELD_SHINGLES = 1 << 20
 #: N / df is told apart up to this: everywhere.
 CAP = math.inf
 STEPS = 8
@@ -96,29 +96,30 @@ class Weights:
         return max(1, round(STEPS * float(np.log(1 + max(n, 1) / df))))
 
     def of(self, shingle: np.ndarray) -> np.ndarray:
-        return self.among(shingle, self.keys, self.df)[0]
-
-    def among(self, shingle: np.ndarray, keys: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of each shingle by the df of the keys, and whether it is one of them."""
-        if not len(keys):
-            return np.full(len(shingle), self.rare, np.uint8), np.zeros(len(shingle), bool)
-        order = np.argsort(keys)
-        keys = keys[order]
-        level = np.maximum(1, np.rint(STEPS * np.log(1 + max(self.n, 1) / df[order]))).astype(np.uint8)
+        """Weight of each shingle by the df given."""
+        if not len(self.keys):
+            return np.full(len(shingle), self.rare, np.uint8)
+        order = np.argsort(self.keys)
+        keys = self.keys[order]
+        level = np.maximum(1, np.rint(STEPS * np.log(1 + max(self.n, 1) / self.df[order]))).astype(np.uint8)
         at = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
-        known = keys[at] == shingle
-        return np.where(known, level[at], np.uint8(self.rare)), known
+        return np.where(keys[at] == shingle, level[at], np.uint8(self.rare))
+
+    def column(self, df: str) -> F.Column:
+        """The same weight of a column of df above 1."""
+        return F.greatest(F.lit(1.0), F.rint(F.lit(STEPS) * F.log(1 + F.lit(float(max(self.n, 1))) / F.col(df)))).cast("long")
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of ln a by weight and table entry, and the odd factor of each hash."""
+        """ln a by weight and table entry as integers of the same order, and the odd factor of each hash."""
         if self._tables is None:
             rng = np.random.default_rng(20240229)
             r, c, beta = rng.gamma(2, 1, 1 << 16), rng.gamma(2, 1, 1 << 16), rng.random(1 << 16)
-            log_w = np.log(np.arange(1, self.rare + 1) / STEPS)[:, None]
-            t = np.floor(log_w / r + beta)
-            log_a = np.log(c) - r * (t - beta) - r
-            code = np.empty(log_a.size, np.uint32)
-            code[np.argsort(log_a, axis=None, kind="stable")] = np.arange(log_a.size, dtype=np.uint32)
+            code = np.empty((self.rare, 1 << 16), np.uint32)
+            for w in range(self.rare):  # one weight at a time: the whole table in doubles would be many times its size
+                t = np.floor(np.log((w + 1) / STEPS) / r + beta)
+                bits = (np.log(c) - r * (t - beta) - r).astype(np.float32).view(np.uint32)
+                code[w] = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # in the order of the numbers
+            code = code.ravel()
             factors = S.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
             self._tables = code, factors
         return self._tables
@@ -127,7 +128,6 @@ class Weights:
         """Bucket keys of each text; ``starts`` are the first elements of the texts, none of which is empty."""
         code, factors = self.tables()
         row = (level.astype(_U) - _U(1)) << _U(16)
-        shift = _U(40)  # at most 2 ** 8 weights of 2 ** 16 entries
         out = np.empty((len(starts), BANDS), np.int64)
         n, x, at = len(starts), np.empty_like(element), np.empty_like(element)
         for band in range(BANDS):
@@ -137,8 +137,8 @@ class Weights:
                 np.right_shift(x, _U(48), out=at)
                 at |= row
                 least = code[at].astype(_U)
-                least <<= shift
-                x >>= _U(24)
+                least <<= _U(32)
+                x >>= _U(32)
                 least |= x
                 key = S.mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(least, starts))
             out[:, band] = key.view(np.int64)
@@ -240,39 +240,50 @@ def _linkable(shipped):
 
 
 def _exploded(shipped):
-    """(vid, shingle) of each distinct shingle that may have a df above 1."""
+    """(vid, shingle, at) of each distinct shingle that may have a df above 1; at is its place among the text's."""
 
     def run(batches):
         bits = np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             for part in C.blocks(batch, 1, 4 << 20):
                 own = [np.unique(np.frombuffer(x, _U)) for x in part.column(1).to_pylist()]
-                vid = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+                sizes = np.array([len(x) for x in own])
+                vid = np.repeat(part.column(0).to_numpy(), sizes)
+                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 shingle = np.concatenate(own)
                 keep = _held(bits, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(vid[keep], pa.int64()), pa.array(_bucket(shingle[keep]), pa.int64())], names=["vid", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(vid[keep], pa.int64()), pa.array(_bucket(shingle[keep]), pa.int64()), pa.array(at[keep], pa.int64())], names=["vid", "shingle", "at"])
 
     return run
 
 
 def _sampler(shipped):
-    """(vid, total, keys, e, w) of rows (vid, s, known): total weight, bucket keys, elements and their weights."""
+    """(vid, total, keys, e, w) of rows (vid, s, known): total weight, bucket keys, elements and their weights.
+
+    ``known`` has, for each shingle of df above 1, its place among the text's shingles and its weight in the low 8 bits.
+    """
     p, q = THRESHOLD
 
     def run(batches):
         C.claim("near_dup", lambda: None)
         weights = shipped.value
         for batch in batches:
-            for part in C.blocks(batch, 1, 4 << 20):
+            for part in C.blocks(batch, 1, 2 << 20):
                 ends = np.cumsum(pc.list_value_length(part.column(2)).to_numpy())
-                known = part.column(2).flatten()
-                key, df = known.field(0).to_numpy().view(_U), known.field(1).to_numpy()
+                known = part.column(2).flatten().to_numpy()
                 fresh, start = [], 0
                 for vid, s, end in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends.tolist(), strict=True):
-                    element, shingle = _elements(np.frombuffer(s, _U))
-                    level, rest = weights.among(shingle, key[start:end], df[start:end])
+                    own = np.frombuffer(s, _U)
+                    element, shingle = _elements(own)
+                    distinct = np.unique(own)
+                    weight = np.full(len(distinct), weights.rare, np.uint8)
+                    rest = np.zeros(len(distinct), bool)
+                    at = known[start:end] >> 8
+                    weight[at], rest[at] = known[start:end] & 255, True
+                    of = np.searchsorted(distinct, shingle)
+                    level = weight[of]
                     start, total = end, int(level.sum(dtype=np.int64))
-                    if q * int(level[rest].sum(dtype=np.int64)) >= p * total:
+                    if q * int(level[rest[of]].sum(dtype=np.int64)) >= p * total:
                         fresh.append((vid, total, element, level))
                 if not fresh:
                     continue
@@ -387,7 +398,8 @@ def _solve(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
     rows = store.put(source.mapInArrow(_keys, "doc_id long, vid long, n long"), "rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows = rows.select("doc_id", "vid")
-    weights = spark.sparkContext.broadcast(Weights(n, {}))
+    weights = Weights(n, {})
+    shipped = spark.sparkContext.broadcast(weights)
 
     bits = _bits(total / PART_SHINGLES, PART_BITS)
     shared = store.put(texts.mapInArrow(_dealt(bits), "part long, s binary, n binary").groupBy("part").applyInArrow(_shared, "shingle long, df long"))
@@ -396,8 +408,9 @@ def _solve(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
     maps = shared.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()  # size / 8 bytes
     filled = spark.sparkContext.broadcast(_bitmap(maps, size))
     linkable = store.put(texts.mapInArrow(_linkable(filled), "vid long, s binary").dropDuplicates(["vid"]))
-    known = linkable.mapInArrow(_exploded(filled), "vid long, shingle long").join(shared, "shingle").groupBy("vid").agg(F.collect_list(F.struct("shingle", "df")).alias("known"))
-    samples = store.put(linkable.join(known, "vid").select("vid", "s", "known").mapInArrow(_sampler(weights), "vid long, total long, keys array<long>, e binary, w binary"))
+    parts_of = linkable.mapInArrow(_exploded(filled), "vid long, shingle long, at long").join(shared, "shingle")
+    known = parts_of.select("vid", F.shiftleft("at", 8).bitwiseOR(weights.column("df")).alias("known")).groupBy("vid").agg(F.collect_list("known").alias("known"))
+    samples = store.put(linkable.join(known, "vid").select("vid", "s", "known").mapInArrow(_sampler(shipped), "vid long, total long, keys array<long>, e binary, w binary"))
     unpacked = samples.select("vid", "e", "w")
     member = samples.select(F.explode("keys").alias("key"), "vid", "total").distinct()
     buckets = store.put(
