@@ -19,7 +19,9 @@ import base64
 import hashlib
 import re
 import unicodedata
-from functools import cache
+from array import array
+from collections.abc import Callable
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -35,19 +37,28 @@ CACHE_ENTRIES = 350_000
 CACHE_BYTES = 64
 
 
+#: Runs of more bytes keep list and buckets as 32-bit integers: slower to read, but a tenth of the memory.
+LISTED = 1 << 20
+
+
+def _packed(a: np.ndarray) -> array:
+    return array("i", a.astype(np.int32).tobytes())
+
+
 class RankQueue:
     """Buckets of list positions by merge rank, and a bitmap of three levels that finds the lowest filled rank."""
 
-    def __init__(self, ranks: int):
+    def __init__(self, ranks: int, make: Callable = list):
+        self.make = make
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[int] | array] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.fill(rank, [position])
+            self.fill(rank, self.make((position,)))
         else:
             bucket.append(position)
 
@@ -111,22 +122,27 @@ class ByteBPE:
         rank[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
         rank[last] = -1
         # position n is the cut on either side of a pre-token; its id makes no pair
-        after = np.where(last, n, np.arange(1, n + 1)).tolist()
-        before = np.where(np.append(True, last[:-1]), n, np.arange(-1, n - 1)).tolist()
+        small = n <= LISTED
+        hold = np.ndarray.tolist if small else _packed
+        after = hold(np.where(last, n, np.arange(1, n + 1, dtype=np.int32)))
+        before = hold(np.where(np.append(True, last[:-1]), n, np.arange(-1, n - 1, dtype=np.int32)))
         before.append(n)
-        ids = self.byte_ids[raw].tolist()
+        ids = hold(self.byte_ids[raw])
         ids.append(1 << 19)
-        queue = RankQueue(self.n)
+        queue = RankQueue(self.n, list if small else partial(array, "i"))
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         if len(at):
             firsts = np.flatnonzero(np.diff(rank[at], prepend=-1))
             for r, bucket in zip(rank[at[firsts]].tolist(), np.split(at, firsts[1:]), strict=True):
-                queue.fill(r, bucket.tolist())
+                queue.fill(r, hold(bucket))
         pair, push = self.pairs.get, queue.push
         while (got := queue.pop()) is not None:
             rank, bucket = got
-            bucket.sort()
+            if small:
+                bucket.sort()
+            else:
+                bucket = _packed(np.sort(np.frombuffer(bucket, np.int32)))
             head = rank << 20
             for k, p in enumerate(bucket):
                 if (left := ids[p]) < 0 or pair(left << 20 | ids[q := after[p]]) != rank:
@@ -145,7 +161,7 @@ class ByteBPE:
                     for rest in bucket[k + 1 :]:
                         push(rank, rest)
                     break
-        ids = np.array(ids[:n])
+        ids = np.array(ids[:n], np.int32)
         keep = ids >= 0
         cuts = np.append(0, np.cumsum(keep))[ends][:-1]
         return np.split(ids[keep].astype(self.code), cuts)

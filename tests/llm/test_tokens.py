@@ -34,6 +34,13 @@ def test_bpe_equals_the_library_and_decodes(tik):
         assert table.decode(ids.tolist()) == text.encode()
 
 
+def test_long_runs_are_merged_in_packed_lists_alike(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "LISTED", 100)
+    table, r = bpe.ByteBPE(bpe.load(RANKS, P.PATTERN).ranks, P.PATTERN), random.Random(4)
+    for text in ["a" * 5000, "".join(r.choice("abcdeing") for _ in range(20_000)), "".join(r.choice("th ein the漢é") for _ in range(9000))]:
+        assert table.encode_texts([text])[0].tolist() == tik.encode_ordinary(text)
+
+
 def test_rank_queue_pops_in_order():
     q, r = bpe.RankQueue(60_000), random.Random(3)
     want = sorted({r.randrange(60_000) for _ in range(500)})
