@@ -17,11 +17,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written as Parquet to the shared folder and read again."""
-    docs = C.table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; each result is written as Parquet to the shared folder and read again.
+
+    A stage's table is deleted once the next one's is written; only the last stays.
+    """
+    docs, before = C.table(spark, sf_dir, "documents"), None
     base = f"{C.scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         out = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            C.remove(spark, before)
+        before = out
     return docs
