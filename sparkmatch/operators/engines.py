@@ -3,8 +3,10 @@
 Binary joins.  ``explore`` extends by the pivot's index edges and checks the other edges in the data graph; ``gql`` by
 data edges that end in a candidate; ``qsi`` by data edges with label and degree alone; ``vf3`` also looks ahead at neighbour labels.
 
-Worst-case optimal joins.  ``lftj`` intersects, for each partial embedding, the sorted index lists of all neighbours bound before
-and expands only the intersection; ``ceci`` does so over candidates of the CECI filter; ``rm`` does so on the 2-core and joins the rest.
+Worst-case optimal joins.  ``lftj`` extends each partial embedding over the shortest of the index lists of the neighbours
+bound before, chosen embedding by embedding, and looks the results up in the others, so no step costs more than the
+shortest list and no list is held as one value; ``ceci`` always extends over the tree parent's list and looks up in the
+others of the index; ``rm`` does as ``lftj`` on the 2-core and joins the rest.
 
 Factorised counts.  ``kss`` enumerates a kernel that covers all query edges and counts the ways to place the shell, an
 independent set, by products; ``veq`` enumerates classes of candidates with equal index lists and counts their members.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkmatch.functions import stats as S
 from sparkmatch.operators import filters
-from sparkmatch.operators.index import Index, build
+from sparkmatch.operators.index import Index
 from sparkmatch.operators.steps import Step, col, steps
 
 #: Index edges that ``dpiso`` may broadcast at most, both directions; beyond that ``lftj`` answers in its place.
@@ -104,47 +106,92 @@ def vf3(index: Index, plan: list[Step]) -> DataFrame:
     return _binary(index, plan, edges, lambda w, u: c.graph.step(c.query, w, u))
 
 
-def _local(partial: DataFrame, index: Index, u: int, near: tuple[int, ...], name: str) -> DataFrame:
-    """Adds the sorted array of the candidates of u beside all of ``near``; rows without any go."""
-    lists = []
-    for w in near:
-        a = index.adjacency(w, u).select(F.col("src").alias(f"__s{w}"), F.col("nbrs").alias(f"__n{w}"))
-        partial = partial.join(a, F.col(col(w)) == F.col(f"__s{w}")).drop(f"__s{w}")
-        lists.append(F.col(f"__n{w}"))
-    both = reduce(F.array_intersect, lists)
-    return partial.withColumn(name, both).drop(*[f"__n{w}" for w in near]).where(F.size(name) > 0)
+def _length(w: int, u: int) -> str:
+    """Name of the column with the length of the index list from w's image to u."""
+    return f"d{w}_{u}"
 
 
-def _intersect(partial: DataFrame, index: Index, step: Step) -> DataFrame:
-    out = _local(partial, index, step.u, step.near, "__local")
-    if step.differ or step.less:
-        out = out.withColumn("__local", F.filter("__local", lambda v: step.accepts(v)))
-    return out.withColumn(col(step.u), F.explode("__local")).drop("__local")
+def _wanted(plan: list[Step]) -> dict[int, list[int]]:
+    """For each vertex the later ones that several neighbours lead to, whose choice needs the lengths of its lists."""
+    return {w: [s.u for s in plan if w in s.near and len(s.near) > 1] for w in (s.u for s in plan)}
 
 
-def lftj(index: Index, plan: list[Step]) -> DataFrame:
-    out = _root(plan[0], index.candidates.of[plan[0].u])
-    for step in plan[1:]:
-        out = _intersect(out, index, step)
-    return _ordered(out, len(plan))
+def _lengths(index: Index, u: int, later: list[int]) -> DataFrame:
+    """(v, lengths of v's lists to each of ``later``); a candidate without an edge to one of them is in no embedding."""
+    edges = reduce(DataFrame.unionAll, (index.edges(u, x).select(F.col("src").alias("v"), F.lit(x).alias("x")) for x in later))
+    counts = edges.groupBy("v").agg(*[F.count(F.when(F.col("x") == x, 1)).alias(_length(u, x)) for x in later])
+    return counts.where(reduce(lambda a, b: a & b, (F.col(_length(u, x)) > 0 for x in later)))
 
 
-def ceci(index: Index, plan: list[Step]) -> DataFrame:
-    c = index.candidates
-    return lftj(build(filters.make("ceci", c.graph, c.query, root=plan[0].u)), plan)
+def _lists(index: Index, near: tuple[int, ...], u: int) -> DataFrame:
+    """(k, src, dst): the index edges to u from the k-th of its neighbours."""
+    return reduce(DataFrame.unionAll, (index.edges(w, u).select(F.lit(k).alias("__k"), F.col("src").alias("__src"), F.col("dst").alias(col(u))) for k, w in enumerate(near)))
 
 
-def rm(index: Index, plan: list[Step]) -> DataFrame:
-    query = index.candidates.query
-    out = _root(plan[0], index.candidates.of[plan[0].u])
+def _ranked(near: tuple[int, ...], u: int) -> Column:
+    """Array of (length, k, image) of the neighbours, the shortest list first."""
+    return F.sort_array(F.array(*[F.struct(F.col(_length(w, u)).alias("n"), F.lit(k).alias("k"), F.col(col(w)).alias("v")) for k, w in enumerate(near)]))
+
+
+def _looked_up(out: DataFrame, keys: list[str], lists: DataFrame, dst: str, places: range) -> DataFrame:
+    """Rows whose image of the last vertex is also in the lists of the other neighbours, ``__at[i]`` for i in ``places``."""
+    for i in places:
+        at = F.col("__at")[i]
+        found = lists.select(*[F.col(k).alias(f"__x{k}") for k in keys], F.col("__k").alias("__xk"), F.col("__src").alias("__xs"), F.col(dst).alias("__xv"))
+        on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__x{k}") for k in keys] + [at["k"] == F.col("__xk"), at["v"] == F.col("__xs"), F.col(dst) == F.col("__xv")])
+        out = out.join(found, on, "left_semi")
+    return out
+
+
+def _shortest(partial: DataFrame, index: Index, step: Step, later: list[int]) -> DataFrame:
+    """Extension over the shortest list of each partial embedding, with the lengths that ``later`` steps ask for."""
+    u, near = step.u, step.near
+    if len(near) == 1:
+        lists = index.edges(near[0], u).select(F.col("src").alias("__src"), F.col("dst").alias(col(u)))
+    else:
+        lists = _lists(index, near, u)
+    wide = lists.join(_lengths(index, u, later), F.col(col(u)) == F.col("v")).drop("v") if later else lists
+    if len(near) == 1:
+        return partial.join(wide, (F.col(col(near[0])) == F.col("__src")) & step.accepts(F.col(col(u)))).drop("__src")
+    out = partial.withColumn("__at", _ranked(near, u)).drop(*[_length(w, u) for w in near])
+    first = F.col("__at")[0]
+    out = out.join(wide, (first["k"] == F.col("__k")) & (first["v"] == F.col("__src")) & step.accepts(F.col(col(u)))).drop("__k", "__src")
+    return _looked_up(out, [], lists, col(u), range(1, len(near))).drop("__at")
+
+
+def _bound(index: Index, plan: list[Step], wanted: dict[int, list[int]], shortest: Callable[[Step], bool] = lambda s: True) -> DataFrame:
+    """Embeddings of the plan's vertices, and the lengths that are still wanted."""
+    first = plan[0].u
+    out = _root(plan[0], index.candidates.of[first])
+    if wanted[first]:
+        out = out.join(_lengths(index, first, wanted[first]), F.col(col(first)) == F.col("v")).drop("v")
     for step in plan[1:]:
-        if query.core[step.u] >= 2 and len(step.near) > 1:
-            out = _intersect(out, index, step)
+        if shortest(step):
+            out = _shortest(out, index, step, wanted[step.u])
         else:
             out = _extend(out, step, index.edges(step.near[0], step.u), lambda w, u=step.u: index.edges(w, u))
+            if wanted[step.u]:
+                out = out.join(_lengths(index, step.u, wanted[step.u]), F.col(col(step.u)) == F.col("v")).drop("v")
+    return out
+
+
+def lftj(index: Index, plan: list[Step]) -> DataFrame:
+    return _ordered(_bound(index, plan, _wanted(plan)), len(plan))
+
+
+def ceci(index: Index, plan: list[Step]) -> DataFrame:
+    out = _root(plan[0], index.candidates.of[plan[0].u])
+    for step in plan[1:]:
+        out = _extend(out, step, index.edges(step.near[0], step.u), lambda w, u=step.u: index.edges(w, u))
     return _ordered(out, len(plan))
 
 
+def rm(index: Index, plan: list[Step]) -> DataFrame:
+    inside = {s.u for s in plan if index.candidates.query.core[s.u] >= 2 and len(s.near) > 1}
+    wanted = {w: [u for u in later if u in inside] for w, later in _wanted(plan).items()}
+    return _ordered(_bound(index, plan, wanted, lambda s: s.u in inside), len(plan))
+
+
 # ---- factorised counts
 
 
@@ -160,14 +207,17 @@ def _partitions(items: list[int]):
             yield [*blocks[:i], [first, *b], *blocks[i + 1 :]]
 
 
-def placements(arrays: list[Column]) -> Column:
-    """Number of ways to take one element of each array, all different: a sum over the partitions of the arrays."""
+def placements(items: list[int], common: Callable[[tuple[int, ...]], Column]) -> Column:
+    """Number of ways to take one element of each item, all different: a sum over the partitions of the items.
+
+    ``common`` gives the number of elements that all items of a block have.
+    """
     total = F.lit(0).cast("long")
-    for blocks in _partitions(list(range(len(arrays)))):
+    for blocks in _partitions(items):
         term = F.lit(1).cast("long")
         for b in blocks:
             sign = (-1) ** (len(b) - 1) * factorial(len(b) - 1)
-            term = term * F.size(reduce(F.array_intersect, (arrays[i] for i in b))).cast("long") * F.lit(sign).cast("long")
+            term = term * common(tuple(sorted(b))) * F.lit(sign).cast("long")
         total = total + term
     return total
 
@@ -186,39 +236,54 @@ def kernel(index: Index, plan: list[Step]) -> tuple[list[int], list[int]]:
     return inside, shell
 
 
-def _below(name: str):
-    return lambda v: v < F.col(name)
-
-
-def _above(name: str):
-    return lambda v: v > F.col(name)
-
-
 def kss(index: Index, plan: list[Step]) -> DataFrame:
-    """(n_embeddings), one row."""
+    """(n_embeddings), one row.
+
+    Each kernel embedding becomes a row for each shell vertex, which is extended like a step of ``lftj``; how many
+    vertices every set of shell vertices of one label may share is counted by kernel embedding, in one aggregation.
+    """
     query = index.candidates.query
     inside, shell = kernel(index, plan)
     constraints = [c for s in plan for c in s.less]
-    within = [c for c in constraints if set(c) <= set(inside)]
-    inner = {s.u: s for s in _sub_steps(query, inside, within)}
-    out = _root(plan[0], index.candidates.of[plan[0].u])
-    for u in inside[1:]:
-        out = _intersect(out, index, inner[u])
-    groups: dict[int, list[str]] = {}
+    bound = _sub_steps(query, inside, [c for c in constraints if set(c) <= set(inside)])
+    near = {s: tuple(w for w in inside if query.has_edge(s, w)) for s in shell}
+    wanted = _wanted(bound)
+    for s in shell:
+        for w in near[s] if len(near[s]) > 1 else ():
+            wanted[w] = [*wanted[w], s]
+    out = _bound(index, bound, wanted)
+    if not shell:
+        return out.agg(F.count("*").alias("n_embeddings"))
+    keys, most = [col(w) for w in inside], max(map(len, near.values()))
+
+    def asked(s: int) -> Column:
+        """The row of shell vertex s: its lists, the shortest first; a vertex of fewer lists than others repeats it."""
+        at = _ranked(near[s], s) if len(near[s]) > 1 else F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit(0).alias("k"), F.col(col(near[s][0])).alias("v")))
+        return F.struct(F.lit(s).alias("s"), F.concat(at, F.array_repeat(at[0], most - len(near[s]))).alias("at"))
+
+    rows = out.select(*keys, F.explode(F.array(*[asked(s) for s in shell])).alias("__r")).select(*keys, F.col("__r.s").alias("__s"), F.col("__r.at").alias("__at"))
+    lists = reduce(DataFrame.unionAll, (_lists(index, near[s], s).select(F.lit(s).alias("__s"), "__k", "__src", F.col(col(s)).alias("__v")) for s in shell))
+    first, renamed = F.col("__at")[0], lists.select(F.col("__s").alias("__t"), "__k", "__src", "__v")
+    allowed = F.lit(True)
+    for s in shell:
+        step = Step(s, near[s], tuple(w for w in inside if query.labels[w] == query.labels[s] and not query.has_edge(s, w)), tuple(c for c in constraints if s in c))
+        allowed = allowed & ((F.col("__s") != s) | step.accepts(F.col("__v")))
+    met = rows.join(renamed, (F.col("__s") == F.col("__t")) & (first["k"] == F.col("__k")) & (first["v"] == F.col("__src")) & allowed).drop("__t", "__k", "__src")
+    met = _looked_up(met, ["__s"], lists, "__v", range(1, most))
+    groups: dict[int, list[int]] = {}
     for s in shell:
-        name = f"__a{s}"
-        out = _local(out, index, s, tuple(w for w in inside if query.has_edge(s, w)), name)
-        taken = [col(w) for w in inside if query.labels[w] == query.labels[s] and not query.has_edge(s, w)]
-        if taken:
-            out = out.withColumn(name, F.array_except(name, F.array(*taken)))
-        for a, b in (c for c in constraints if s in c):
-            other = col(b if a == s else a)
-            out = out.withColumn(name, F.filter(name, _below(other) if a == s else _above(other)))
-        groups.setdefault(query.labels[s], []).append(name)
+        groups.setdefault(query.labels[s], []).append(s)
+    place = {s: (g, i) for g, members in enumerate(groups.values()) for i, s in enumerate(members)}
+    of = lambda i: reduce(lambda a, s: F.when(F.col("__s") == s, place[s][i]).otherwise(a), shell, F.lit(0))
+    met = met.select(*keys, "__v", of(0).alias("__g"), F.expr("1").alias("__one"), of(1).alias("__i")).withColumn("__m", F.expr("shiftleft(__one, __i)"))
+    if max(map(len, groups.values())) > 1:
+        met = met.groupBy(*keys, "__g", "__v").agg(F.bit_or("__m").alias("__m"))
+    sets = [(g, b) for g, members in enumerate(groups.values()) for b in range(1, 1 << len(members))]
+    counts = met.groupBy(*keys).agg(*[F.count(F.when((F.col("__g") == g) & (F.col("__m").bitwiseAND(b) == b), 1)).alias(f"__c{g}_{b}") for g, b in sets])
     ways = F.lit(1).cast("long")
-    for names in groups.values():
-        ways = ways * placements([F.col(x) for x in names])
-    return out.agg(F.coalesce(F.sum(ways), F.lit(0)).cast("long").alias("n_embeddings"))
+    for g, members in enumerate(groups.values()):
+        ways = ways * placements(list(range(len(members))), lambda block, g=g: F.col(f"__c{g}_{sum(1 << i for i in block)}"))
+    return counts.agg(F.coalesce(F.sum(ways), F.lit(0)).cast("long").alias("n_embeddings"))
 
 
 def _sub_steps(query, order: list[int], constraints: list[tuple[int, int]]) -> list[Step]:
@@ -232,16 +297,24 @@ def _sub_steps(query, order: list[int], constraints: list[tuple[int, int]]) -> l
 
 
 def classes(index: Index, u: int) -> DataFrame:
-    """(v, rep, members): candidates of u with equal index lists to every neighbour of u form a class."""
-    query = index.candidates.query
-    out = index.candidates.of[u].select("v")
-    keys = []
-    for w in query.adjacent[u]:
-        a = index.adjacency(u, w).select(F.col("src").alias("v"), F.col("nbrs").alias(f"__k{w}"))
-        out = out.join(a, "v")  # a candidate without an edge to some neighbour is in no embedding
-        keys.append(f"__k{w}")
-    by = out.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("members"))
-    return by.select(F.explode("members").alias("v"), F.col("members")[0].alias("rep"), "members")
+    """(v, rep, n): candidates of u with equal index lists to every neighbour of u form a class of n; rep is the least.
+
+    Lists are told apart by their lengths and two 64-bit sums of hashes, so none is collected; a candidate without an
+    edge to some neighbour is in no embedding and in no class.
+    """
+    near = index.candidates.query.adjacent[u]
+    edges = reduce(DataFrame.unionAll, (index.edges(u, w).select(F.col("src").alias("v"), F.lit(w).alias("w"), "dst") for w in near))
+    marks = []
+    for w in near:
+        here = lambda x, w=w: F.when(F.col("w") == w, x)
+        marks.append(F.count(here(F.lit(1))).alias(f"n{w}"))
+        for seed in (1, 2):
+            # sums of 64-bit hashes as decimals: no overflow
+            marks.append(F.sum(here(F.xxhash64(F.lit(seed), "dst").cast("decimal(20,0)"))).alias(f"h{seed}_{w}"))
+    signs = edges.groupBy("v").agg(*marks).where(reduce(lambda a, b: a & b, (F.col(f"n{w}") > 0 for w in near)))
+    signs = signs.select("v", F.struct(*[c for c in signs.columns if c != "v"]).alias("sign"))
+    heads = signs.groupBy("sign").agg(F.min("v").alias("rep"), F.count("*").alias("n"))
+    return signs.join(heads, "sign").select("v", "rep", "n")
 
 
 def veq(index: Index, plan: list[Step]) -> DataFrame:
@@ -264,13 +337,26 @@ def veq(index: Index, plan: list[Step]) -> DataFrame:
     # classes of two vertices of one label may be the same; what must differ is decided by the counts
     loose = [Step(s.u, s.near, () if s.u in table else s.differ, s.less) for s in plan]
     out = lftj(reduced, loose)
-    for u in merged:
-        out = out.join(table[u].where("v = rep").select(F.col("rep").alias(f"__r{u}"), F.col("members").alias(f"__m{u}")), F.col(col(u)) == F.col(f"__r{u}")).drop(f"__r{u}")
+
+    def common(block: tuple[int, ...]) -> DataFrame:
+        """How many candidates the classes of several vertices of one label share."""
+        each = [table[u].select("v", F.col("rep").alias(col(u))) for u in block]
+        return reduce(lambda a, b: a.join(b, "v"), each).groupBy(*[col(u) for u in block]).agg(F.count("*").alias(name(block)))
+
+    name = lambda block: "__n" + "_".join(map(str, block))
     ways, seen = F.lit(1).cast("long"), set()
     for u in merged:
-        if u not in seen:
-            seen |= set(of_label[u])
-            ways = ways * placements([F.col(f"__m{w}") for w in of_label[u]])
+        if u in seen:
+            continue
+        group = of_label[u]
+        seen |= set(group)
+        for block in {tuple(sorted(b)) for blocks in _partitions(group) for b in blocks}:
+            if len(block) == 1:
+                sizes = table[block[0]].where("v = rep").select(F.col("rep").alias(col(block[0])), F.col("n").alias(name(block)))
+                out = out.join(sizes, col(block[0]))
+            else:
+                out = out.join(common(block), [col(x) for x in block], "left")
+        ways = ways * placements(group, lambda block: F.coalesce(F.col(name(block)), F.lit(0).cast("long")))
     return out.agg(F.coalesce(F.sum(ways), F.lit(0)).cast("long").alias("n_embeddings"))
 
 

@@ -13,13 +13,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmatch.functions import stats as S
 from sparkmatch.model import DataGraph, QueryGraph
 from sparkmatch.plans import tree as T
-from sparkmatch.store import Store
+from sparkmatch.store import Store, is_scan
 
 #: Hall's condition is checked by one sum for each set of same-label neighbours, up to so many sums; a matching is searched beyond.
 HALL_SETS = 254
@@ -32,8 +32,17 @@ class Candidates:
     of: dict[int, DataFrame]
     notes: dict = field(default_factory=dict)
 
+    @staticmethod
+    def within(query: QueryGraph, graph: DataGraph, table: DataFrame) -> Candidates:
+        """From one table (u, v), which ``frame`` returns as long as no vertex is pruned."""
+        of = {u: table.where(F.col("u") == u).select("v") for u in range(len(query))}
+        return Candidates(query, graph, dict(of), {"table": (of, table)})
+
     def frame(self) -> DataFrame:
         """(u, v) of all candidates."""
+        of, table = self.notes.get("table", ({}, None))
+        if table is not None and all(self.of[u] is of[u] for u in self.of):
+            return table
         return reduce(DataFrame.unionAll, (df.select(F.lit(u).alias("u"), "v") for u, df in sorted(self.of.items())))
 
     def counts(self) -> dict[int, int]:
@@ -42,9 +51,10 @@ class Candidates:
         return {u: got.get(u, 0) for u in self.of}
 
     def stored(self, store: Store) -> Candidates:
-        """The same, cut from its lineage: one table with all u."""
-        table = store.put(self.frame())
-        return Candidates(self.query, self.graph, {u: table.where(F.col("u") == u).select("v") for u in self.of}, self.notes)
+        """The same, cut from its lineage: one table with a folder for each u."""
+        out = Candidates.within(self.query, self.graph, store.put(self.frame(), by=("u",)).select("u", "v"))
+        out.notes = self.notes | out.notes
+        return out
 
 
 def _toward(c: Candidates, u: int, w: int) -> DataFrame:
@@ -65,26 +75,29 @@ def label(graph: DataGraph, query: QueryGraph) -> Candidates:
     return Candidates(query, graph, of, {"label_only": True})
 
 
+def _fitting(vertices: DataFrame, query: QueryGraph, fits: Callable[[int], Column]) -> DataFrame:
+    """(u, v): one pass over the vertices; each comes out once for every query vertex that it fits."""
+    which = F.array_compact(F.array(*[F.when((F.col("label") == query.labels[u]) & fits(u), F.lit(u)) for u in range(len(query))]))
+    return vertices.select(F.explode(which).alias("u"), F.col("id").alias("v"))
+
+
 def ldf(graph: DataGraph, query: QueryGraph) -> Candidates:
     """Same label, at least the degree."""
-    of = {
-        u: graph.vertices.where((F.col("label") == query.labels[u]) & (F.col("degree") >= query.degree[u])).select(F.col("id").alias("v"))
-        for u in range(len(query))
-    }
-    return Candidates(query, graph, of)
+    vertices = graph.vertices.where(F.col("label").isin(sorted(set(query.labels))))
+    return Candidates.within(query, graph, _fitting(vertices, query, lambda u: F.col("degree") >= query.degree[u]))
 
 
 def nlf(graph: DataGraph, query: QueryGraph) -> Candidates:
     """As ``ldf``, and at least as many neighbours of each label (over edges of each label, if the query's have any)."""
     profile, names = S.profile(graph, query)
 
-    def enough(u: int):
-        out = (F.col("label") == query.labels[u]) & (F.col("degree") >= query.degree[u])
+    def enough(u: int) -> Column:
+        out = F.col("degree") >= query.degree[u]
         for kind, n in query.neighbour_kinds[u].items():
             out = out & (F.col(names[kind]) >= n)
         return out
 
-    return Candidates(query, graph, {u: profile.where(enough(u)).select(F.col("id").alias("v")) for u in range(len(query))})
+    return Candidates.within(query, graph, _fitting(profile, query, enough))
 
 
 # ---- bipartite matching
@@ -153,6 +166,8 @@ def _matches(need: int):
 
 def narrowed(graph: DataGraph, query: QueryGraph, store: Store) -> DataGraph:
     """The part of a graph with the query's labels, written once to be read by every step of a filter."""
+    if is_scan(graph.vertices) and is_scan(graph.edges):  # a stored graph: its scans filter by label themselves
+        return graph
     labels = sorted(set(query.labels))
     edges = graph.edges.where(F.col("src_label").isin(labels) & F.col("dst_label").isin(labels))
     return DataGraph(store.put(graph.vertices.where(F.col("label").isin(labels))), store.put(edges.sortWithinPartitions("src_label", "dst_label")))
@@ -165,11 +180,13 @@ def _sweep(c: Candidates, order, visit: Callable[[int], None], store: Store) ->
         visit(u)
         if c.of[u] is not before:
             c.of[u] = store.put(c.of[u])
+            if id(before) in store.paths:  # the state before is read no more
+                store.drop(before)
 
 
 def gql(graph: DataGraph, query: QueryGraph, store: Store, sweeps: int = 2) -> Candidates:
     """``nlf``, then sweeps in order of id: a candidate's neighbours must match all neighbours of u."""
-    c = nlf(graph, query)
+    c = nlf(graph, query).stored(store)
     for _ in range(sweeps):
         _sweep(c, range(len(query)), lambda u: c.of.__setitem__(u, saturated(c, u)), store)
     return c
@@ -177,7 +194,7 @@ def gql(graph: DataGraph, query: QueryGraph, store: Store, sweeps: int = 2) -> C
 
 def calig(graph: DataGraph, query: QueryGraph, store: Store) -> Candidates:
     """``ldf``, then three sweeps, forward, back and forward, with the same test."""
-    c, ids = ldf(graph, query), list(range(len(query)))
+    c, ids = ldf(graph, query).stored(store), list(range(len(query)))
     for order in (ids, ids[::-1], ids):
         _sweep(c, order, lambda u: c.of.__setitem__(u, saturated(c, u)), store)
     return c
@@ -206,14 +223,14 @@ def _tree_filter(c: Candidates, tree: T.Tree, down: Callable[[int], list[int]],
 
 def tso(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """Down the breadth-first tree by parents, then up by children."""
-    c = nlf(graph, query)
+    c = nlf(graph, query).stored(store)
     tree = T.breadth_first(query, _root(root, lambda: T.root_by_frequency(query, label_counts(graph, query)[0], c.counts(), label_counts(graph, query)[1])))
     return _tree_filter(c, tree, lambda u: [] if tree.parent[u] is None else [tree.parent[u]], tree.children, store)
 
 
 def cfl(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """Level by level: forward by all neighbours before, back by later neighbours of the level; then up by deeper neighbours."""
-    c = nlf(graph, query)
+    c = nlf(graph, query).stored(store)
     tree = T.breadth_first(query, _root(root, lambda: T.root_in_core(query, label_counts(graph, query)[0], c.counts())))
     for level in tree.levels():
         _sweep(c, level, lambda u: prune(c, u, tree.before(u)), store)
@@ -225,7 +242,7 @@ def cfl(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = No
 
 def dpiso(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = None) -> Candidates:
     """``ldf``, then over the breadth-first directed graph: forward, backward, forward."""
-    c = ldf(graph, query)
+    c = ldf(graph, query).stored(store)
     tree = T.breadth_first(query, _root(root, lambda: T.root_by_ratio(query, c.counts(), leaves=False)))
     for k in range(3):
         order, near = (tree.order[::-1], tree.after) if k % 2 else (tree.order, tree.before)
@@ -240,7 +257,7 @@ def ceci(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = N
     Going up, a candidate stays only if each later neighbour has a candidate beside it, that is while its number of
     ways down the tree is not zero.
     """
-    c = nlf(graph, query)
+    c = nlf(graph, query).stored(store)
     tree = T.breadth_first(query, _root(root, lambda: T.root_by_ratio(query, c.counts())))
 
     def down(u: int) -> list[int]:
@@ -269,7 +286,7 @@ def veq(graph: DataGraph, query: QueryGraph, store: Store, root: int | None = No
 
     A sweep tests neighbour counts over those that are still candidates, and the neighbours after (before, going forward).
     """
-    c = ldf(graph, query)
+    c = ldf(graph, query).stored(store)
     _sweep(c, range(len(query)), lambda u: prune(c, u, query.adjacent[u]), store)
     tree = T.breadth_first(query, _root(root, lambda: T.root_by_ratio(query, c.counts(), leaves=False)))
     for k in range(3):
@@ -289,7 +306,7 @@ def rm(graph: DataGraph, query: QueryGraph, store: Store) -> Candidates:
 
     The reducer goes along the degeneracy order and back, twice; each vertex is reduced by its neighbours on one side.
     """
-    c = nlf(graph, query)
+    c = nlf(graph, query).stored(store)
     order = query.degeneracy_order()
     at = {u: i for i, u in enumerate(order)}
     for k in range(4):

@@ -34,10 +34,6 @@ class Index:
         by = self.frame().groupBy("u", "u2", "v").agg(F.count("*").alias("d"))
         return by.groupBy("u", "u2").agg(F.sum("d").alias("n_edges"), F.max("d").alias("max_degree"), (8 * (F.sum("d") + F.count("*"))).alias("n_bytes"))
 
-    def adjacency(self, u: int, w: int) -> DataFrame:
-        """(src, nbrs): for each candidate of u the sorted candidates of w beside it."""
-        return self.edges(u, w).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
-
     def stats(self, paths: bool = False) -> Stats:
         """What orders ask for: one job over the candidates, one over the index, one over the labels."""
         c = self.candidates
@@ -59,11 +55,18 @@ class Index:
 
 
 def build(c: Candidates, store: Store | None = None) -> Index:
-    """One semi-join on either side for each undirected query edge; ``store`` writes them to be read several times."""
+    """One semi-join on either side for each undirected query edge.
+
+    With a ``store`` all are written as one table, a folder for each query edge, to be read several times.
+    """
     of = {}
     for u, w in sorted(c.query.edges):
         e = c.graph.step(c.query, u, w)
         if not c.notes.get("label_only"):
             e = e.join(c.of[u].select(F.col("v").alias("src")), "src", "left_semi").join(c.of[w].select(F.col("v").alias("dst")), "dst", "left_semi")
-        of[u, w] = store.put(e) if store else e
+        of[u, w] = e.select("src", "dst")
+    if store and of:
+        whole = reduce(DataFrame.unionAll, (e.select(F.lit(u).alias("u"), F.lit(w).alias("w"), "src", "dst") for (u, w), e in of.items()))
+        table = store.put(whole, by=("u", "w"))
+        of = {(u, w): table.where((F.col("u") == u) & (F.col("w") == w)).select("src", "dst") for u, w in of}
     return Index(c, of)

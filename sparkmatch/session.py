@@ -6,7 +6,7 @@ import json
 import threading
 import time
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,12 @@ class Plan:
     filter: str
     order_name: str
     engine: str
+    store: Store | None = None
+
+    def close(self) -> None:
+        """Deletes the stored candidates and index; nothing of the plan can run after that."""
+        if self.store:
+            self.store.clear()
 
     @property
     def steps(self) -> list[Step]:
@@ -48,16 +54,29 @@ class Plan:
             return engines.COUNTERS[self.engine](self.index, self.steps)
         return self.embeddings().agg(F.count("*").alias("n_embeddings"))
 
-    def limited(self, limit: int) -> DataFrame:
-        """At most ``limit`` embeddings.  Roots are taken in growing shares until there are enough."""
+    def _shares(self):
+        """The plan over growing shares of the root candidates, the whole at last."""
         c, root = self.index.candidates, self.order[0]
         share = F.pmod(F.xxhash64("v"), F.lit(64))
         for part in BATCHES[:-1]:
-            of = {**c.of, root: c.of[root].where(share < part)}
-            some = Plan(_restricted(self.index, root, of), self.order, self.constraints, self.filter, self.order_name, "lftj").embeddings().limit(limit)
-            if some.count() >= limit:
-                return some
-        return self.embeddings().limit(limit)
+            yield replace(self, index=_restricted(self.index, root, {**c.of, root: c.of[root].where(share < part)}))
+        yield self
+
+    def limited(self, limit: int) -> DataFrame:
+        """At most ``limit`` embeddings, by the plan's engine.  Roots are taken in growing shares until there are enough."""
+        for some in self._shares():
+            out = some.embeddings().limit(limit)
+            if some is self or out.count() >= limit:
+                return out
+        raise AssertionError
+
+    def count_up_to(self, limit: int) -> int:
+        """The least of ``limit`` and the number of embeddings, by the plan's engine, counting or enumerating."""
+        for some in self._shares():
+            n = some.count().first()[0] if self.engine in engines.COUNTERS else some.embeddings().limit(limit).count()
+            if some is self or n >= limit:
+                return min(n, limit)
+        raise AssertionError
 
     def distribution(self) -> DataFrame:
         """(v, n): for each data vertex the number of embeddings that hold it."""
@@ -99,20 +118,24 @@ def prepare(
 ) -> Plan:
     """Filters, indexes and orders.
 
-    A given list as ``order`` spares the statistics job.  With a ``store`` candidates and index are written to the
-    shared folder, which pays when they are read often; without one they stay part of a single lazy plan.
+    A given list as ``order`` spares the statistics job.  Candidates and index are written to ``store``, or to a store
+    of the plan's own, since every engine reads them often; with the ``label`` filter there is nothing to write.
+    ``Plan.close`` deletes what was written.
     """
     if engine not in engines.ENGINES:
         raise ValueError(f"no engine {engine!r}; there are {', '.join(engines.ENGINES)}")
-    c = filters.make(filter, filters.narrowed(graph, query, store) if store else graph, query, store, root)
-    if store and filter != "label":
-        c = c.stored(store)
-    index = build(c, store)
+    store = store or Store(graph.vertices.sparkSession, "plan")
+    if filter == "label":
+        c = filters.label(graph, query)
+        index = build(c)
+    else:
+        c = filters.make(filter, filters.narrowed(graph, query, store), query, store, root).stored(store)
+        index = build(c, store)
     if isinstance(order, str):
         name, chosen = order, orders.make(order, query, index.stats(paths=order in ("tso", "cfl")) if order != "ri" else orders.Stats({}, {}))
     else:
         name, chosen = "given", orders.check(query, list(order))
-    return Plan(index, chosen, symmetry.constraints(query) if symmetry_breaking else [], filter, name, engine)
+    return Plan(index, chosen, symmetry.constraints(query) if symmetry_breaking else [], filter, name, engine, store)
 
 
 @dataclass
@@ -163,9 +186,10 @@ def match(
     chosen = orders.make(order, query, index.stats(paths=order in ("tso", "cfl"))) if isinstance(order, str) else orders.check(query, list(order))
     plan = Plan(index, chosen, symmetry.constraints(query) if symmetry_breaking else [], filter, order if isinstance(order, str) else "given", engine)
     t4 = time.perf_counter()
-    n = plan.limited(limit).count() if limit is not None else plan.count().first()[0]
+    n = plan.count_up_to(limit) if limit is not None else plan.count().first()[0]
     t5 = time.perf_counter()
     calls = sum(r.n for r in plan.level_counts().collect()) if count_calls else None
+    store.clear()
     return MatchReport(names[0], names[1], filter, plan.order_name, engine, t1 - t0, t2 - t1, t3 - t2, t4 - t3, t5 - t4, t4 - t1, t5 - t0, n, calls)
 
 
@@ -193,4 +217,5 @@ def spectrum(graph: DataGraph, query: QueryGraph, *, orders_most: int = 100, tim
         out.append((order, n, time.perf_counter() - began))
         if on_result:
             on_result(*out[-1])
+    store.clear()
     return out

@@ -9,13 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    """Writes a table and reads it back: cuts the lineage, survives lost executors, and gives the planner true sizes."""
+    """Writes a table and reads it back: cuts the lineage, survives lost executors, and gives the planner true sizes.
+
+    The folder is that of ``spark.checkpoint.dir``; only a local master may do without.  ``clear`` deletes all tables,
+    ``drop`` one, when nothing that is still to run reads them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('spark-warehouse')}/scratch"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = f"file://{os.path.abspath('spark-warehouse')}/scratch"
         self.spark, self.base, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        """The table, read back; ``by`` names columns of few values to make folders of."""
         self.n += 1
-        df.write.parquet(f"{self.base}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
+        path = f"{self.base}/{self.n}"
+        df.write.partitionBy(*by).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        _, path = self.paths.pop(id(df))
+        self._delete(path)
+
+    def clear(self) -> None:
+        self.paths.clear()
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether the plan is a file scan with filters and projections at most."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith("LogicalRelation")
