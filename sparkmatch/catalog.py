@@ -7,6 +7,7 @@ side builds the graph with joins of its own and answers by self-joins, or by cha
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from sparkmatch.operators.index import build
 from sparkmatch.plans import symmetry
 from sparkmatch.plans.order import ORDERS
 from sparkmatch.plans.tree import breadth_first
-from sparkmatch.session import prepare
+from sparkmatch.session import prepare, spectrum
 from sparkmatch.sources import tables as T
 from sparkmatch.sources import transform
 from sparkmatch.store import Store
@@ -39,7 +40,6 @@ LABELLED = QueryGraph.of([N, S, O, C], [(0, 1, T.KINDS["supplier_nation"]), (1,
 
 _SQUARE_KINDS = ["supplier_nation", "customer_nation", "order_customer", "order_supplier"]
 _TRIANGLE_KINDS = ["order_part", "order_supplier", "part_supplier"]
-_TREE_KINDS = ["supplier_nation", "customer_nation", "order_customer"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,6 +194,54 @@ def filter_sql(name: str, query: QueryGraph, root: int, **graph) -> str:
     return f.text(**graph)
 
 
+# ---- orders: of all connected orders the one whose keys, step after step, are least
+
+def _keys(name: str, q: QueryGraph, order: tuple[int, ...]) -> list | None:
+    """The rule's keys of an order as SQL terms over the counts of ``order_sql``; None if the rule never gives the order."""
+    before = lambda i: [w for w in q.adjacent[order[i]] if w in order[:i]]
+    tree = breadth_first(q, order[0])
+    if name == "gql":
+        return [x for u in order for x in (f"c{u}", -q.degree[u], u)]
+    if name == "vf3":
+        return [x for i, u in enumerate(order) for x in (-len(before(i)), f"l{u} / nv * t{u}", -q.degree[u], u)]
+    if name in ("dpiso", "ceci"):
+        return [f"c{order[0]} / {q.degree[order[0]]}", order[0]] if order == tree.order else None
+    if name == "vf2pp":
+        return [f"l{order[0]}", -q.degree[order[0]], order[0], *(x for i, u in enumerate(order) for x in (tree.level[u], -len(before(i)), -q.degree[u], f"l{u}", u))]
+    if name == "qsi":
+        u, w = sorted(order[:2])
+        if not q.has_edge(u, w) or list(order[:2]) != ([u, w] if q.degree[u] >= q.degree[w] else [w, u]):
+            return None
+        first = [f"e{u}_{w}", q.degree[u] + q.degree[w], u, w]
+        return first + [x for i, v in enumerate(order) if i > 1 for x in ("least(" + ", ".join(f"e{min(y, v)}_{max(y, v)}" for y in before(i)) + ")", len(before(i)), -q.degree[v], v)]
+    return None
+
+
+#: Orders of HOUSE that no count of the data decides, worked out by hand.
+_BY_HAND = {"ri": [1, 3, 2, 0, 4], "spectrum": [0, 1, 2, 3, 4]}
+
+
+def order_sql(name: str, q: QueryGraph) -> str | None:
+    if name in _BY_HAND:
+        return "select cast(pos as integer) as pos, u from (values " + ", ".join(map(str, enumerate(_BY_HAND[name]))) + ") t(pos, u)"
+    found = [(o, k) for o in permutations(range(len(q))) if all(any(w in o[:i] for w in q.adjacent[u]) for i, u in enumerate(o) if i) and (k := _keys(name, q, o))]
+    if not found:
+        return None
+    fits = lambda t, u: f"{t}.label = {q.labels[u]} and {t}.degree >= {q.degree[u]}"
+    counts = [f"(select count(*) from g where {fits('g', u)}) as c{u}, (select count(*) from g where label = {q.labels[u]}) as l{u}, (select count(*) from g where degree >= {q.degree[u]}) / (select count(*) from g) as t{u}" for u in range(len(q))]
+    counts += [f"(select count(*) from e join g x on x.id = src join g y on y.id = dst where {fits('x', u)} and {fits('y', w)}) as e{u}_{w}" for u, w in sorted(q.edges)]
+    rows = " union all ".join(f"select {list(o)} as o, [{', '.join(f'cast({x} as double)' for x in k)}] as k from s" for o, k in found)
+    return f"{graph_sql()}, s as materialized (select (select count(*) from g) as nv, {', '.join(counts)}), best as (select o from ({rows}) order by k limit 1) select cast(unnest(range(len(o))) as integer) as pos, unnest(o) as u from best"
+
+
+# ---- parts near each other in orders
+
+_NEAR_PARTS = f"""with one as (select distinct least(x.l_partkey, y.l_partkey) as a, greatest(x.l_partkey, y.l_partkey) as b from lineitem x join lineitem y
+on x.l_orderkey = y.l_orderkey and y.l_linenumber - x.l_linenumber between 1 and {T.APART} where x.l_partkey <> y.l_partkey),
+three as (select x.a, x.b, y.b as c from one x join one y on x.b = y.a join one z on z.a = x.a and z.b = y.b)"""
+_FOUR = "select {} from three x join one y on y.a = x.c join one p on p.a = x.a and p.b = y.b join one q on q.a = x.b and q.b = y.b"
+
+
 # ---- the queries
 
 
@@ -216,16 +264,14 @@ greatest((select count(distinct label) from v), (select max(label) + 1 from v))
     _add("graph_nlf", lambda s, d: stats.neighbour_labels(every(s, d)), f"{graph_sql()} select src as id, dl as label, el as elabel, count(*) as n from e group by 1, 2, 3")
     _add("graph_degree_tail", lambda s, d: stats.degree_tail(every(s, d)), f"{graph_sql()} select cast(x.degree as bigint) as degree, x.n, (select sum(y.n) from (select degree, count(*) as n from g group by 1) y where y.degree >= x.degree) / (select count(*) from g) as p from (select degree, count(*) as n from g group by 1) x")
     _add("graph_triangles", lambda s, d: stats.triangles(every(s, d)), f"{graph_sql()} select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst where x.src < x.dst and y.src < y.dst")
-    _add("graph_four_cliques", lambda s, d: stats.four_cliques(every(s, d)).agg(F.count("*").alias("n")), f"{graph_sql()}, t as (select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst where x.src < x.dst and y.src < y.dst) select count(*) as n from t join e p on p.src = a join e q on q.src = b and q.dst = p.dst join e r on r.src = c and r.dst = p.dst where p.dst > c")
-    peel = ", k0 as (select id from v)" + "".join(f", k{i + 1} as (select id from k{i} where (select count(*) from e where e.src = k{i}.id and e.dst in (select id from k{i})) >= 2)" for i in range(6))
-    _add("graph_kcore", lambda s, d: stats.core_numbers(_coarse(_TREE_KINDS)(s, d), most=2), f"{graph_sql(kinds=_TREE_KINDS)}{peel} select id, cast(case when id in (select id from k6) then 2 when degree >= 1 then 1 else 0 end as bigint) as core from g")
+    _add("graph_four_cliques", lambda s, d: stats.four_cliques(T.near_parts(s, d)), f"{_NEAR_PARTS} {_FOUR.format('x.a, x.b, x.c, y.b as d')}")
     # every kind of edge, peeled until nothing is left: k goes up when no vertex is below it
     whole = f"""{graph_sql().replace("with v as", "with recursive v as", 1)}, peel(k, id) as (select 1, id from v union all
 select k + cast(least_d >= k as integer), id from (select k, id, d, min(d) over () as least_d from (select p.k, p.id, count(q.id) as d from peel p left join e on e.src = p.id left join peel q on q.id = e.dst group by 1, 2))
 where least_d >= k or d >= k) select id, cast(max(k) - 1 as bigint) as core from peel group by id"""
-    _add("graph_kcore_whole", lambda s, d: stats.core_numbers(every(s, d)), whole)
+    _add("graph_kcore", lambda s, d: stats.core_numbers(every(s, d)), whole)
     _add("graph_unlabel", lambda s, d: every(s, d).unlabelled().vertices.groupBy("label").agg(F.count("*").alias("n"), F.max("degree").alias("max_degree")), f"{graph_sql()} select 0 as label, count(*) as n, max(degree) as max_degree from g")
-    _add("graph_reify_edge_labels", lambda s, d: transform.reify_by_rank(square(s, d), 15, 10**12).metadata(), f"""{graph_sql(kinds=_SQUARE_KINDS)} select (select count(*) from v) + (select count(*) from one) as n_vertices, 2 * (select count(*) from one) as n_edges,
+    _add("graph_reify_edge_labels", lambda s, d: transform.reify(every(s, d), 15, 10**12).metadata(), f"""{graph_sql()} select (select count(*) from v) + (select count(*) from one) as n_vertices, 2 * (select count(*) from one) as n_edges,
 cast(15 + (select max(el) from one) + 1 as bigint) as n_labels, greatest(cast((select max(degree) from g) as bigint), 2) as max_degree, greatest((select max(n) from (select count(*) as n from v group by label)), (select max(n) from (select count(*) as n from one group by el))) as max_label_frequency""")
 
     # filters: the same root on both sides, since it depends on the data
@@ -242,9 +288,13 @@ cast(15 + (select max(el) from one) + 1 as bigint) as n_labels, greatest(cast((s
     _add("index_build", lambda s, d: made(s, d).frame(), f"{graph_sql(kinds=_TRIANGLE_KINDS)} {index}")
     _add("index_cardinality", lambda s, d: made(s, d).cardinalities(), f"{graph_sql(kinds=_TRIANGLE_KINDS)}, i as ({index}), k as (select u, u2, v, count(*) as d from i group by 1, 2, 3) select u, u2, cast(sum(d) as bigint) as n_edges, max(d) as max_degree, cast(8 * (sum(d) + count(*)) as bigint) as n_bytes from k group by 1, 2")
 
-    # orders: one count each, under the order that the rule picks
+    # orders: the order that the rule picks, as rows; the rules without SQL are run, and their counts held against it
     for name in ORDERS:
-        _add(f"order_{name}", lambda s, d, n=name: prepare(every(s, d), HOUSE, filter="ldf", order=n, engine="explore", store=Store(s, "order")).count(), match_sql(HOUSE, _COUNT))
+        ordered = lambda s, d, n=name: prepare(every(s, d), HOUSE, filter="ldf", order=n, engine="explore", store=Store(s, "order"))
+        if sql := order_sql(name, HOUSE):
+            _add(f"order_{name}", lambda s, d, p=ordered: s.createDataFrame(list(enumerate(p(s, d).order)), "pos int, u int"), sql)
+        else:
+            _add(f"order_{name}", lambda s, d, p=ordered: p(s, d).count(), match_sql(HOUSE, _COUNT))
 
     # engines, over a stored index
     for name in engines.ENGINES:
@@ -262,15 +312,20 @@ cast(15 + (select max(el) from one) + 1 as bigint) as n_labels, greatest(cast((s
     _add("match_triangle", lambda s, d: run(tri(s, d), TRIANGLE, [0, 1, 2]).count(), match_sql(TRIANGLE, _COUNT, kinds=_TRIANGLE_KINDS))
     _add("match_path", lambda s, d: run(square(s, d), PATH, [0, 1, 2, 3]).count(), match_sql(PATH, _COUNT, kinds=_SQUARE_KINDS))
     _add("match_star", lambda s, d: run(_coarse(["order_customer", "order_part"])(s, d), STAR, [0, 1, 2, 3], "kss").count(), match_sql(STAR, _COUNT, kinds=["order_customer", "order_part"]))
-    _add("match_symmetry", lambda s, d: run(part(s, d), PART_SQUARE, [0, 1, 2, 3], symmetry_breaking=True).embeddings(), match_sql(PART_SQUARE, _all(PART_SQUARE), less, kinds=["order_part"]))
+    # two orders that share two parts: pairs of edges by order first, so that no join meets all orders of a part
+    shared = f"{graph_sql(kinds=['order_part'])}, w as (select x.dst as p, x.src as o, y.dst as q from e x join e y on x.src = y.src and x.dst <> y.dst where x.sl = {O}) select x.p as u0, x.o as u1, x.q as u2, y.o as u3 from w x join w y on x.p = y.p and x.q = y.q and x.o <> y.o"
+    bound = " and ".join(f"u{a} < u{b}" for a, b in less)
+    _add("match_symmetry", lambda s, d: run(part(s, d), PART_SQUARE, [0, 1, 2, 3], symmetry_breaking=True).embeddings(), f"select * from ({shared}) where {bound}")
     _add("match_symmetry_full", lambda s, d: run(part(s, d), PART_SQUARE, [0, 1, 2, 3]).count(), match_sql(PART_SQUARE, _COUNT, kinds=["order_part"]))
     _add("match_edge_label", lambda s, d: run(every(s, d), LABELLED, [0, 3, 2, 1]).count(), match_sql(LABELLED, _COUNT))
     _add("match_fine_labels", lambda s, d: prepare(fine(s, d), FINE, order=[1, 2, 3, 0], engine="lftj").embeddings(), match_sql(FINE, _all(FINE), coarse=False))
-    _add("match_clique4", lambda s, d: run(tri(s, d).unlabelled(), CLIQUE, [0, 1, 2, 3], symmetry_breaking=True).count(), f"{graph_sql(kinds=_TRIANGLE_KINDS)}, t as (select x.src as a, x.dst as b, y.dst as c from e x join e y on x.dst = y.src join e z on z.src = x.src and z.dst = y.dst where x.src < x.dst and y.src < y.dst) select count(*) as n_embeddings from t join e p on p.src = a join e q on q.src = b and q.dst = p.dst join e r on r.src = c and r.dst = p.dst where p.dst > c")
+    _add("match_clique4", lambda s, d: run(T.near_parts(s, d), CLIQUE, [0, 1, 2, 3], symmetry_breaking=True).count(), f"{_NEAR_PARTS} {_FOUR.format('count(*) as n_embeddings')}")
+    spectra = lambda s, d: s.createDataFrame([(k, n) for k, (_, n, _) in enumerate(spectrum(tri(s, d), TRIANGLE, orders_most=4, filter="ldf"))], "k int, n_embeddings long")
+    _add("match_spectrum", spectra, f"select cast(k as integer) as k, n_embeddings from range(4) t(k), ({match_sql(TRIANGLE, _COUNT, kinds=_TRIANGLE_KINDS)})")
     _add("match_limit", lambda s, d: run(square(s, d), SQUARE, [0, 3, 2, 1]).limited(100).agg(F.count("*").alias("n_embeddings")), f"select cast(least(100, n_embeddings) as bigint) as n_embeddings from ({match_sql(SQUARE, _COUNT, kinds=_SQUARE_KINDS)})")
     _add("match_distribution", lambda s, d: run(square(s, d), SQUARE, [0, 3, 2, 1]).distribution(), f"select x as v, count(*) as n from (select unnest([u0, u1, u2, u3]) as x from ({match_sql(SQUARE, _all(SQUARE), kinds=_SQUARE_KINDS)})) group by 1")
     reified = SQUARE_REIFIED
-    _add("match_reified", lambda s, d: run(transform.reify_by_rank(square(s, d), 15, 10**12), reified, "ri").count(), match_sql(LABELLED, _COUNT, kinds=_SQUARE_KINDS))
+    _add("match_reified", lambda s, d: run(transform.reify(square(s, d), 15, 10**12), reified, "ri").count(), match_sql(LABELLED, _COUNT, kinds=_SQUARE_KINDS))
 
 
 SQUARE_REIFIED = LABELLED.reified(15)

@@ -1,8 +1,12 @@
-"""Command line: ``python -m sparkmatch.cli -d DATA -q QUERY -filter CFL -order GQL -engine LFTJ -num 1000``."""
+"""Command line: ``python -m sparkmatch.cli -d DATA -q QUERY -filter CFL -order GQL -engine LFTJ -num 1000``.
+
+``python -m sparkmatch.cli convert TEXT PREFIX`` writes a text graph as the three files of binary CSR.
+"""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -10,7 +14,7 @@ from sparkmatch.operators.engines import ENGINES
 from sparkmatch.operators.filters import FILTERS
 from sparkmatch.plans.order import ORDERS
 from sparkmatch.session import match, prepare, spectrum
-from sparkmatch.sources.csr import read_csr
+from sparkmatch.sources.csr import convert, read_csr
 from sparkmatch.sources.text import read_graph, read_query
 
 
@@ -32,6 +36,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> None:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["convert"]:
+        convert(SparkSession.builder.appName("sparkmatch").getOrCreate(), *argv[1:])
+        return
     o = parser().parse_args(argv)
     spark = SparkSession.builder.appName("sparkmatch").getOrCreate()
     graph, query = (read_csr if o.csr else read_graph)(spark, o.d), read_query(o.q)

@@ -60,51 +60,60 @@ def profile(graph: DataGraph, query: QueryGraph) -> tuple[DataFrame, dict[tuple[
 
 
 def core_numbers(graph: DataGraph, most: int | None = None) -> DataFrame:
-    """(id, core) of every vertex: for k = 1, 2, ... vertices of degree below k are peeled until none is left.
+    """(id, core) of every vertex; no core is above ``most`` if given.
 
-    Stops after ``most`` if given; the vertices that remain then have ``core = most``.
+    Values start as degrees.  In each round a vertex takes the largest h such that h of its neighbours have values of
+    at least h, if that is less than its own; when no value falls any more they are the core numbers.  A round writes one value
+    a vertex; a vertex's neighbours are counted by value, never collected.
     """
-    spark = graph.vertices.sparkSession
-    store = Store(spark, "core")
+    store = Store(graph.vertices.sparkSession, "core")
     edges = store.put(graph.edges.select("src", "dst"))
-    left = store.put(graph.vertices.select("id"))
-    done, k = [], 0
-    while left.limit(1).count() and (most is None or k < most):
-        k += 1
-        while True:
-            degree = edges.groupBy("src").agg(F.count("*").alias("d"))
-            low = store.put(left.join(degree, left.id == degree.src, "left").where(F.coalesce("d", F.lit(0)) < k).select("id"))
-            if not low.limit(1).count():
-                break
-            done.append(low.select("id", F.lit(k - 1).cast("long").alias("core")))
-            left = store.put(left.join(low, "id", "left_anti"))
-            gone = low.select(F.col("id").alias("g"))
-            edges = store.put(edges.join(gone, edges.src == gone.g, "left_anti").join(gone, edges.dst == gone.g, "left_anti"))
-    out = left.select("id", F.lit(k).cast("long").alias("core"))
-    for part in done:
-        out = out.unionAll(part)
-    return out
-
-
-def triangles(graph: DataGraph) -> DataFrame:
-    """(a, b, c) with a < b < c, pairwise adjacent.  Each edge is directed to the end of higher degree, which bounds the pairs of a hub."""
+    first = F.col("degree").cast("long")
+    values = store.put(graph.vertices.select("id", (first if most is None else F.least(first, F.lit(most))).alias("core")))
+    down = Window.partitionBy("src").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        ends = edges.join(values.toDF("dst", "cd"), "dst").join(values.toDF("src", "cs"), "src")
+        near = ends.groupBy("src", F.least("cd", "cs").alias("value")).agg(F.count("*").alias("n"))
+        h = near.withColumn("n", F.sum("n").over(down)).groupBy("src").agg(F.max(F.least("value", "n")).alias("h"))
+        new = values.join(h, values.id == h.src, "left").select("id", F.col("core").alias("old"), F.coalesce(F.least("core", "h"), F.lit(0).cast("long")).alias("core"))
+        new = store.put(new)
+        store.drop(values)
+        if not new.where("core < old").limit(1).count():
+            store.drop(edges)
+            return new.select("id", "core")
+        values = store.put(new.select("id", "core"))
+        store.drop(new)
+
+
+def _upwards(graph: DataGraph) -> DataFrame:
+    """(x, y): each edge once, from the end of lower degree to that of higher, which bounds the edges that leave a hub."""
     deg = graph.vertices.select("id", "degree")
     e = graph.edges.where("src < dst").select("src", "dst")
     e = e.join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
     up = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    e = e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("y"))
-    two = e.join(e.toDF("x", "z"), "x").where("y < z")
-    closing = e.select(F.least("x", "y").alias("y"), F.greatest("x", "y").alias("z"))
+    return e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("y"))
+
+
+def _closing(e: DataFrame, a: str, b: str) -> DataFrame:
+    """The edges as (a, b) with a < b."""
+    return e.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b))
+
+
+def triangles(graph: DataGraph) -> DataFrame:
+    """(a, b, c) with a < b < c, pairwise adjacent; found from the vertex of lowest degree."""
+    e = _upwards(graph)
+    three = e.join(e.toDF("x", "z"), "x").where("y < z").join(_closing(e, "y", "z"), ["y", "z"])
     abc = F.sort_array(F.array("x", "y", "z"))
-    return two.join(closing, ["y", "z"]).select(abc[0].alias("a"), abc[1].alias("b"), abc[2].alias("c"))
+    return three.select(abc[0].alias("a"), abc[1].alias("b"), abc[2].alias("c"))
 
 
 def four_cliques(graph: DataGraph) -> DataFrame:
-    """(a, b, c, d) ascending, pairwise adjacent."""
-    t = triangles(graph)
-    e = graph.edges.where("src < dst").select("src", "dst")
-    wider = t.join(e.toDF("c", "d"), "c")
-    return wider.join(e.toDF("a", "d"), ["a", "d"]).join(e.toDF("b", "d"), ["b", "d"]).select("a", "b", "c", "d")
+    """(a, b, c, d) ascending, pairwise adjacent; found from the vertex of lowest degree."""
+    e = _upwards(graph)
+    three = e.join(e.toDF("x", "z"), "x").where("y < z").join(_closing(e, "y", "z"), ["y", "z"])
+    four = three.join(e.toDF("x", "t"), "x").where("z < t").join(_closing(e, "y", "t"), ["y", "t"]).join(_closing(e, "z", "t"), ["z", "t"])
+    abcd = F.sort_array(F.array("x", "y", "z", "t"))
+    return four.select(*[abcd[i].alias(n) for i, n in enumerate("abcd")])
 
 
 def degree_tail(graph: DataGraph) -> DataFrame:

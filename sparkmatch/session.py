@@ -106,6 +106,14 @@ class Plan:
     def order_from_json(text: str) -> list[int]:
         return [s["u"] for s in json.loads(text)["steps"]]
 
+    @staticmethod
+    def from_json(text: str, graph: DataGraph, query: QueryGraph, store: Store | None = None) -> Plan:
+        """The same filter, order, engine and constraints for a graph and query; candidates and index are built anew."""
+        told = json.loads(text)
+        plan = prepare(graph, query, filter=told["filter"], order=[s["u"] for s in told["steps"]], engine=told["engine"], store=store)
+        constraints = [tuple(c) for s in told["steps"] for c in s["less"]]
+        return replace(plan, constraints=constraints, order_name=told["order"])
+
 
 def _restricted(index: Index, root: int, of: dict[int, DataFrame]) -> Index:
     c = index.candidates
@@ -154,9 +162,10 @@ class MatchReport:
     total_s: float
     embeddings: int
     calls: int | None = None
+    memory_mb: float = 0.0
 
     def frame(self, spark) -> DataFrame:
-        return spark.createDataFrame([tuple(asdict(self).values())], "query string, data string, filter string, order string, engine string, load_s double, filter_s double, build_s double, plan_s double, enumerate_s double, preprocess_s double, total_s double, embeddings long, calls long")
+        return spark.createDataFrame([tuple(asdict(self).values())], "query string, data string, filter string, order string, engine string, load_s double, filter_s double, build_s double, plan_s double, enumerate_s double, preprocess_s double, total_s double, embeddings long, calls long, memory_mb double")
 
     def append_csv(self, spark, path: str) -> None:
         self.frame(spark).coalesce(1).write.mode("append").option("header", True).csv(path)
@@ -165,7 +174,18 @@ class MatchReport:
         rate = self.embeddings / self.enumerate_s if self.enumerate_s else 0.0
         per = self.enumerate_s * 1e9 / self.calls if self.calls else 0.0
         rows = [("load", self.load_s), ("filter", self.filter_s), ("build index", self.build_s), ("plan", self.plan_s), ("enumerate", self.enumerate_s), ("preprocess", self.preprocess_s), ("total", self.total_s)]
-        return "\n".join([*(f"{k} seconds: {v:.4f}" for k, v in rows), f"embeddings: {self.embeddings}", f"calls: {self.calls}", f"ns per call: {per:.1f}", f"embeddings per second: {rate:.1f}"])
+        return "\n".join([*(f"{k} seconds: {v:.4f}" for k, v in rows), f"embeddings: {self.embeddings}", f"calls: {self.calls}", f"memory MB: {self.memory_mb:.1f}", f"ns per call: {per:.1f}", f"embeddings per second: {rate:.1f}"])
+
+
+def _memory_mb(spark) -> float:
+    """Heap that the driver holds, and memory that the executors' stored blocks fill."""
+    run = spark._jvm.java.lang.Runtime.getRuntime()
+    status = spark._jsc.sc().getExecutorMemoryStatus().values().iterator()
+    blocks = 0
+    while status.hasNext():
+        pair = status.next()
+        blocks += pair._1() - pair._2()
+    return (run.totalMemory() - run.freeMemory() + blocks) / 1e6
 
 
 def match(
@@ -190,7 +210,7 @@ def match(
     t5 = time.perf_counter()
     calls = sum(r.n for r in plan.level_counts().collect()) if count_calls else None
     store.clear()
-    return MatchReport(names[0], names[1], filter, plan.order_name, engine, t1 - t0, t2 - t1, t3 - t2, t4 - t3, t5 - t4, t4 - t1, t5 - t0, n, calls)
+    return MatchReport(names[0], names[1], filter, plan.order_name, engine, t1 - t0, t2 - t1, t3 - t2, t4 - t3, t5 - t4, t4 - t1, t5 - t0, n, calls, _memory_mb(spark))
 
 
 def spectrum(graph: DataGraph, query: QueryGraph, *, orders_most: int = 100, time_limit: float = 60.0, filter: str = "nlf", engine: str = "lftj", symmetry_breaking: bool = False, on_result: Callable | None = None) -> list[tuple[list[int], int | None, float]]:

@@ -81,3 +81,16 @@ def graph(spark: SparkSession, sf_dir: str, coarse: bool = False, kinds: list[st
         one.append(e)
     types = sorted({t for n, (a, b, _) in pairs(spark, sf_dir).items() if kinds is None or n in kinds for t in (a, b)})
     return DataGraph.symmetric(reduce(DataFrame.unionAll, (v[t] for t in types)), reduce(DataFrame.unionAll, one))
+
+
+#: Lines of an order between two parts of ``near_parts`` at most.
+APART = 3
+
+
+def near_parts(spark: SparkSession, sf_dir: str) -> DataGraph:
+    """Parts, all of label 0, joined where they stand at most APART lines apart in an order.  A line has at most APART edges down."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    steps = line.select("l_orderkey", "l_linenumber", F.col("src").alias("dst"), F.explode(F.sequence(F.lit(1), F.lit(APART))).alias("step"))
+    below = steps.select("l_orderkey", (F.col("l_linenumber") - F.col("step")).alias("l_linenumber"), "dst")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("label"))
+    return DataGraph.of(parts, line.join(below, ["l_orderkey", "l_linenumber"]).select("src", "dst"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparkmatch.model import DataGraph
+from sparkmatch.model import DataGraph, QueryGraph
 from sparkmatch.sources.text import relabelled
+from sparkmatch.store import Store
 
 
 def sample_edges(graph: DataGraph, p: float, seed: int = 0) -> DataGraph:
@@ -20,20 +21,15 @@ def relabel(graph: DataGraph, labels: int, seed: int = 0) -> DataGraph:
     return DataGraph.of(relabelled(graph.vertices.select("id"), labels, seed), graph.edges.where("src < dst"))
 
 
-def reify(graph: DataGraph, offset: int, edge_ids: int) -> DataGraph:
+def reify(graph: DataGraph, offset: int, edge_ids: int, store: Store | None = None) -> DataGraph:
     """Each edge becomes a vertex of label ``offset`` + its label, joined to both ends.
 
-    The new vertex of edge (a, b) has the id ``edge_ids`` + a hash of 40 bits over a and b; a clash of two hashes would
-    merge two edges, so use ``reify_by_rank`` where ids must be dense.
+    The new vertices have the ids ``edge_ids`` + a number that is unique in the graph; the numbers are written to
+    ``store``, or to one of their own, so that all reads see the same.
     """
-    pair = F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 40)) + F.lit(edge_ids)
-    return _reify(graph, graph.edges.where("src < dst").withColumn("eid", pair), offset)
-
-
-def reify_by_rank(graph: DataGraph, offset: int, edge_ids: int) -> DataGraph:
-    """As ``reify``, with ids ``edge_ids`` + a number that is unique in the graph: the row's partition and its place there."""
-    one = graph.edges.where("src < dst").repartition("src").sortWithinPartitions("src", "dst")
-    return _reify(graph, one.withColumn("eid", F.monotonically_increasing_id() + F.lit(edge_ids)), offset)
+    store = store or Store(graph.vertices.sparkSession, "reified")
+    one = graph.edges.where("src < dst").withColumn("eid", F.monotonically_increasing_id() + F.lit(edge_ids))
+    return _reify(graph, store.put(one), offset)
 
 
 def _reify(graph: DataGraph, one, offset: int) -> DataGraph:
@@ -54,3 +50,32 @@ def clique(spark: SparkSession, n: int) -> DataGraph:
     v = spark.range(n)
     edges = v.where(F.col("id") < n - 1).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1))).alias("dst"))
     return DataGraph.of(v.select("id", F.lit(0).alias("label")), edges)
+
+
+def star(spark: SparkSession, leaves: int) -> DataGraph:
+    """Vertex 0 of label 0 beside ``leaves`` vertices of label 1."""
+    v = spark.range(leaves + 1)
+    return DataGraph.of(v.select("id", F.when(F.col("id") == 0, 0).otherwise(1).alias("label")), v.where("id > 0").select(F.lit(0).alias("src"), F.col("id").alias("dst")))
+
+
+def toy(name: str) -> QueryGraph:
+    """A small query by name: ``ring 5``, ``ring 4 of 0 1`` (labels in turn), ``chord 5`` (a ring with the chord 0-2), ``clique 4``, ``petersen``."""
+    kind, *rest = name.split()
+    n = int(rest[0]) if rest else 10
+    around = lambda k, step=1, at=0: [(at + i, at + (i + step) % k) for i in range(k)]
+    if kind == "petersen":
+        edges = around(5) + around(5, 2, 5) + [(i, i + 5) for i in range(5)]
+    elif kind == "clique":
+        edges = [(a, b) for a in range(n) for b in range(a)]
+    elif kind in ("ring", "chord"):
+        edges = around(n) + [(0, 2)] * (kind == "chord")
+    else:
+        raise ValueError(f"no toy {name!r}")
+    turn = list(map(int, rest[2:])) or [0]
+    return QueryGraph.of([turn[i % len(turn)] for i in range(n)], edges)
+
+
+def as_data(spark: SparkSession, query: QueryGraph) -> DataGraph:
+    """A query as a data graph."""
+    edges = spark.createDataFrame([(u, w, x) for (u, w), x in query.edges.items()], "src long, dst long, elabel int")
+    return DataGraph.of(spark.createDataFrame(list(enumerate(query.labels)), "id long, label int"), edges)

@@ -4,18 +4,20 @@ from sparkmatch.functions import stats
 from sparkmatch.sources import csr, text, transform
 from tests.core.brute import data_graph
 
-LINES = """t 5 6
-v 0 0 2
-v 1 1 3
-v 2 2 3
+LINES = """t 6 7
+v 0 3 3
+v 1 0 2
+v 2 3 3
 v 3 1 2
-v 4 2 2
+v 4 0 3
+v 5 1 1
 e 0 1
-e 0 2
 e 1 2
-e 1 3
-e 2 4
+e 2 0
+e 0 4
+e 2 3
 e 3 4
+e 4 5
 """
 
 
@@ -26,14 +28,14 @@ def rows(df):
 def test_text_csr_and_parquet_round_trips(spark, tmp_path, monkeypatch):
     (tmp_path / "g.graph").write_text(LINES)
     g = text.read_graph(spark, f"file://{tmp_path}/g.graph")
-    assert rows(g.vertices) == [(0, 0, 2), (1, 1, 3), (2, 2, 3), (3, 1, 2), (4, 2, 2)] and g.edges.count() == 12
+    assert rows(g.vertices) == [(0, 3, 3), (1, 0, 2), (2, 3, 3), (3, 1, 2), (4, 0, 3), (5, 1, 1)] and g.edges.count() == 14
     assert g.validate(text.declared_degrees(spark, f"file://{tmp_path}/g.graph")) == []
-    assert g.metadata().first().asDict() == {"n_vertices": 5, "n_edges": 6, "n_labels": 3, "max_degree": 3, "max_label_frequency": 2}
+    assert g.metadata().first().asDict() == {"n_vertices": 6, "n_edges": 7, "n_labels": 4, "max_degree": 3, "max_label_frequency": 2}
     text.write_graph(g, f"file://{tmp_path}/out")
     again = text.read_graph(spark, f"file://{tmp_path}/out")
     assert rows(again.edges) == rows(g.edges)
     csr.write_csr(g, f"{tmp_path}/X")
-    assert np.fromfile(f"{tmp_path}/X_deg.bin", "<i4").tolist() == [4, 5, 6, 2, 3, 3, 2, 2]
+    assert np.fromfile(f"{tmp_path}/X_deg.bin", "<i4").tolist() == [4, 6, 7, 3, 2, 3, 2, 3, 1]
     monkeypatch.setattr(csr, "BLOCK", 2)
     back = csr.read_csr(spark, f"{tmp_path}/X")
     assert rows(back.vertices) == rows(g.vertices) and rows(back.edges) == rows(g.edges)
@@ -56,8 +58,27 @@ def test_edge_list_labels_and_samples(spark, tmp_path):
 
 def test_reified_graphs(spark):
     g = data_graph(spark, [0, 0, 1], {(0, 1): 2, (1, 2): 5})
-    for made in (transform.reify(g, 10, 1000), transform.reify_by_rank(g, 10, 1000)):
-        assert sorted(r.label for r in made.vertices.collect()) == [0, 0, 1, 12, 15] and made.edges.count() == 8
+    made = transform.reify(g, 10, 1000)
+    assert sorted(r.label for r in made.vertices.collect()) == [0, 0, 1, 12, 15] and made.edges.count() == 8
+    ids = {r.id for r in made.vertices.collect()}
+    assert {r.dst for r in made.edges.collect()} <= ids and len(ids) == 5
+
+
+def test_toys_as_queries_and_as_data(spark):
+    sizes = {"ring 5": (5, 5), "ring 4 of 0 1": (4, 4), "chord 4": (4, 5), "clique 4": (4, 6), "petersen": (10, 15)}
+    for name, (n, m) in sizes.items():
+        q = transform.toy(name)
+        assert (len(q), len(q.edges)) == (n, m)
+    assert transform.toy("ring 4 of 0 1").labels == (0, 1, 0, 1) and set(transform.toy("petersen").degree) == {3}
+    assert transform.as_data(spark, transform.toy("petersen")).edges.count() == 30
+
+
+def test_convert_command(spark, tmp_path):
+    from sparkmatch.cli import main
+
+    (tmp_path / "g.graph").write_text(LINES)
+    main(["convert", f"file://{tmp_path}/g.graph", f"{tmp_path}/Y"])
+    assert np.fromfile(f"{tmp_path}/Y_label.bin", "<i4").tolist() == [3, 0, 3, 1, 0, 1]
 
 
 def test_statistics(spark):
