@@ -11,7 +11,8 @@ others of the index; ``rm`` does as ``lftj`` on the 2-core and joins the rest.
 Factorised counts.  ``kss`` enumerates a kernel that covers all query edges and counts the ways to place the shell, an
 independent set, by products; ``veq`` enumerates classes of candidates with equal index lists and counts their members.
 
-Local search.  ``dpiso`` deals root candidates to tasks, each of which searches depth first in an order that it chooses anew for every partial embedding.
+Local search.  ``dpiso`` deals root candidates, each with the part of the index within its reach, to tasks that search depth first
+in an order chosen anew for every partial embedding.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from sparkmatch.functions import stats as S
 from sparkmatch.operators import filters
 from sparkmatch.operators.index import Index
 from sparkmatch.operators.steps import Step, col, steps
+from sparkmatch.store import Store
 
-#: Index edges that ``dpiso`` may broadcast at most, both directions; beyond that ``lftj`` answers in its place.
-LOCAL_EDGES = 2_000_000
+#: Index edges within reach that ``dpiso`` searches in one piece.
+LOCAL_EDGES = 100_000
 #: Vertices of one label whose joint placements are counted by inclusion and exclusion; more are enumerated.
 GROUP = 4
 
@@ -366,40 +368,56 @@ def veq(index: Index, plan: list[Step]) -> DataFrame:
 class Search:
     """Depth-first search with an order chosen for every partial embedding, and failing sets.
 
-    The next vertex is the one beside the partial embedding with fewest local candidates, leaves last.  A branch that
+    The next vertex is, leaves last, the one beside the partial embedding whose local candidates weigh least: a
+    candidate weighs the number of ways to go on from it along paths of vertices with a single parent in the order.  A branch that
     fails returns the set of query vertices that its failure depends on; a vertex outside that set need not try its
     other candidates.
     """
 
-    def __init__(self, adjacent: list[list[int]], labels: tuple[int, ...], lists: dict[tuple[int, int], dict[int, frozenset]], constraints: list[tuple[int, int]]):
-        self.adjacent, self.labels, self.lists = adjacent, labels, lists
+    def __init__(self, adjacent: list[list[int]], labels: tuple[int, ...], constraints: list[tuple[int, int]], order: list[int]):
+        self.adjacent, self.labels, self.order = adjacent, labels, order
+        at = {u: i for i, u in enumerate(order)}
+        parents = {u: [w for w in adjacent[u] if at[w] < at[u]] for u in order}
+        #: Of each vertex the neighbours that have no other parent.
+        self.only = {u: [c for c in adjacent[u] if parents[c] == [u]] for u in order}
         self.limits: dict[int, list[tuple[int, bool]]] = {u: [] for u in range(len(labels))}
         for a, b in constraints:
             self.limits[a].append((b, True))
             self.limits[b].append((a, False))
 
-    def run(self, root: int, v: int) -> list[list[int]]:
-        self.image: dict[int, int] = {root: v}
-        self.reasons = {root: 1 << root}
-        self.used = {v: root}
-        self.found: list[list[int]] = []
-        self._go()
-        return self.found
-
-    def _local(self, u: int) -> frozenset:
-        sets = sorted((self.lists[w, u].get(self.image[w], frozenset()) for w in self.adjacent[u] if w in self.image), key=len)
+    def run(self, bound: dict[int, int], lists: dict[tuple[int, int], dict[int, set]]):
+        """Yields the images of all embeddings that continue the bound vertices; ``lists[w, u][v]`` are u's candidates beside v."""
+        self.lists = lists
+        self.weight: dict[int, dict[int, int]] = {}
+        for u in reversed(self.order):
+            if not self.only[u]:
+                continue
+            own = {v for c in self.only[u] for v in lists.get((u, c), {})}
+            self.weight[u] = {v: min(sum(self.weight[c].get(x, 0) if c in self.weight else 1 for x in lists.get((u, c), {}).get(v, ())) for c in self.only[u]) for v in own}
+        self.image = dict(bound)
+        self.reasons = {u: 1 << u for u in bound}
+        self.used = {v: u for u, v in bound.items()}
+        yield from self._go()
+
+    def _local(self, u: int) -> set:
+        sets = sorted((self.lists.get((w, u), {}).get(self.image[w], frozenset()) for w in self.adjacent[u] if w in self.image), key=len)
         out = sets[0]
         for s in sets[1:]:
             out = out & s
         return out
 
-    def _go(self) -> int:
+    def _weigh(self, u: int, local: set) -> int:
+        weight = self.weight.get(u)
+        return len(local) if weight is None else sum(weight.get(v, 0) for v in local)
+
+    def _go(self):
+        """Yields embeddings and returns the failing set, 0 if there was one."""
         if len(self.image) == len(self.labels):
-            self.found.append([self.image[u] for u in range(len(self.labels))])
+            yield [self.image[u] for u in range(len(self.labels))]
             return 0
         beside = {w for u in self.image for w in self.adjacent[u]} - self.image.keys()
         local = {u: self._local(u) for u in beside}
-        u = min(beside, key=lambda x: (len(self.adjacent[x]) == 1, len(local[x]), x))
+        u = min(beside, key=lambda x: (len(self.adjacent[x]) == 1, self._weigh(x, local[x]), x))
         own = 1 << u
         for w in self.adjacent[u]:
             own |= self.reasons.get(w, 0)
@@ -415,7 +433,7 @@ class Search:
                     fail |= own | self.reasons[w]
             if not fail:
                 self.image[u], self.reasons[u], self.used[v] = v, own, u
-                fail = self._go()
+                fail = yield from self._go()
                 del self.image[u], self.reasons[u], self.used[v]
                 if fail and not fail >> u & 1:
                     return 0 if found else fail
@@ -424,34 +442,87 @@ class Search:
         return 0 if found else union
 
 
+def _region(index: Index, plan: list[Step], partial: DataFrame, depth: int, store: Store) -> DataFrame:
+    """(bound vertices, u, w, src, dst): the index edges that the embeddings which continue each row can use.
+
+    The candidates of a vertex within reach are those beside candidates of its first neighbour in the order.
+    """
+    query, keys = index.candidates.query, [col(s.u) for s in plan[:depth]]
+    reach = {s.u: partial.select(*keys, F.col(col(s.u)).alias("v")) for s in plan[:depth]}
+    for step in plan[depth:]:
+        e = index.edges(step.near[0], step.u)
+        reach[step.u] = store.put(reach[step.near[0]].join(e, F.col("v") == F.col("src")).select(*keys, F.col("dst").alias("v")).distinct())
+    free = {s.u for s in plan[depth:]}
+    parts = []
+    for u, w in sorted(query.edges):
+        if u in free or w in free:
+            e = reach[u].join(index.edges(u, w), F.col("v") == F.col("src")).select(*keys, F.lit(u).alias("u"), F.lit(w).alias("w"), "src", "dst")
+            parts.append(e.join(reach[w].withColumnRenamed("v", "dst"), [*keys, "dst"], "left_semi"))
+    return store.put(reduce(DataFrame.unionAll, parts))
+
+
 def dpiso(index: Index, plan: list[Step]) -> DataFrame:
-    """Needs the index in every task: it is broadcast if it has at most LOCAL_EDGES edges; otherwise ``lftj`` answers."""
-    query, spark = index.candidates.query, index.candidates.graph.vertices.sparkSession
-    root = plan[0].u
-    if not query.edges:
-        return lftj(index, plan)
-    frame = index.frame()
-    if frame.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        return lftj(index, plan)
-    lists: dict[tuple[int, int], dict[int, set]] = {}
-    for r in frame.collect():
-        lists.setdefault((r.u, r.u2), {}).setdefault(r.v, set()).add(r.v2)
-    frozen = {(u, w): {v: frozenset(s) for v, s in lists.get((u, w), {}).items()} for a, b in query.edges for u, w in ((a, b), (b, a))}
+    """Each root candidate goes, with the part of the index within its reach, to one task, which searches it depth first.
+
+    A root whose part has more than LOCAL_EDGES edges is extended by the next vertex of the order, and each extension
+    dealt with its own smaller part, until all parts are small or all vertices bound.
+    """
+    query, spark, n = index.candidates.query, index.candidates.graph.vertices.sparkSession, len(index.candidates.query)
+    store, order, most = Store(spark, "dpiso"), [s.u for s in plan], LOCAL_EDGES
     constraints = [c for s in plan for c in s.less]
-    shipped = spark.sparkContext.broadcast((query.adjacent, query.labels, frozen, constraints))
-    n = len(query)
-
-    def run(batches):
-        search = Search(*shipped.value)
-        for batch in batches:
-            for v in batch.column(0).to_pylist():
-                found = search.run(root, v)
-                for at in range(0, len(found), 10_000):
-                    part = found[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([e[u] for e in part], pa.int64()) for u in range(n)], names=[col(u) for u in range(n)])
-
-    roots = index.candidates.of[root].select("v").repartition(F.xxhash64("v"))  # spreads the roots, whose subtrees differ in size
-    return roots.mapInArrow(run, ", ".join(f"{col(u)} long" for u in range(n)))
+    adjacent, labels = query.adjacent, query.labels
+    schema = ", ".join(f"{col(u)} long" for u in range(n))
+
+    def searched(depth: int):
+        def batch(found: list[list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[u] for e in found], pa.int64()) for u in range(n)], names=[col(u) for u in range(n)])
+
+        def run(batches):
+            search, found = Search(adjacent, labels, constraints, order), []
+            for bound, lists in _parts(batches, depth):
+                for e in search.run(dict(zip(order, bound, strict=False)), lists):
+                    found.append(e)
+                    if len(found) == 10_000:
+                        yield batch(found)
+                        found = []
+            if found:
+                yield batch(found)
+
+        return run
+
+    out, partial = [], _root(plan[0], index.candidates.of[order[0]])
+    for depth in range(1, n + 1):
+        if depth == n:
+            out.append(_ordered(partial, n))
+            break
+        keys = [col(u) for u in order[:depth]]
+        region = _region(index, plan, partial, depth, store)
+        large = store.put(region.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys))
+        dealt = region.join(large, keys, "left_anti").select(*keys, "u", "w", "src", "dst").repartition(*keys).sortWithinPartitions(*keys)
+        out.append(dealt.mapInArrow(searched(depth), schema))
+        if not large.limit(1).count():
+            break
+        step = plan[depth]
+        partial = store.put(_extend(large, step, index.edges(step.near[0], step.u), lambda w, u=step.u: index.edges(w, u)))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _parts(batches, depth: int):
+    """(images of the bound vertices, index lists by (w, u) and image) of each run of rows with the same images."""
+    now, lists = None, {}
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(depth + 4)]
+        for row in zip(*columns, strict=True):
+            bound = row[:depth]
+            if bound != now:
+                if now is not None:
+                    yield now, lists
+                now, lists = bound, {}
+            u, w, src, dst = row[depth:]
+            lists.setdefault((u, w), {}).setdefault(src, set()).add(dst)
+            lists.setdefault((w, u), {}).setdefault(dst, set()).add(src)
+    if now is not None:
+        yield now, lists
 
 
 #: Engines that return embeddings, and those that return counts alone.

@@ -7,7 +7,7 @@ from sparkmatch.operators import engines, filters
 from sparkmatch.operators.steps import steps
 from sparkmatch.plans import symmetry
 from sparkmatch.plans.order import ORDERS, make
-from sparkmatch.session import match, prepare, spectrum
+from sparkmatch.session import Plan, match, prepare, spectrum
 from sparkmatch.store import Store
 from tests.core.brute import automorphisms, data_graph, embeddings, random_case
 
@@ -97,6 +97,57 @@ def test_larger_queries_with_equal_labels(spark):
         assert symmetry.automorphism_count(query) == len(automorphisms(query))
 
 
+def test_dpiso_searches_large_regions_in_pieces(prepared, monkeypatch):
+    for most in (0, 3, 12):
+        monkeypatch.setattr(engines, "LOCAL_EDGES", most)
+        for plan, want in prepared:
+            assert sorted(tuple(r) for r in replace(plan, engine="dpiso").embeddings().collect()) == want
+
+
+def test_hub_of_many_leaves(spark):
+    from sparkmatch.model import QueryGraph
+    from sparkmatch.sources.transform import star
+
+    n = 100_000
+    g = star(spark, n)
+    two = QueryGraph.of([1, 0, 1], [(0, 1), (1, 2)])
+    plan = prepare(g, two, filter="ldf", order=[1, 0, 2], symmetry_breaking=False)
+    for engine in ("kss", "veq"):
+        assert replace(plan, engine=engine).count().first()[0] == n * (n - 1)
+    one = prepare(g, QueryGraph.of([1, 0], [(0, 1)]), filter="nlf", order=[1, 0])
+    for engine in ("lftj", "ceci", "rm"):
+        assert replace(one, engine=engine).count().first()[0] == n
+    assert replace(one, engine="kss").count_up_to(7) == 7 and one.limited(7).count() == 7
+    one.close()
+
+
+def test_plans_stay_small(spark, sf):
+    from sparkmatch import catalog
+    from sparkmatch.sources import tables
+
+    fine, coarse = tables.graph(spark, sf), tables.graph(spark, sf, coarse=True)
+    for g, query, order in ((fine, catalog.FINE, [1, 2, 3, 0]), (coarse, catalog.HOUSE, [3, 1, 2, 4, 0])):
+        plan = prepare(g, query, order=order)
+        for engine in ("lftj", "explore", "rm", "ceci"):
+            text = replace(plan, engine=engine).embeddings()._jdf.queryExecution().optimizedPlan().toString()
+            assert text.count("Join") < 25 and text.count("Relation") < 40
+            executed = replace(plan, engine=engine).embeddings()._jdf.queryExecution().executedPlan().toString()
+            assert executed.count("Exchange") < 50
+        plan.close()
+
+
+def test_limits_run_the_engine_asked_for(spark, cases, monkeypatch):
+    g, query, want = cases[0]
+    ran = []
+    monkeypatch.setitem(engines.ENUMERATORS, "explore", lambda i, p: ran.append("explore") or engines.explore(i, p))
+    monkeypatch.setitem(engines.ENUMERATORS, "lftj", lambda i, p: ran.append("lftj") or engines.lftj(i, p))
+    monkeypatch.setitem(engines.COUNTERS, "kss", lambda i, p: ran.append("kss") or engines.kss(i, p))
+    for engine in ("explore", "kss"):
+        report = match(g, query, engine=engine, limit=2)
+        assert report.embeddings == min(2, len(want)) and set(ran) == {engine} and report.engine == engine
+        ran.clear()
+
+
 def test_limit_distribution_levels_and_report(spark, cases, tmp_path):
     g, query, want = cases[0]
     plan = prepare(g, query, order="ri", store=Store(spark, "t"))
@@ -113,6 +164,9 @@ def test_limit_distribution_levels_and_report(spark, cases, tmp_path):
     report.append_csv(spark, f"file://{tmp_path}/runs")
     assert spark.read.csv(f"file://{tmp_path}/runs", header=True).count() == 1
     assert plan.order_from_json(plan.to_json()) == plan.order
+    again = Plan.from_json(plan.to_json(), g, query)
+    assert again.order == plan.order and again.constraints == plan.constraints and again.count().first()[0] == len(want)
+    assert report.memory_mb > 0
 
 
 def test_spectrum(cases):

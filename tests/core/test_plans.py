@@ -94,3 +94,35 @@ def test_leaf_classes_and_options():
     assert leaf_classes(QueryGraph.of([0, 1, 1, 2], [(0, 1), (0, 2), (0, 3)])) == [[1, 2], [3]]
     o = parser().parse_args(["-d", "g", "-q", "q", "-filter", "NLF", "-engine", "KSS", "-symmetry", "1"])
     assert (o.filter, o.order, o.engine, o.num, o.symmetry) == ("nlf", "gql", "kss", "MAX", 1)
+
+
+def test_roots_from_hand_worked_counts():
+    from sparkmatch.plans import tree as T
+
+    q = QueryGraph.of([0, 1, 2, 3, 1], [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4)])
+    labels = {0: 40, 1: 20, 2: 30, 3: 4}
+    # label count by degree: 20, 10, 10, 2, 20; the three least are 3, 1, 2, and 1 and 2 have too common labels but 2 is the last
+    assert T.root_by_frequency(q, labels, {3: 9, 1: 1, 2: 8}, 100) == 2
+    assert T.root_by_frequency(q, labels, {3: 7, 1: 1, 2: 8}, 100) == 3
+    # in the triangle: 1 and 2 (10 each), then 0; by candidates over degree 3 / 2, 6 / 3, 8 / 2
+    assert T.root_in_core(q, labels, {0: 8, 1: 3, 2: 6}) == 1
+    assert T.root_by_ratio(q, {0: 8, 1: 6, 2: 12, 3: 7, 4: 2}) == 4 and T.root_by_ratio(q, {0: 8, 1: 6, 2: 12, 3: 5, 4: 2}, leaves=False) == 3
+
+
+def test_path_orders_from_hand_worked_counts():
+    # a square 0-1-2-3 with the leaf 4 at 2
+    q = QueryGraph.of([0, 1, 0, 1, 2], [(0, 1), (1, 2), (2, 3), (3, 0), (2, 4)])
+    cand = {0: 10, 1: 4, 2: 6, 3: 8, 4: 2}
+    fan = {(0, 1): 2, (1, 2): 3, (0, 3): 1, (2, 4): 1, (2, 3): 1, (3, 2): 2}
+    edges = {}
+    for (u, w), k in fan.items():
+        edges[u, w] = edges[w, u] = cand[u] * k
+    edges[1, 2] = edges[2, 1] = 12
+    stats = O.Stats(cand, edges, {0: 60, 1: 40, 2: 3}, 100)
+    # labels by degree: 30, 20, 20, 20, 3; the least three are 4, 1, 2; the label of 4 alone is rare, 2 is the last: fewest candidates 4
+    assert O.tso_tree(q, stats).order == (4, 2, 1, 3, 0)
+    # paths 4-2-1-0 and 4-2-3: edges 4-2: 6, so 6 / 2 a candidate, times 12 / 6, times 20 / 4: 6 * 2 * 5 = 60 over one
+    # non-tree edge (3-0) + 1: 30; the other 6 * edges[2, 3] / 6 = 16 over 2: 8, so it goes first
+    assert edges[2, 3] == 16 and O.tso(q, stats) == [4, 2, 3, 1, 0]
+    # the core has roots 1, 2, 3 (20 each); candidates by degree 2, 2, 4: root 1
+    assert O.cfl_tree(q, stats).order[0] == 1 and O.cfl(q, stats)[-1] == 4
