@@ -91,6 +91,17 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(
              from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
 select query_id, cast(n as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from met) where n <= 10
+""",
+    "op3_near_duplicates": f"""
+with recursive occ as (select doc_id, s, count(*) as n from ({_SHINGLES.format(key="doc_id", table="documents")}) group by 1, 2),
+     df as (select s, greatest(1, round(8 * ln(1 + (select count(*) from documents) / count(*)))) as w, count(*) as n_docs from occ group by 1),
+     total as (select doc_id, sum(n * w) as t from occ join df using (s) group by 1),
+     often as (select doc_id, s, n, w from occ join df using (s) where n_docs > 1),
+     met as (select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n) * a.w) as c from often a join often b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+     link as (select a, b from met join total x on x.doc_id = a join total y on y.doc_id = b where 5 * c >= 4 * (x.t + y.t - c)),
+     edge as (select a, b from link union all select b, a from link),
+     reach(doc_id, class_id) as (select doc_id, doc_id from documents union select b, class_id from reach join edge on a = reach.doc_id and class_id < b)
+select doc_id, min(class_id) as class_id from reach group by 1
 """,
     "op6_decontamination": f"""
 with item as (select distinct * from ({_SHINGLES.format(key="item_id", table="benchmark")})),
