@@ -452,12 +452,20 @@ def _region(index: Index, plan: list[Step], partial: DataFrame, depth: int, stor
     for step in plan[depth:]:
         e = index.edges(step.near[0], step.u)
         reach[step.u] = store.put(reach[step.near[0]].join(e, F.col("v") == F.col("src")).select(*keys, F.col("dst").alias("v")).distinct())
-    free = {s.u for s in plan[depth:]}
-    parts = []
+    free, parts = {s.u for s in plan[depth:]}, []
+    several = {u: r.groupBy(*keys).agg(F.count("*").alias(f"n{u}")) for u, r in reach.items()}
+    fan = {(r.u, r.u2): r.n / max(1, r.m) for r in index.frame().groupBy("u", "u2").agg(F.count("*").alias("n"), F.countDistinct("v").alias("m")).collect()}
     for u, w in sorted(query.edges):
-        if u in free or w in free:
-            e = reach[u].join(index.edges(u, w), F.col("v") == F.col("src")).select(*keys, F.lit(u).alias("u"), F.lit(w).alias("w"), "src", "dst")
-            parts.append(e.join(reach[w].withColumnRenamed("v", "dst"), [*keys, "dst"], "left_semi"))
+        if u not in free and w not in free:
+            continue
+        # either all pairs within reach of the same row are looked up, or the lists of one end are run through
+        both = several[u].join(several[w], keys).agg(F.sum(F.col(f"n{u}") * F.col(f"n{w}")), F.sum(F.col(f"n{u}") * fan.get((u, w), 0.0))).first()
+        ends = reach[u].withColumnRenamed("v", "src"), reach[w].withColumnRenamed("v", "dst")
+        if (both[0] or 0) <= (both[1] or 0):
+            e = ends[0].join(ends[1], keys).join(index.edges(u, w), ["src", "dst"], "left_semi")
+        else:
+            e = ends[0].join(index.edges(u, w), "src").join(ends[1], [*keys, "dst"], "left_semi")
+        parts.append(e.select(*keys, F.lit(u).alias("u"), F.lit(w).alias("w"), "src", "dst"))
     return store.put(reduce(DataFrame.unionAll, parts))
 
 
