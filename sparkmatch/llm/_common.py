@@ -8,6 +8,8 @@ Python worker builds it once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -47,6 +49,17 @@ def claim(name: str, clear: Callable[[], None]) -> None:
     if _holder[0] != name:
         _holder[1]()
         _holder[:] = [name, clear]
+        _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, so that what one operator needed is not held while the next one runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -164,6 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, d
         shipped = spark.sparkContext.broadcast(Index.build(items))
 
         def run(batches, shipped=shipped):
+            C.claim("decontam", lambda: None)
             index = shipped.value
             for batch in batches:
                 for part in C.blocks(batch, 1):
@@ -194,6 +195,8 @@ def flag(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, te
         name = out if i == 0 else f"__{out}_{i}"
 
         def make(shipped=shipped, name=name):
+            C.claim("decontam", lambda: None)
+
             def block(texts):
                 count = np.zeros(len(texts), np.int64)
                 for at, *_ in shipped.value.search([t or "" for t in texts], threshold):
