@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 #: Text bytes that one call of an operator's block function sees at most (a longer single text comes alone).
 BLOCK_BYTES = 3 << 20
 #: Rows and bytes of one Arrow batch between the JVM and Python; a single larger row comes alone.
-BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Pre-tokens whose codes a worker keeps at most; later ones are encoded again when they come again.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 #: A pre-token of more bytes than this is never cached.
 CACHE_BYTES = 64
 

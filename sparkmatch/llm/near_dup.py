@@ -43,7 +43,7 @@ BANDS, ROWS = 20, 5
 #: Least and most parts of the df count as powers of two, shingles of a part, and shingles that a task adds up at once.
 PART_BITS = (8, 20)
 PART_SHINGLES = 1 << 20
-HELD_SHINGLES = 1 << 20
+HELD_SHINGLES = 1 << 19
 #: N / df is told apart up to this: everywhere.
 CAP = math.inf
 STEPS = 8

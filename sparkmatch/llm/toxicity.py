@@ -41,7 +41,7 @@ SPAN = 6
 COST = 20.0
 #: Longer units are cut into windows of this many letters, each starting half a window after the last.
 WINDOW = 24
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 
 ALPHABET = 64
 #: Digits that stand for letters inside a word.
