@@ -16,6 +16,7 @@ from sparkmatch.functions import stats
 from sparkmatch.model import QueryGraph
 from sparkmatch.operators import engines, filters
 from sparkmatch.operators.index import build
+from sparkmatch.operators.tree import ExecutionTree, Node
 from sparkmatch.plans import symmetry
 from sparkmatch.plans.order import ORDERS
 from sparkmatch.plans.tree import breadth_first
@@ -32,6 +33,8 @@ PART_SQUARE = QueryGraph.of([P, O, P, O], [(0, 1), (1, 2), (2, 3), (3, 0)])
 HOUSE = QueryGraph.of([N, S, P, O, C], [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3)])
 PATH = QueryGraph.of([C, O, S, N], [(0, 1), (1, 2), (2, 3)])
 STAR = QueryGraph.of([O, C, P, P], [(0, 1), (0, 2), (0, 3)])
+#: Square and triangle of the house, joined on the edge that they share.
+HOUSE_TREE = ExecutionTree(HOUSE, (Node("multiway", (1, 0, 4, 3)), Node("multiway", (1, 2, 3)), Node("pairwise", (0, 1, 2, 3, 4), (0, 1))))
 #: Supplier, part of the fourth brand, order of the first priority, customer of the first segment.
 FINE = QueryGraph.of([1, 23, 50, 10], [(0, 1), (1, 2), (2, 3), (0, 2)])
 CLIQUE = QueryGraph.of([0] * 4, [(a, b) for a in range(4) for b in range(a)])
@@ -288,6 +291,11 @@ cast(15 + (select max(el) from one) + 1 as bigint) as n_labels, greatest(cast((s
     _add("index_build", lambda s, d: made(s, d).frame(), f"{graph_sql(kinds=_TRIANGLE_KINDS)} {index}")
     _add("index_cardinality", lambda s, d: made(s, d).cardinalities(), f"{graph_sql(kinds=_TRIANGLE_KINDS)}, i as ({index}), k as (select u, u2, v, count(*) as d from i group by 1, 2, 3) select u, u2, cast(sum(d) as bigint) as n_edges, max(d) as max_degree, cast(8 * (sum(d) + count(*)) as bigint) as n_bytes from k group by 1, 2")
 
+    ends = f"{graph_sql(kinds=_TRIANGLE_KINDS)}, i as ({index}) select u, u2, {{}} from i"
+    _add("index_projections", lambda s, d: made(s, d).projections(), f"{ends.format('v')} group by 1, 2, 3")
+    distinct = lambda s, d: made(s, d).frame().groupBy("u", "u2").agg(F.count_distinct("v").alias("n"))
+    _add("index_distinct_ends", distinct, f"{ends.format('count(distinct v) as n')} group by 1, 2")
+
     # orders: the order that the rule picks, as rows; the rules without SQL are run, and their counts held against it
     for name in ORDERS:
         ordered = lambda s, d, n=name: prepare(every(s, d), HOUSE, filter="ldf", order=n, engine="explore", store=Store(s, "order"))
@@ -304,6 +312,22 @@ cast(15 + (select max(el) from one) + 1 as bigint) as n_labels, greatest(cast((s
         else:
             _add(f"engine_{name}", lambda s, d, p=made_plan: p(s, d).embeddings(), match_sql(HOUSE, _all(HOUSE)))
 
+    # the vf3 look-ahead over bound vertices needs a label twice
+    looked = lambda s, d: prepare(_coarse(["order_customer", "order_part"])(s, d), STAR, filter="ldf", order=[0, 1, 2, 3], engine="vf3", store=Store(s, "engine"))
+    _add("engine_vf3_star", lambda s, d: looked(s, d).count(), match_sql(STAR, _COUNT, kinds=["order_customer", "order_part"]))
+
+    # execution trees
+    indexed = lambda s, d: prepare(every(s, d), HOUSE, filter="ldf", order=[3, 1, 2, 4, 0], store=Store(s, "tree")).index
+    _add("execution_tree", lambda s, d: HOUSE_TREE.embeddings(indexed(s, d)), match_sql(HOUSE, _all(HOUSE)))
+    reported = lambda s, d: s.createDataFrame([r[:3] for r in HOUSE_TREE.execute(indexed(s, d), Store(s, "tree"))[1]], "node int, kind string, n long")
+    parts = [(QueryGraph.of([S, N, C, O], [(0, 1), (1, 2), (2, 3), (3, 0)]), "multiway"), (QueryGraph.of([S, P, O], [(0, 1), (1, 2), (0, 2)]), "multiway"), (HOUSE, "pairwise")]
+    enough = {S: 3, N: 2, C: 2, O: 3, P: 2}  # degrees in the house
+    nodes = []
+    for k, (q, kind) in enumerate(parts):
+        large = " and ".join(f"v{u}.id in (select id from g where degree >= {enough[x]})" for u, x in enumerate(q.labels))
+        nodes.append(f"select cast({k} as integer) as node, '{kind}' as kind, n_embeddings as n from ({match_sql(q, _COUNT)} and {large})")
+    _add("execution_tree_report", reported, " union all ".join(nodes))
+
     # semantics
     less = symmetry.constraints(PART_SQUARE)
     run = lambda g, q, order, engine="explore", **more: prepare(g, q, filter="label", order=order, engine=engine, **more)

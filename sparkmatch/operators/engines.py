@@ -1,7 +1,8 @@
 """Enumeration engines.  All find the same embeddings (u0, u1, ...); they differ in the joins that they are made of.
 
 Binary joins.  ``explore`` extends by the pivot's index edges and checks the other edges in the data graph; ``gql`` by
-data edges that end in a candidate; ``qsi`` by data edges with label and degree alone; ``vf3`` also looks ahead at neighbour labels.
+data edges that end in a candidate; ``qsi`` by data edges with label and degree alone; ``vf3`` also looks ahead at neighbour labels, of the data graph and of the
+partial embedding.
 
 Worst-case optimal joins.  ``lftj`` extends each partial embedding over the shortest of the index lists of the neighbours
 bound before, chosen embedding by embedding, and looks the results up in the others, so no step costs more than the
@@ -51,7 +52,7 @@ def _extend(partial: DataFrame, step: Step, edges: DataFrame, check: Callable[[i
     Constraints and inequalities are residual conditions of the first join, so nothing that they forbid is shuffled on.
     """
     pivot, *others = step.near
-    e = edges.select(F.col("src").alias("__src"), F.col("dst").alias(col(step.u)))
+    e = edges.withColumnsRenamed({"src": "__src", "dst": col(step.u)})
     out = partial.join(e, (F.col(col(pivot)) == F.col("__src")) & step.accepts(F.col(col(step.u)))).drop("__src")
     for w in others:
         e = check(w).select(F.col("src").alias(col(w)), F.col("dst").alias(col(step.u)))
@@ -59,14 +60,15 @@ def _extend(partial: DataFrame, step: Step, edges: DataFrame, check: Callable[[i
     return out
 
 
-def _binary(index: Index, plan: list[Step], edges: Callable[[int, int], DataFrame], check: Callable[[int, int], DataFrame]) -> DataFrame:
+def _binary(index: Index, plan: list[Step], edges: Callable[[int, int], DataFrame], check: Callable[[int, int], DataFrame], after: Callable[[DataFrame, Step], DataFrame] = lambda out, step: out) -> DataFrame:
+    """``after`` is applied to what each step leaves; further columns of ``edges`` come with it."""
     out, rest = _root(plan[0], index.candidates.of[plan[0].u]), plan[1:]
     if rest and index.candidates.notes.get("label_only"):  # every end of an edge of the label pair is a candidate
         second = rest.pop(0)
         e = edges(second.near[0], second.u)
-        out = e.select(F.col("src").alias(col(plan[0].u)), F.col("dst").alias(col(second.u))).where(second.accepts(F.col(col(second.u))))
+        out = after(e.withColumnsRenamed({"src": col(plan[0].u), "dst": col(second.u)}).where(second.accepts(F.col(col(second.u)))), second)
     for step in rest:
-        out = _extend(out, step, edges(step.near[0], step.u), lambda w, u=step.u: check(w, u))
+        out = after(_extend(out, step, edges(step.near[0], step.u), lambda w, u=step.u: check(w, u)), step)
     return _ordered(out, len(plan))
 
 
@@ -97,15 +99,45 @@ def qsi(index: Index, plan: list[Step]) -> DataFrame:
 
 
 def vf3(index: Index, plan: list[Step]) -> DataFrame:
+    """``qsi`` with two looks ahead, which only prune.
+
+    A candidate must have as many neighbours of each kind as the query vertex; and outside the partial embedding as many
+    as the query vertex has unbound ones.  The second says more than the first only where a vertex of that label is
+    bound whose image may be, beyond what the query asks, a neighbour too: these are looked up in the data graph.
+    """
     c = index.candidates
-    profile, names = S.profile(c.graph, c.query)
+    query, (profile, names) = c.query, S.profile(c.graph, c.query)
+    place = {s.u: i for i, s in enumerate(plan)}
+    asked: dict[int, list[tuple[tuple, int, int, list[int]]]] = {u: [] for u in place}
+    for step in plan:
+        u = step.u
+        for kind in sorted(query.neighbour_kinds[u], key=str):
+            same = lambda w, kind=kind, u=u: query.has_edge(u, w) and query.labels[w] == kind[0] and query.edge_label(u, w) == kind[1]
+            unbound = sum(same(w) for w in place if place[w] > place[u])
+            bound = [w for w in place if place[w] < place[u] and query.labels[w] == kind[0]]
+            sure = [w for w in bound if query.has_edge(u, w) and kind[1] in (None, query.edge_label(u, w))]
+            if unbound and len(sure) < len(bound):
+                asked[u].append((kind, unbound, len(sure), [w for w in bound if w not in sure]))
 
     def edges(w: int, u: int) -> DataFrame:
-        ahead = reduce(lambda a, b: a & b, (F.col(names[k]) >= n for k, n in c.query.neighbour_kinds[u].items()))
-        able = profile.where((F.col("label") == c.query.labels[u]) & (F.col("degree") >= c.query.degree[u]) & ahead)
-        return c.graph.step(c.query, w, u).join(able.select(F.col("id").alias("dst")), "dst", "left_semi")
-
-    return _binary(index, plan, edges, lambda w, u: c.graph.step(c.query, w, u))
+        ahead = reduce(lambda a, b: a & b, (F.col(names[k]) >= n for k, n in query.neighbour_kinds[u].items()))
+        able = profile.where((F.col("label") == query.labels[u]) & (F.col("degree") >= query.degree[u]) & ahead)
+        able = able.select(F.col("id").alias("dst"), *[F.col(names[kind]).alias(f"__{names[kind]}") for kind, *_ in asked[u]])
+        return c.graph.step(query, w, u).join(able, "dst")
+
+    def after(out: DataFrame, step: Step) -> DataFrame:
+        u, kept = step.u, [x for x in out.columns if not x.startswith("__")]
+        for kind, unbound, sure, unsure in asked[u]:
+            taken = F.lit(sure)
+            for w in unsure:
+                mark = f"__{names[kind]}_{w}"
+                e = c.graph.between(query.labels[u], kind[0], kind[1]).select(F.col("src").alias(col(u)), F.col("dst").alias(col(w)), F.expr("1").alias(mark))
+                out = out.join(e, [col(u), col(w)], "left")
+                taken = taken + F.coalesce(F.col(mark), F.lit(0))
+            out = out.where(F.col(f"__{names[kind]}") - taken >= unbound)
+        return out.select(*kept)
+
+    return _binary(index, plan, edges, lambda w, u: c.graph.step(query, w, u), after)
 
 
 def _length(w: int, u: int) -> str:

@@ -34,6 +34,14 @@ class Index:
         by = self.frame().groupBy("u", "u2", "v").agg(F.count("*").alias("d"))
         return by.groupBy("u", "u2").agg(F.sum("d").alias("n_edges"), F.max("d").alias("max_degree"), (8 * (F.sum("d") + F.count("*"))).alias("n_bytes"))
 
+    def projections(self) -> DataFrame:
+        """(u, u2, v): the distinct ends at u of the index edges of each directed query edge (u, u2)."""
+        return self.frame().select("u", "u2", "v").distinct()
+
+    def projection(self, u: int, w: int) -> DataFrame:
+        """(v): the same of one query edge, in ascending order."""
+        return self.edges(u, w).select(F.col("src").alias("v")).distinct().orderBy("v")
+
     def stats(self, paths: bool = False) -> Stats:
         """What orders ask for: one job over the candidates, one over the index, one over the labels."""
         c = self.candidates

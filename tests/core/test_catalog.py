@@ -4,7 +4,7 @@ import pytest
 from sparkmatch import catalog
 
 TABLES = ["nation", "supplier", "customer", "part", "orders", "lineitem"]
-SOME = ["graph_metadata", "graph_degree", "graph_nlf", "graph_reify_edge_labels", "graph_four_cliques", "match_clique4", "match_spectrum", "match_fine_labels", "order_gql", "order_qsi", "order_vf3", "order_vf2pp", "order_dpiso", "order_ri", "filter_nlf", "filter_cfl", "index_cardinality", "engine_kss", "match_square", "match_symmetry", "match_star", "match_limit", "match_distribution", "match_reified"]
+SOME = ["graph_metadata", "graph_degree", "graph_nlf", "graph_reify_edge_labels", "graph_four_cliques", "match_clique4", "match_spectrum", "match_fine_labels", "order_gql", "order_qsi", "order_vf3", "order_vf2pp", "order_dpiso", "order_ri", "filter_nlf", "filter_cfl", "index_cardinality", "index_projections", "index_distinct_ends", "execution_tree", "execution_tree_report", "engine_vf3", "engine_vf3_star", "engine_kss", "match_square", "match_symmetry", "match_star", "match_limit", "match_distribution", "match_reified"]
 
 
 @pytest.mark.parametrize("name", SOME)
