@@ -10,7 +10,7 @@ shortest list and no list is held as one value; ``ceci`` always extends over the
 others of the index; ``rm`` does as ``lftj`` on the 2-core and joins the rest.
 
 Factorised counts.  ``kss`` enumerates a kernel that covers all query edges and counts the ways to place the shell, an
-independent set, by products; ``veq`` enumerates classes of candidates with equal index lists and counts their members.
+independent set, by products; ``veq`` keeps one row, with a number, for all partial embeddings that continue alike.
 
 Local search.  ``dpiso`` deals root candidates, each with the part of the index within its reach, to tasks that search depth first
 in an order chosen anew for every partial embedding.
@@ -30,6 +30,7 @@ from sparkmatch.functions import stats as S
 from sparkmatch.operators import filters
 from sparkmatch.operators.index import Index
 from sparkmatch.operators.steps import Step, col, steps
+from sparkmatch.plans.tree import twins
 from sparkmatch.store import Store
 
 #: Index edges within reach that ``dpiso`` searches in one piece.
@@ -330,13 +331,12 @@ def _sub_steps(query, order: list[int], constraints: list[tuple[int, int]]) -> l
     return out
 
 
-def classes(index: Index, u: int) -> DataFrame:
-    """(v, rep, n): candidates of u with equal index lists to every neighbour of u form a class of n; rep is the least.
+def classes(index: Index, u: int, near: tuple[int, ...]) -> DataFrame:
+    """(v, rep): candidates of u with equal index lists to each of ``near`` form a class; rep is its least.
 
     Lists are told apart by their lengths and two 64-bit sums of hashes, so none is collected; a candidate without an
-    edge to some neighbour is in no embedding and in no class.
+    edge to some of ``near`` is in no embedding and in no class.
     """
-    near = index.candidates.query.adjacent[u]
     edges = reduce(DataFrame.unionAll, (index.edges(u, w).select(F.col("src").alias("v"), F.lit(w).alias("w"), "dst") for w in near))
     marks = []
     for w in near:
@@ -347,51 +347,70 @@ def classes(index: Index, u: int) -> DataFrame:
             marks.append(F.sum(here(F.xxhash64(F.lit(seed), "dst").cast("decimal(20,0)"))).alias(f"h{seed}_{w}"))
     signs = edges.groupBy("v").agg(*marks).where(reduce(lambda a, b: a & b, (F.col(f"n{w}") > 0 for w in near)))
     signs = signs.select("v", F.struct(*[c for c in signs.columns if c != "v"]).alias("sign"))
-    heads = signs.groupBy("sign").agg(F.min("v").alias("rep"), F.count("*").alias("n"))
-    return signs.join(heads, "sign").select("v", "rep", "n")
+    return signs.join(signs.groupBy("sign").agg(F.min("v").alias("rep")), "sign").select("v", "rep")
 
 
-def veq(index: Index, plan: list[Step]) -> DataFrame:
-    """(n_embeddings), one row.  Vertices in constraints, and labels on more than four query vertices, keep single candidates."""
-    query = index.candidates.query
+def twins_at_once(index: Index, plan: list[Step]) -> tuple[list[int], dict[int, int]]:
+    """The order without all but the first of some twins, and how many that first one stands for.
+
+    Twins are placed at once when their neighbours are all bound, no other vertex of their label follows, and no
+    constraint names them: c common candidates that are free give c (c - 1) (c - 2) ... ways.
+    """
+    query, place = index.candidates.query, {s.u: i for i, s in enumerate(plan)}
     tied = {x for s in plan for c in s.less for x in c}
-    of_label = {u: [w for w in range(len(query)) if query.labels[w] == query.labels[u]] for u in range(len(query))}
-    merged = [u for u in range(len(query)) if query.adjacent[u] and not any(x in tied for x in of_label[u]) and len(of_label[u]) <= GROUP]
-    table = {u: classes(index, u) for u in merged}
-
-    def edges(u: int, w: int) -> DataFrame:
-        e = index.edges(u, w)
-        for x, end in ((u, "src"), (w, "dst")):
-            if x in table:
-                e = e.join(table[x].where("v = rep").select(F.col("v").alias(end)), end, "left_semi")
-        return e
-
-    heads = {u: table[u].where("v = rep").select("v") if u in table else df for u, df in index.candidates.of.items()}
-    reduced = Index(filters.Candidates(query, index.candidates.graph, heads), {(u, w): edges(u, w) for u, w in query.edges})
-    # classes of two vertices of one label may be the same; what must differ is decided by the counts
-    loose = [Step(s.u, s.near, () if s.u in table else s.differ, s.less) for s in plan]
-    out = lftj(reduced, loose)
-
-    def common(block: tuple[int, ...]) -> DataFrame:
-        """How many candidates the classes of several vertices of one label share."""
-        each = [table[u].select("v", F.col("rep").alias(col(u))) for u in block]
-        return reduce(lambda a, b: a.join(b, "v"), each).groupBy(*[col(u) for u in block]).agg(F.count("*").alias(name(block)))
-
-    name = lambda block: "__n" + "_".join(map(str, block))
-    ways, seen = F.lit(1).cast("long"), set()
-    for u in merged:
-        if u in seen:
-            continue
-        group = of_label[u]
-        seen |= set(group)
-        for block in {tuple(sorted(b)) for blocks in _partitions(group) for b in blocks}:
-            if len(block) == 1:
-                sizes = table[block[0]].where("v = rep").select(F.col("rep").alias(col(block[0])), F.col("n").alias(name(block)))
-                out = out.join(sizes, col(block[0]))
-            else:
-                out = out.join(common(block), [col(x) for x in block], "left")
-        ways = ways * placements(group, lambda block: F.coalesce(F.col(name(block)), F.lit(0).cast("long")))
-    return out.agg(F.coalesce(F.sum(ways), F.lit(0)).cast("long").alias("n_embeddings"))
+    sizes = {}
+    for group in twins(query):
+        u = min(group, key=place.__getitem__)
+        others = {x for x in place if query.labels[x] == query.labels[u]} - set(group)
+        if place[u] and not tied & set(group) and all(place[x] < place[u] for x in {*query.adjacent[u], *others}):
+            sizes[u] = group
+    left_out = {x for u, group in sizes.items() for x in group if x != u}
+    return [u for u in place if u not in left_out], {u: len(group) for u, group in sizes.items()}
+
+
+def veq(index: Index, plan: list[Step]) -> DataFrame:
+    """(n_embeddings), one row.
+
+    Partial embeddings that can be continued in the same ways are one row with their number.  After every step the
+    image of a bound vertex is forgotten if nothing still depends on it, and replaced by the least candidate with equal
+    lists to the neighbours still unbound if nothing else does; so classes are found anew as the embedding grows, and
+    equal rows are summed.  A vertex whose image must differ from, or be compared with, that of a later one keeps it till then.
+    """
+    query, constraints = index.candidates.query, [c for s in plan for c in s.less]
+    order, sizes = twins_at_once(index, plan)
+    bound = _sub_steps(query, order, constraints)
+    wanted, n, known = _wanted(bound), "__n", {}
+
+    def merged(out: DataFrame, i: int) -> DataFrame:
+        later, before = bound[i + 1 :], len(known)
+        gone = []
+        for x in order[: i + 1]:
+            lists = tuple(s.u for s in later if x in s.near)
+            if col(x) not in out.columns or any(x in s.differ or any(x in c for c in s.less) for s in later):
+                continue
+            if not lists:
+                gone.append(col(x))
+            elif (x, lists) not in known:
+                known[x, lists] = classes(index, x, lists).select(F.col("v").alias(col(x)), "rep")
+                out = out.join(known[x, lists], col(x)).drop(col(x)).withColumnRenamed("rep", col(x))
+        if not gone and len(known) == before:
+            return out
+        keys = [c for c in out.columns if c not in gone and c != n]
+        return out.groupBy(*keys).agg(F.sum(n).alias(n))
+
+    out = _root(bound[0], index.candidates.of[order[0]]).withColumn(n, F.expr("1L"))
+    if wanted[order[0]]:
+        out = out.join(_lengths(index, order[0], wanted[order[0]]), F.col(col(order[0])) == F.col("v")).drop("v")
+    for i, step in enumerate(bound):
+        if i:
+            out = _shortest(out, index, step, wanted[step.u])
+        if (k := sizes.get(step.u, 1)) > 1:
+            keys = [c for c in out.columns if c not in (col(step.u), n)]
+            out = out.groupBy(*keys).agg(F.max(n).alias(n), F.count("*").alias("__c")).where(F.col("__c") >= k)
+            out = out.withColumn(n, reduce(lambda a, j: a * (F.col("__c") - j), range(k), F.col(n))).drop("__c")
+        if i + 1 < len(bound):
+            out = merged(out, i)
+    return out.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_embeddings"))
 
 
 # ---- local search
@@ -570,4 +589,4 @@ ENUMERATORS: dict[str, Callable[[Index, list[Step]], DataFrame]] = {"lftj": lftj
 COUNTERS: dict[str, Callable[[Index, list[Step]], DataFrame]] = {"kss": kss, "veq": veq}
 ENGINES = {**ENUMERATORS, **COUNTERS}
 
-__all__ = ["COUNTERS", "ENGINES", "ENUMERATORS", "Search", "classes", "kernel", "placements", "steps"]
+__all__ = ["COUNTERS", "ENGINES", "ENUMERATORS", "Search", "classes", "kernel", "placements", "steps", "twins_at_once"]

@@ -94,11 +94,14 @@ def root_by_ratio(query: QueryGraph, count: dict[int, int], leaves: bool = True)
     return min(inside, key=lambda u: (count.get(u, 0) / max(1, query.degree[u]), u))
 
 
-def leaf_classes(query: QueryGraph) -> list[list[int]]:
-    """Leaves that may be exchanged: of one label, at the same neighbour, over edges of one label."""
+def twins(query: QueryGraph) -> list[list[int]]:
+    """Vertices that may be exchanged: of one label, with the same neighbours over edges of the same labels."""
     by: dict[tuple, list[int]] = {}
     for u in range(len(query)):
-        if query.degree[u] == 1:
-            (w,) = query.adjacent[u]
-            by.setdefault((query.labels[u], w, query.edge_label(u, w)), []).append(u)
+        by.setdefault((query.labels[u], tuple((w, query.edge_label(u, w)) for w in query.adjacent[u])), []).append(u)
     return list(by.values())
+
+
+def leaf_classes(query: QueryGraph) -> list[list[int]]:
+    """Twins that are leaves."""
+    return [c for c in twins(query) if query.degree[c[0]] == 1]

@@ -97,6 +97,29 @@ def test_larger_queries_with_equal_labels(spark):
         assert symmetry.automorphism_count(query) == len(automorphisms(query))
 
 
+def test_veq_forgets_images_merges_classes_and_places_twins(spark):
+    from sparkmatch.model import QueryGraph
+
+    queries = [
+        QueryGraph.of([0, 1, 1, 1, 0], [(0, 1), (0, 2), (0, 3), (3, 4)]),  # two leaves and a path beside them, one label
+        QueryGraph.of([0, 0, 1, 1, 1], [(0, 2), (0, 3), (1, 2), (1, 3), (0, 4), (1, 4)]),  # three twins that are no leaves
+        QueryGraph.of([0, 1, 0, 1, 0, 1], [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]),  # a path of two labels
+    ]
+    labels, edges, _ = random_case(8, n=14, p=0.45)
+    g = data_graph(spark, labels, edges)
+    for query in queries:
+        want = embeddings(labels, edges, query)
+        plan = prepare(g, query, filter="ldf", order="ri", engine="veq", store=Store(spark, "t"))
+        for order in {tuple(plan.order), tuple(make("gql", query, plan.index.stats()))}:
+            assert want and replace(plan, order=list(order)).count().first()[0] == len(want)
+        less = symmetry.constraints(query)
+        assert replace(plan, constraints=less).count().first()[0] == sum(all(e[a] < e[b] for a, b in less) for e in want)
+    plan = prepare(g, queries[1], filter="ldf", order=[0, 2, 1, 3, 4], store=Store(spark, "t"))
+    assert engines.twins_at_once(plan.index, plan.steps) == ([0, 2, 1, 3, 4], {})  # the first of them comes too early
+    plan = prepare(g, queries[0], filter="ldf", order=[0, 3, 4, 1, 2], store=Store(spark, "t"))
+    assert engines.twins_at_once(plan.index, plan.steps) == ([0, 3, 4, 1], {4: 1, 1: 2})
+
+
 def test_dpiso_searches_large_regions_in_pieces(prepared, monkeypatch):
     for most in (0, 3, 12):
         monkeypatch.setattr(engines, "LOCAL_EDGES", most)
