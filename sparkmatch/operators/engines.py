@@ -19,6 +19,7 @@ in an order chosen anew for every partial embedding.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from math import factorial
 
@@ -37,6 +38,8 @@ from sparkmatch.store import Store
 LOCAL_EDGES = 100_000
 #: Vertices of one label whose joint placements are counted by inclusion and exclusion; more are enumerated.
 GROUP = 4
+#: Vertices of a query whose sets are all looked at for an order.
+SETS = 12
 
 
 def _root(step: Step, frame: DataFrame) -> DataFrame:
@@ -73,8 +76,58 @@ def _binary(index: Index, plan: list[Step], edges: Callable[[int, int], DataFram
     return _ordered(out, len(plan))
 
 
+def economical(index: Index, order: list[int]) -> tuple[list[int], dict[tuple[int, int], float]]:
+    """The order, or one from the same root that writes less, and the mean length of the index lists from w to u by (w, u).
+
+    An extension writes as many rows as the shortest list of a bound neighbour has, and the other edges are tested
+    after that.  An order is left only if one of its steps so writes more rows than the index has edges; the one of
+    least rows in all is taken then, found over all sets of bound vertices.  A query without a cycle has nothing to
+    test, and one of more than SETS vertices too many sets: both keep their order.
+    """
+    query = index.candidates.query
+    near = {u: [w for w in query.adjacent[u] if w in order] for u in order}
+    if sum(map(len, near.values())) < 2 * len(order):
+        return order, {}
+    n, edges = index.sizes()
+    mean = {(w, u): edges[min(u, w), max(u, w)] / max(1, n[w]) for u in order for w in near[u]}
+
+    def bind(rows: float, bound: frozenset[int], u: int) -> tuple[float, float]:
+        """Rows that the extension by u writes, and those that are left."""
+        lists = sorted(mean[w, u] for w in near[u] if w in bound)
+        left = rows * lists[0]
+        for x in lists[1:]:
+            left *= min(1.0, x / max(1, n[u]))
+        return rows * lists[0], left
+
+    rows, most, bound = float(n[order[0]]), 0.0, frozenset(order[:1])
+    for u in order[1:]:
+        wrote, rows = bind(rows, bound, u)
+        most, bound = max(most, wrote), bound | {u}
+    if most <= sum(edges[e] for e in edges if set(e) <= bound) or len(order) > SETS:
+        return order, mean
+    best = {frozenset(order[:1]): (0.0, float(n[order[0]]), order[:1])}
+    for _ in order[1:]:
+        after: dict[frozenset[int], tuple[float, float, list[int]]] = {}
+        for bound, (total, rows, path) in best.items():
+            for u in order:
+                if u not in bound and any(w in bound for w in near[u]):
+                    wrote, left = bind(rows, bound, u)
+                    key = bound | {u}
+                    if key not in after or total + wrote < after[key][0]:
+                        after[key] = total + wrote, left, [*path, u]
+        best = after
+    return next(iter(best.values()))[2], mean
+
+
+def _economical_steps(index: Index, plan: list[Step]) -> list[Step]:
+    """Steps of the economical order, the neighbour of the shortest lists as pivot."""
+    order, mean = economical(index, [s.u for s in plan])
+    out = _sub_steps(index.candidates.query, order, [c for s in plan for c in s.less])
+    return [replace(s, near=tuple(sorted(s.near, key=lambda w: mean.get((w, s.u), 0.0)))) for s in out]
+
+
 def explore(index: Index, plan: list[Step]) -> DataFrame:
-    c = index.candidates
+    c, plan = index.candidates, _economical_steps(index, plan)
     return _binary(index, plan, index.edges, lambda w, u: c.graph.step(c.query, w, u))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from sparkmatch.functions import stats as S
 from sparkmatch.operators.filters import Candidates, label_counts
 from sparkmatch.plans.order import Stats
-from sparkmatch.store import Store
+from sparkmatch.store import Store, is_scan
+
+#: Edges that are not stored are counted by one of SHARE, those of which the share is less than FEW in full.
+SHARE, FEW = 64, 100
 
 
 @dataclass
@@ -20,6 +23,9 @@ class Index:
 
     candidates: Candidates
     of: dict[tuple[int, int], DataFrame]
+    #: The index of which this one has a part of the candidates; its sizes are taken for those of this one.
+    whole: Index | None = None
+    known: tuple[dict[int, int], dict[tuple[int, int], int]] | None = field(default=None, repr=False)
 
     def edges(self, u: int, w: int) -> DataFrame:
         return self.of[u, w] if u < w else self.of[w, u].select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -54,6 +60,27 @@ class Index:
             lambda d: max((p for k, p in tail if k >= d), default=0.0), self.path_estimate if paths else None,
         )
 
+    def sizes(self) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+        """Candidates of each vertex and edges of each undirected query edge, for choices that change no result.
+
+        The share of edges that are not stored is picked by a hash of both ends, which the planner moves below the
+        joins and aggregations that they come from.
+        """
+        if self.whole:
+            return self.whole.sizes()
+        if self.known is None:
+            part = F.pmod(F.xxhash64("src", "dst"), F.lit(SHARE)) == 0
+
+            def counted(of: dict[tuple[int, int], DataFrame]) -> dict[tuple[int, int], int]:
+                rows = [e.agg(F.count("*").alias("n")).select(F.lit(u).alias("u"), F.lit(w).alias("w"), "n") for (u, w), e in of.items()]
+                return {(r.u, r.w): r.n for r in reduce(DataFrame.unionAll, rows).collect()} if rows else {}
+
+            stored = {k: is_scan(e) for k, e in self.of.items()}
+            n = counted({k: e if stored[k] else e.where(part) for k, e in self.of.items()})
+            few = counted({k: self.of[k] for k in n if not stored[k] and n[k] < FEW})
+            self.known = self.candidates.counts(), {k: few.get(k, n[k] if stored[k] else SHARE * n[k]) for k in n}
+        return self.known
+
     def path_estimate(self, path: list[int]) -> float:
         """Exact number of ways to map a path to the index, vertices not told apart: sums of products, from the end."""
         ways = self.candidates.of[path[-1]].select(F.col("v").alias("dst"), F.lit(1.0).alias("ways"))

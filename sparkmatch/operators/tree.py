@@ -71,7 +71,7 @@ class ExecutionTree:
         names = [col(u) for u in node.vertices]
         inside = [c for c in constraints if set(c) <= set(node.vertices)]
         if node.kind != "pairwise":
-            plan = engines._sub_steps(query, list(node.vertices), inside)
+            plan = engines._sub_steps(query, engines.economical(index, list(node.vertices))[0], inside)
             return engines._bound(index, plan, engines._wanted(plan)).select(*names)
         left, right = (self.nodes[i].vertices for i in node.inputs)
         shared = [u for u in left if u in right]

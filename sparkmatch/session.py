@@ -117,7 +117,7 @@ class Plan:
 
 def _restricted(index: Index, root: int, of: dict[int, DataFrame]) -> Index:
     c = index.candidates
-    return Index(filters.Candidates(c.query, c.graph, of), index.of)
+    return Index(filters.Candidates(c.query, c.graph, of), index.of, index)
 
 
 def prepare(

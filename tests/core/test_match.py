@@ -235,3 +235,26 @@ def test_label_filter_leaves_all_to_the_joins(cases):
     for g, query, want in cases:
         for name in ("explore", "lftj"):
             assert prepare(g, query, filter="label", order="ri", engine=name).count().first()[0] == len(want)
+
+
+@pytest.fixture(scope="module")
+def trade(spark):
+    """Two nations (0) with 15 suppliers (1) and 30 customers (2) each, 60 orders (4) of two parts (3) and suppliers."""
+    supplier, customer, part, order = (lambda i: 2 + i % 30), (lambda i: 32 + i % 60), (lambda i: 92 + i % 10), lambda i: 102 + i
+    labels = [0] * 2 + [1] * 30 + [2] * 60 + [3] * 10 + [4] * 60
+    edges = {(i % 2, supplier(i)): None for i in range(30)} | {(i % 2, customer(i)): None for i in range(60)}
+    for i in range(60):
+        edges[customer(7 * i), order(i)] = None
+        for k in (11 * i, 13 * i + 5):
+            edges |= {(supplier(k), order(i)): None, (part(k), order(i)): None, (supplier(k), part(k)): None}
+    return data_graph(spark, labels, edges), labels, edges
+
+
+def test_square_is_closed_over_the_shorter_lists(spark, trade):
+    from sparkmatch.catalog import SQUARE
+
+    g, labels, edges = trade
+    plan = prepare(g, SQUARE, filter="label", order=[0, 3, 2, 1], engine="explore", store=Store(spark, "t"))
+    bound = engines._economical_steps(plan.index, plan.steps)
+    assert [s.u for s in bound] == plan.order and bound[-1].near == (2, 0)  # two suppliers of an order, 15 of a nation
+    assert sorted(map(tuple, plan.embeddings().collect())) == embeddings(labels, edges, SQUARE) != []
