@@ -38,6 +38,8 @@ from sparkmatch.store import Store
 LOCAL_EDGES = 100_000
 #: Vertices of one label whose joint placements are counted by inclusion and exclusion; more are enumerated.
 GROUP = 4
+#: A step whose pivot has lists so many times shorter, in the mean, than each other neighbour's does not choose by embedding.
+CLEAR = 16
 #: Vertices of a query whose sets are all looked at for an order.
 SETS = 12
 
@@ -121,9 +123,15 @@ def economical(index: Index, order: list[int]) -> tuple[list[int], dict[tuple[in
 
 def _economical_steps(index: Index, plan: list[Step]) -> list[Step]:
     """Steps of the economical order, the neighbour of the shortest lists as pivot."""
+    return _by_length(index, plan)[0]
+
+
+def _by_length(index: Index, plan: list[Step]) -> tuple[list[Step], set[int]]:
+    """The economical steps, and the vertices whose pivot has much shorter lists than their other neighbours."""
     order, mean = economical(index, [s.u for s in plan])
     out = _sub_steps(index.candidates.query, order, [c for s in plan for c in s.less])
-    return [replace(s, near=tuple(sorted(s.near, key=lambda w: mean.get((w, s.u), 0.0)))) for s in out]
+    out = [replace(s, near=tuple(sorted(s.near, key=lambda w: mean.get((w, s.u), 0.0)))) for s in out]
+    return out, {s.u for s in out if len(s.near) > 1 and CLEAR * mean.get((s.near[0], s.u), 1.0) <= mean.get((s.near[1], s.u), 0.0)}
 
 
 def explore(index: Index, plan: list[Step]) -> DataFrame:
@@ -267,6 +275,13 @@ def lftj(index: Index, plan: list[Step]) -> DataFrame:
     return _ordered(_bound(index, plan, _wanted(plan)), len(plan))
 
 
+def multiway(index: Index, plan: list[Step]) -> DataFrame:
+    """Embeddings of some of the query's vertices: as ``lftj``, but in the economical order, and by the pivot alone where the lengths leave no doubt."""
+    plan, clear = _by_length(index, plan)
+    wanted = {w: [u for u in later if u not in clear] for w, later in _wanted(plan).items()}
+    return _bound(index, plan, wanted, lambda s: s.u not in clear)
+
+
 def ceci(index: Index, plan: list[Step]) -> DataFrame:
     out = _root(plan[0], index.candidates.of[plan[0].u])
     for step in plan[1:]:

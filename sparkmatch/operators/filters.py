@@ -169,8 +169,11 @@ def narrowed(graph: DataGraph, query: QueryGraph, store: Store) -> DataGraph:
     if is_scan(graph.vertices) and is_scan(graph.edges):  # a stored graph: its scans filter by label themselves
         return graph
     labels = sorted(set(query.labels))
-    edges = graph.edges.where(F.col("src_label").isin(labels) & F.col("dst_label").isin(labels))
-    return DataGraph(store.put(graph.vertices.where(F.col("label").isin(labels))), store.put(edges.sortWithinPartitions("src_label", "dst_label")))
+    edges = graph.edges.where(F.col("src_label").isin(labels) & F.col("dst_label").isin(labels) & (F.col("src") < F.col("dst")))  # each is stored once
+    vertices = store.put(graph.vertices.where(F.col("label").isin(labels)))
+    one = store.put(edges.sortWithinPartitions("src_label", "dst_label"))
+    back = one.selectExpr("dst as src", "src as dst", "elabel", "dst_label as src_label", "src_label as dst_label")
+    return DataGraph(vertices, one.unionAll(back))
 
 
 def _sweep(c: Candidates, order, visit: Callable[[int], None], store: Store) -> None:

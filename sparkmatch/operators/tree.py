@@ -28,7 +28,7 @@ KINDS = ("scan", "multiway", "pairwise")
 @dataclass(frozen=True)
 class Node:
     kind: str
-    #: Query vertices of the rows; of a multiway node in the order in which they are bound.
+    #: Query vertices of the rows; of a multiway node in the order in which they are bound, unless another writes much less.
     vertices: tuple[int, ...]
     #: Places of the nodes that a pairwise node joins.
     inputs: tuple[int, ...] = ()
@@ -71,8 +71,7 @@ class ExecutionTree:
         names = [col(u) for u in node.vertices]
         inside = [c for c in constraints if set(c) <= set(node.vertices)]
         if node.kind != "pairwise":
-            plan = engines._sub_steps(query, engines.economical(index, list(node.vertices))[0], inside)
-            return engines._bound(index, plan, engines._wanted(plan)).select(*names)
+            return engines.multiway(index, engines._sub_steps(query, list(node.vertices), inside)).select(*names)
         left, right = (self.nodes[i].vertices for i in node.inputs)
         shared = [u for u in left if u in right]
         rest = [(a, b) for a in left for b in right if a not in right and b not in left]

@@ -258,3 +258,33 @@ def test_square_is_closed_over_the_shorter_lists(spark, trade):
     bound = engines._economical_steps(plan.index, plan.steps)
     assert [s.u for s in bound] == plan.order and bound[-1].near == (2, 0)  # two suppliers of an order, 15 of a nation
     assert sorted(map(tuple, plan.embeddings().collect())) == embeddings(labels, edges, SQUARE) != []
+
+
+@pytest.mark.parametrize("order", [[0, 4, 1, 3, 2], [0, 4, 1, 2, 3]])
+def test_house_does_not_pair_suppliers_and_customers_of_a_nation(spark, trade, order):
+    from sparkmatch.catalog import HOUSE
+
+    g, labels, edges = trade
+    plan = prepare(g, HOUSE, filter="label", order=order, engine="explore", store=Store(spark, "t"))
+    bound = [s.u for s in engines._economical_steps(plan.index, plan.steps)]
+    assert bound[:3] == [0, 4, 3]  # the order between them comes first
+    assert sorted(map(tuple, plan.embeddings().collect())) == embeddings(labels, edges, HOUSE) != []
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    before = files()
+    out = Store(spark, "t").put(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    for _ in range(20):  # they are deleted a little later
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 7
