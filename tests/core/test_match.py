@@ -288,3 +288,14 @@ def test_stored_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert files() <= before and out.count() == 7
+
+
+def test_distribution_counts_over_the_shorter_lists(spark, trade):
+    from collections import Counter
+
+    from sparkmatch.catalog import SQUARE
+
+    g, labels, edges = trade
+    plan = prepare(g, SQUARE, filter="label", order=[0, 3, 2, 1], engine="explore", store=Store(spark, "t"))
+    assert {r.v: r.n for r in plan.distribution().collect()} == Counter(v for e in embeddings(labels, edges, SQUARE) for v in e)
+    assert engines._economical_steps(plan.index, plan.steps)[-1].near[0] == 2
