@@ -299,3 +299,18 @@ def test_distribution_counts_over_the_shorter_lists(spark, trade):
     plan = prepare(g, SQUARE, filter="label", order=[0, 3, 2, 1], engine="explore", store=Store(spark, "t"))
     assert {r.v: r.n for r in plan.distribution().collect()} == Counter(v for e in embeddings(labels, edges, SQUARE) for v in e)
     assert engines._economical_steps(plan.index, plan.steps)[-1].near[0] == 2
+
+
+def test_labelled_and_reified_squares_do_not_pair_within_a_nation(spark, trade):
+    from sparkmatch.catalog import LABELLED, SQUARE_REIFIED
+    from sparkmatch.sources import transform
+
+    _, labels, edges = trade
+    kinds = {(0, 1): 0, (0, 2): 1, (2, 4): 2, (3, 4): 3, (1, 4): 4, (1, 3): 5}
+    edges = {(a, b): kinds[labels[a], labels[b]] for a, b in edges}
+    g, n = data_graph(spark, labels, edges), len(embeddings(labels, edges, LABELLED))
+    plan = prepare(g, LABELLED, filter="label", order=[0, 3, 2, 1], engine="explore", store=Store(spark, "t"))
+    assert engines._economical_steps(plan.index, plan.steps)[-1].near[0] == 2 and plan.count().first()[0] == n
+    plan = prepare(transform.reify(g, 15, 10**12), SQUARE_REIFIED, filter="label", order="ri", engine="explore", store=Store(spark, "t"))
+    bound = [s.u for s in engines._economical_steps(plan.index, plan.steps)]
+    assert bound.index(2) < max(bound.index(1), bound.index(3)) and plan.order.index(2) > max(plan.order.index(1), plan.order.index(3)) and plan.count().first()[0] == n
