@@ -40,6 +40,8 @@ LOCAL_EDGES = 100_000
 GROUP = 4
 #: A step whose pivot has lists so many times shorter, in the mean, than each other neighbour's does not choose by embedding.
 CLEAR = 16
+#: A step of a slice should write no more rows than a SLICE-th of the index's edges; there are MOST_SLICES at most.
+SLICE, MOST_SLICES = 2, 64
 #: Vertices of a query whose sets are all looked at for an order.
 SETS = 12
 
@@ -275,6 +277,31 @@ def lftj(index: Index, plan: list[Step]) -> DataFrame:
     return _ordered(_bound(index, plan, _wanted(plan)), len(plan))
 
 
+def slices(index: Index, order: list[int]) -> list[Index]:
+    """The index, or parts of it by a hash of the root's image, few enough rows each for SLICE."""
+    bound, (n, edges) = economical(index, order)[0], index.sizes()
+    query, rows, most = index.candidates.query, float(n[order[0]]), 0.0
+    for i, u in enumerate(bound[1:], 1):
+        near = [w for w in query.adjacent[u] if w in bound[:i]]
+        lists = sorted(edges[min(u, w), max(u, w)] / max(1, n[w]) for w in near)
+        most = max(most, rows * lists[0])
+        rows *= lists[0]
+        for x in lists[1:]:
+            rows *= min(1.0, x / max(1, n[u]))
+    k = min(MOST_SLICES, 1 + int(SLICE * most / max(1, sum(edges[e] for e in edges if set(e) <= set(order)))))
+    if k == 1:
+        return [index]
+    root = order[0]
+    of = lambda c, i: F.pmod(F.xxhash64(F.lit(3), c), F.lit(k)) == i
+    out = []
+    for i in range(k):
+        c = index.candidates
+        kept = filters.Candidates(query, c.graph, c.of | {root: c.of[root].where(of("v", i))}, {x: y for x, y in c.notes.items() if x != "label_only"})
+        parts = {(u, w): e.where(of("src" if u == root else "dst", i)) if root in (u, w) else e for (u, w), e in index.of.items()}
+        out.append(Index(kept, parts, index))
+    return out
+
+
 def multiway(index: Index, plan: list[Step]) -> DataFrame:
     """Embeddings of some of the query's vertices: as ``lftj``, but in the economical order, and by the pivot alone where the lengths leave no doubt."""
     plan, clear = _by_length(index, plan)

@@ -11,6 +11,7 @@ import json
 import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,15 +102,19 @@ class ExecutionTree:
         return engines._ordered(done[-1], len(self.query))
 
     def execute(self, index: Index, store: Store, constraints: Sequence[tuple[int, int]] = ()) -> tuple[DataFrame, list[tuple[int, str, int, float]]]:
-        """The embeddings, and (node, kind, rows, seconds) of each node; each node's rows are written to ``store`` and read again."""
+        """The embeddings, and (node, kind, rows, seconds) of each node; each node's rows are written to ``store``, in slices if they are made of many more, and read again."""
         done: list[DataFrame] = []
-        report = []
+        report, written = [], []
         for at, node in enumerate(self.nodes):
             began = time.perf_counter()
-            done.append(store.put(self._rows(at, index, done, list(constraints))))
+            parts = engines.slices(index, list(node.vertices)) if node.kind == "multiway" and len(node.vertices) > 2 else [index]
+            # slice by slice, so that what one shuffles is gone before the next
+            done.append(reduce(DataFrame.unionAll, [store.put(self._rows(at, x, done, list(constraints))) for x in parts]))
+            written.append(len(parts))
             report.append((at, node.kind, done[-1].count(), time.perf_counter() - began))
             for i in node.inputs:
-                store.drop(done[i])
+                if written[i] == 1:  # slices stay until the store is cleared
+                    store.drop(done[i])
         return engines._ordered(done[-1], len(self.query)), report
 
 

@@ -72,3 +72,15 @@ def test_projections(made):
         assert ends == sorted({r.src for r in index.edges(u, w).collect()})
     got = {(r.u, r.u2, r.v) for r in index.projections().collect()}
     assert got == {(r.u, r.u2, r.v) for r in index.frame().collect()} and len(got) == index.projections().count()
+
+
+def test_nodes_run_in_slices(spark, made, monkeypatch):
+    from sparkmatch.operators import engines
+
+    plan, want = made
+    monkeypatch.setattr(engines, "SLICE", 10**6)
+    monkeypatch.setattr(engines, "MOST_SLICES", 3)
+    tree = multiway(plan.index.candidates.query, plan.order)
+    assert len(engines.slices(plan.index, plan.order)) == 3
+    out, report = tree.execute(plan.index, Store(spark, "t"))
+    assert sorted(map(tuple, out.collect())) == want and report[0][2] == len(want)
