@@ -126,3 +126,17 @@ def test_path_orders_from_hand_worked_counts():
     assert edges[2, 3] == 16 and O.tso(q, stats) == [4, 2, 3, 1, 0]
     # the core has roots 1, 2, 3 (20 each); candidates by degree 2, 2, 4: root 1
     assert O.cfl_tree(q, stats).order[0] == 1 and O.cfl(q, stats)[-1] == 4
+
+
+def test_an_order_that_writes_more_than_the_index_is_left():
+    from types import SimpleNamespace
+
+    from sparkmatch.catalog import HOUSE
+    from sparkmatch.operators.engines import economical
+
+    n = {0: 25, 1: 60_000, 2: 1_200_000, 3: 9_000_000, 4: 900_000}
+    edges = {(0, 1): 60_000, (1, 2): 36_000_000, (2, 3): 36_000_000, (3, 4): 9_000_000, (0, 4): 900_000, (1, 3): 36_000_000}
+    index = SimpleNamespace(candidates=SimpleNamespace(query=HOUSE), sizes=lambda: (n, edges))
+    order, mean = economical(index, [1, 2, 3, 0, 4])
+    assert order[0] == 1 and order[-1] == 2 and mean[3, 2] == 4  # parts last, over orders: 30 orders of a part came before
+    assert economical(index, [3, 4, 0, 1, 2])[0] == [3, 4, 0, 1, 2]
