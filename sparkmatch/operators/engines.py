@@ -69,6 +69,10 @@ def _extend(partial: DataFrame, step: Step, edges: DataFrame, check: Callable[[i
 
 
 def _binary(index: Index, plan: list[Step], edges: Callable[[int, int], DataFrame], check: Callable[[int, int], DataFrame], after: Callable[[DataFrame, Step], DataFrame] = lambda out, step: out) -> DataFrame:
+    return _ordered(_joined(index, plan, edges, check, after), len(plan))
+
+
+def _joined(index: Index, plan: list[Step], edges: Callable[[int, int], DataFrame], check: Callable[[int, int], DataFrame], after: Callable[[DataFrame, Step], DataFrame] = lambda out, step: out) -> DataFrame:
     """``after`` is applied to what each step leaves; further columns of ``edges`` come with it."""
     out, rest = _root(plan[0], index.candidates.of[plan[0].u]), plan[1:]
     if rest and index.candidates.notes.get("label_only"):  # every end of an edge of the label pair is a candidate
@@ -77,7 +81,21 @@ def _binary(index: Index, plan: list[Step], edges: Callable[[int, int], DataFram
         out = after(e.withColumnsRenamed({"src": col(plan[0].u), "dst": col(second.u)}).where(second.accepts(F.col(col(second.u)))), second)
     for step in rest:
         out = after(_extend(out, step, edges(step.near[0], step.u), lambda w, u=step.u: check(w, u)), step)
-    return _ordered(out, len(plan))
+    return out
+
+
+def written(index: Index, order: list[int]) -> float:
+    """Rows that the largest step of an order writes, by the mean lengths of the index lists."""
+    query, (n, edges) = index.candidates.query, index.sizes()
+    rows, most = float(n[order[0]]), 0.0
+    for i, u in enumerate(order[1:], 1):
+        near = [w for w in query.adjacent[u] if w in order[:i]]
+        lists = sorted(edges[min(u, w), max(u, w)] / max(1, n[w]) for w in near)
+        rows *= lists[0]
+        most = max(most, rows)
+        for x in lists[1:]:
+            rows *= min(1.0, x / max(1, n[u]))
+    return most
 
 
 def economical(index: Index, order: list[int]) -> tuple[list[int], dict[tuple[int, int], float]]:
@@ -141,6 +159,36 @@ def explore(index: Index, plan: list[Step]) -> DataFrame:
     return _binary(index, plan, index.edges, lambda w, u: c.graph.step(c.query, w, u))
 
 
+def explore_count(index: Index, plan: list[Step]) -> DataFrame:
+    """(n_embeddings), one row, of ``explore``.
+
+    If even the economical order has a step that writes more rows than the index has edges, and the query has twins
+    that share their label with no other vertex, one of them is enumerated for all: the c images that it has beside the
+    same images of the rest are c (c - 1) ... ways to place k twins.  Other twins then are bound in ascending order, and
+    their exchanges counted by a factor.
+    """
+    query, total = index.candidates.query, [F.count("*").alias("n_embeddings")]
+    order = [s.u for s in plan]
+    if any(s.less for s in plan) or len(order) == 1 or written(index, economical(index, order)[0]) <= sum(index.sizes()[1].values()):
+        return explore(index, plan).agg(*total)
+    groups = [sorted(g, key=order.index) for g in twins(query) if len(g) > 1]
+    found = []
+    for g in groups:
+        if sum(x == query.labels[g[0]] for x in query.labels) == len(g):
+            found.append((written(index, [u for u in order if u not in g[1:]]), g))
+    if not found or min(found)[0] >= written(index, economical(index, order)[0]):
+        return explore(index, plan).agg(*total)
+    one, *others = min(found)[1]
+    left = [g for g in groups if g[0] != one]
+    some = _sub_steps(query, [u for u in order if u not in others], [c for g in left for c in zip(g, g[1:], strict=False)])
+    c, some = index.candidates, _economical_steps(index, some)
+    out = _joined(index, some, index.edges, lambda w, u: c.graph.step(query, w, u))
+    images = out.groupBy(*[col(s.u) for s in some if s.u != one]).agg(F.count("*").alias("__c"))
+    ways = reduce(lambda a, j: a * (F.col("__c") - j), range(1, len(others) + 1), F.col("__c"))
+    times = reduce(lambda a, g: a * factorial(len(g)), left, 1)
+    return images.agg((F.coalesce(F.sum(ways), F.lit(0)) * times).cast("long").alias("n_embeddings"))
+
+
 def gql(index: Index, plan: list[Step]) -> DataFrame:
     c = index.candidates
     into = lambda w, u: c.graph.step(c.query, w, u).join(c.of[u].select(F.col("v").alias("dst")), "dst", "left_semi")
@@ -279,15 +327,8 @@ def lftj(index: Index, plan: list[Step]) -> DataFrame:
 
 def slices(index: Index, order: list[int]) -> list[Index]:
     """The index, or parts of it by a hash of the root's image, few enough rows each for SLICE."""
-    bound, (n, edges) = economical(index, order)[0], index.sizes()
-    query, rows, most = index.candidates.query, float(n[order[0]]), 0.0
-    for i, u in enumerate(bound[1:], 1):
-        near = [w for w in query.adjacent[u] if w in bound[:i]]
-        lists = sorted(edges[min(u, w), max(u, w)] / max(1, n[w]) for w in near)
-        most = max(most, rows * lists[0])
-        rows *= lists[0]
-        for x in lists[1:]:
-            rows *= min(1.0, x / max(1, n[u]))
+    query, edges = index.candidates.query, index.sizes()[1]
+    most = written(index, economical(index, order)[0])
     k = min(MOST_SLICES, 1 + int(SLICE * most / max(1, sum(edges[e] for e in edges if set(e) <= set(order)))))
     if k == 1:
         return [index]

@@ -52,6 +52,8 @@ class Plan:
         """(n_embeddings), one row."""
         if self.engine in engines.COUNTERS:
             return engines.COUNTERS[self.engine](self.index, self.steps)
+        if self.engine == "explore":
+            return engines.explore_count(self.index, self.steps)
         return self.embeddings().agg(F.count("*").alias("n_embeddings"))
 
     def _shares(self):
