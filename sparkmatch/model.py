@@ -129,6 +129,8 @@ class DataGraph:
 
     vertices: DataFrame
     edges: DataFrame
+    #: (id, label), if the degrees of ``vertices`` are still to be counted from ``edges``.
+    plain: DataFrame | None = None
 
     @staticmethod
     def of(vertices: DataFrame, edges: DataFrame) -> DataGraph:
@@ -150,9 +152,13 @@ class DataGraph:
         there = one.selectExpr("a as src", "b as dst", "elabel", "la as src_label", "lb as dst_label")
         back = one.selectExpr("b as src", "a as dst", "elabel", "lb as src_label", "la as dst_label")
         edges = there.unionAll(back)
+        return DataGraph(DataGraph.with_degrees(vertices, edges), edges, vertices)
+
+    @staticmethod
+    def with_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+        """(id, label, degree) from (id, label) and edges (src, ...) in both directions."""
         degree = edges.groupBy("src").agg(F.count("*").cast("int").alias("degree"))
-        full = vertices.join(degree, vertices.id == degree.src, "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
-        return DataGraph(full, edges)
+        return vertices.join(degree, vertices.id == degree.src, "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
 
     def between(self, src_label: int, dst_label: int, elabel: int | None = None) -> DataFrame:
         """Edges (src, dst) from one label to another, of one edge label if it is given."""

@@ -1,6 +1,6 @@
 """Enumeration engines.  All find the same embeddings (u0, u1, ...); they differ in the joins that they are made of.
 
-Binary joins.  ``explore`` extends by the pivot's index edges and checks the other edges in the data graph; ``gql`` by
+Binary joins.  ``explore`` extends by the pivot's index edges and checks the other edges in the index too; ``gql`` by
 data edges that end in a candidate; ``qsi`` by data edges with label and degree alone; ``vf3`` also looks ahead at neighbour labels, of the data graph and of the
 partial embedding.
 
@@ -155,8 +155,7 @@ def _by_length(index: Index, plan: list[Step]) -> tuple[list[Step], set[int]]:
 
 
 def explore(index: Index, plan: list[Step]) -> DataFrame:
-    c, plan = index.candidates, _economical_steps(index, plan)
-    return _binary(index, plan, index.edges, lambda w, u: c.graph.step(c.query, w, u))
+    return _binary(index, _economical_steps(index, plan), index.edges, index.edges)
 
 
 def explore_count(index: Index, plan: list[Step]) -> DataFrame:
@@ -181,8 +180,8 @@ def explore_count(index: Index, plan: list[Step]) -> DataFrame:
     one, *others = min(found)[1]
     left = [g for g in groups if g[0] != one]
     some = _sub_steps(query, [u for u in order if u not in others], [c for g in left for c in zip(g, g[1:], strict=False)])
-    c, some = index.candidates, _economical_steps(index, some)
-    out = _joined(index, some, index.edges, lambda w, u: c.graph.step(query, w, u))
+    some = _economical_steps(index, some)
+    out = _joined(index, some, index.edges, index.edges)
     images = out.groupBy(*[col(s.u) for s in some if s.u != one]).agg(F.count("*").alias("__c"))
     ways = reduce(lambda a, j: a * (F.col("__c") - j), range(1, len(others) + 1), F.col("__c"))
     times = reduce(lambda a, g: a * factorial(len(g)), left, 1)
@@ -724,5 +723,7 @@ def _parts(batches, depth: int):
 ENUMERATORS: dict[str, Callable[[Index, list[Step]], DataFrame]] = {"lftj": lftj, "explore": explore, "gql": gql, "qsi": qsi, "vf3": vf3, "dpiso": dpiso, "ceci": ceci, "rm": rm}
 COUNTERS: dict[str, Callable[[Index, list[Step]], DataFrame]] = {"kss": kss, "veq": veq}
 ENGINES = {**ENUMERATORS, **COUNTERS}
+#: Those that read the data graph; the others read the index alone.
+READ_GRAPH = ("gql", "qsi", "vf3")
 
 __all__ = ["COUNTERS", "ENGINES", "ENUMERATORS", "Search", "classes", "kernel", "placements", "steps", "twins_at_once"]

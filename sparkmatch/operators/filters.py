@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkmatch.functions import stats as S
 from sparkmatch.model import DataGraph, QueryGraph
 from sparkmatch.plans import tree as T
-from sparkmatch.store import Store, is_scan
+from sparkmatch.store import Store, is_scan, n_scans
 
 #: Hall's condition is checked by one sum for each set of same-label neighbours, up to so many sums; a matching is searched beyond.
 HALL_SETS = 254
@@ -164,16 +164,34 @@ def _matches(need: int):
     return run
 
 
-def narrowed(graph: DataGraph, query: QueryGraph, store: Store) -> DataGraph:
-    """The part of a graph with the query's labels, written once to be read by every step of a filter."""
+def narrowed(graph: DataGraph, query: QueryGraph, store: Store, edge_store: Store | None = None) -> DataGraph:
+    """The part of a graph with the query's labels, written once to be read by every step of a filter.
+
+    Edges are written, to ``edge_store`` if there is one, in one direction; by pairs of labels, if the scans for these read no more than that for all.
+    Degrees that are still to be counted are counted from what was written, and from the edges to other labels.
+    """
     if is_scan(graph.vertices) and is_scan(graph.edges):  # a stored graph: its scans filter by label themselves
         return graph
+    edge_store = edge_store or store
     labels = sorted(set(query.labels))
-    edges = graph.edges.where(F.col("src_label").isin(labels) & F.col("dst_label").isin(labels) & (F.col("src") < F.col("dst")))  # each is stored once
-    vertices = store.put(graph.vertices.where(F.col("label").isin(labels)))
-    one = store.put(edges.sortWithinPartitions("src_label", "dst_label"))
-    back = one.selectExpr("dst as src", "src as dst", "elabel", "dst_label as src_label", "src_label as dst_label")
-    return DataGraph(vertices, one.unionAll(back))
+    inside = graph.edges.where(F.col("src_label").isin(labels) & F.col("dst_label").isin(labels) & (F.col("src") < F.col("dst")))
+    pairs = {}
+    for i, a in enumerate(labels):
+        for b in labels[i:]:
+            e = graph.edges.where((F.col("src_label") == a) & (F.col("dst_label") == b))
+            pairs[a, b] = (e if a < b else e.where("src < dst")).select("src", "dst", "elabel")
+            if not n_scans(pairs[a, b]):
+                del pairs[a, b]
+    if pairs and sum(map(n_scans, pairs.values())) <= n_scans(inside):
+        stored = zip(pairs, edge_store.put_all(list(pairs.values()), "pair"), strict=True)
+        parts = [e.select("src", "dst", "elabel", F.lit(a).alias("src_label"), F.lit(b).alias("dst_label")) for (a, b), e in stored]
+    else:
+        parts = [edge_store.put(inside.sortWithinPartitions("src_label", "dst_label"))]
+    edges = reduce(DataFrame.unionAll, [x for e in parts for x in (e, e.selectExpr("dst as src", "src as dst", "elabel", "dst_label as src_label", "src_label as dst_label"))])
+    if graph.plain is None:
+        return DataGraph(store.put(graph.vertices.where(F.col("label").isin(labels))), edges)
+    beyond = graph.edges.where(F.col("src_label").isin(labels) & ~F.col("dst_label").isin(labels))
+    return DataGraph(store.put(DataGraph.with_degrees(graph.plain.where(F.col("label").isin(labels)), edges.select("src").unionAll(beyond.select("src")))), edges)
 
 
 def _sweep(c: Candidates, order, visit: Callable[[int], None], store: Store) -> None:

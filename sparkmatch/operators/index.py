@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmatch.functions import stats as S
+from sparkmatch.model import DataGraph
 from sparkmatch.operators.filters import Candidates, label_counts
 from sparkmatch.plans.order import Stats
 from sparkmatch.store import Store, is_scan
@@ -35,6 +36,15 @@ class Index:
         q = self.candidates.query
         return reduce(DataFrame.unionAll, (self.edges(u, w).select(F.lit(u).alias("u"), F.lit(w).alias("u2"), F.col("src").alias("v"), F.col("dst").alias("v2")) for a, b in sorted(q.edges) for u, w in ((a, b), (b, a))))
 
+    def graph(self) -> DataGraph:
+        """The part of the data graph that embeddings can use: its vertices and the edges of the index."""
+        c, parts = self.candidates, []
+        for a, b in sorted(c.query.edges):
+            for u, w in ((a, b), (b, a)):
+                label = F.lit(c.query.edge_label(u, w)).cast("int").alias("elabel")
+                parts.append(self.edges(u, w).select("src", "dst", label, F.lit(c.query.labels[u]).alias("src_label"), F.lit(c.query.labels[w]).alias("dst_label")))
+        return DataGraph(c.graph.vertices, reduce(DataFrame.unionAll, parts).distinct() if parts else c.graph.edges)
+
     def cardinalities(self) -> DataFrame:
         """(u, u2, n_edges, max_degree, n_bytes) of each directed query edge; n_bytes at 8 bytes an id."""
         by = self.frame().groupBy("u", "u2", "v").agg(F.count("*").alias("d"))
@@ -92,7 +102,7 @@ class Index:
 def build(c: Candidates, store: Store | None = None) -> Index:
     """One semi-join on either side for each undirected query edge.
 
-    With a ``store`` all are written as one table, a folder for each query edge, to be read several times.
+    With a ``store`` all are written, to be read several times.
     """
     of = {}
     for u, w in sorted(c.query.edges):
@@ -101,7 +111,5 @@ def build(c: Candidates, store: Store | None = None) -> Index:
             e = e.join(c.of[u].select(F.col("v").alias("src")), "src", "left_semi").join(c.of[w].select(F.col("v").alias("dst")), "dst", "left_semi")
         of[u, w] = e.select("src", "dst")
     if store and of:
-        whole = reduce(DataFrame.unionAll, (e.select(F.lit(u).alias("u"), F.lit(w).alias("w"), "src", "dst") for (u, w), e in of.items()))
-        table = store.put(whole, by=("u", "w"))
-        of = {(u, w): table.where((F.col("u") == u) & (F.col("w") == w)).select("src", "dst") for u, w in of}
+        of = dict(zip(of, store.put_all(list(of.values()), "edge"), strict=True))
     return Index(c, of)

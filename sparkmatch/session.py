@@ -139,8 +139,12 @@ def prepare(
         c = filters.label(graph, query)
         index = build(c)
     else:
-        c = filters.make(filter, filters.narrowed(graph, query, store), query, store, root).stored(store)
+        edges = store.inner("edges")
+        c = filters.make(filter, filters.narrowed(graph, query, store, edges), query, store, root).stored(store)
         index = build(c, store)
+        if engine not in engines.READ_GRAPH and edges.paths:  # what is read from now on is the index
+            c.graph = index.graph()
+            edges.clear()
     if isinstance(order, str):
         name, chosen = order, orders.make(order, query, index.stats(paths=order in ("tso", "cfl")) if order != "ri" else orders.Stats({}, {}))
     else:

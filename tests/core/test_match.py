@@ -329,3 +329,23 @@ def test_twins_are_counted_without_enumerating_them(spark, edges, monkeypatch):
     monkeypatch.setitem(engines.ENUMERATORS, "explore", None)  # no embedding is made
     monkeypatch.setattr(engines, "explore", None)
     assert plan.count().first()[0] == want
+
+
+@pytest.mark.parametrize("at_once", [0, 1 << 60])
+def test_a_prepared_plan_reads_each_table_once_and_keeps_no_edges_beside_the_index(spark, sf, monkeypatch, at_once):
+    import os
+
+    from sparkmatch import store as stores
+    from sparkmatch.catalog import HOUSE
+    from sparkmatch.sources import tables
+
+    monkeypatch.setattr(stores, "AT_ONCE", at_once)
+    scans, put = [], Store.put
+    monkeypatch.setattr(Store, "put", lambda self, df, by=(): scans.append(stores.n_scans(df)) or put(self, df, by))
+    g, store = tables.graph(spark, sf, coarse=True), Store(spark, "t")
+    plan = prepare(g, HOUSE, filter="ldf", order=[3, 1, 2, 4, 0], engine="explore", store=store)
+    assert sum(scans[: 6 if at_once == 0 else 1]) == 6  # one for each kind of edge, not one for each direction
+    assert not os.path.exists(f"{store.base.removeprefix('file://')}/edges")
+    assert {r.id: r.degree for r in plan.index.candidates.graph.vertices.collect()} == {r.id: r.degree for r in g.vertices.collect()}
+    want = prepare(g, HOUSE, filter="label", order=[3, 1, 2, 4, 0]).count().first()[0]
+    assert want and plan.count().first()[0] == replace(plan, engine="vf3").count().first()[0] == want
