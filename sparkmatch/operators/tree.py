@@ -94,23 +94,54 @@ class ExecutionTree:
                 out = out.join(e, [col(a), col(b)], "left_semi")
         return out
 
-    def embeddings(self, index: Index, constraints: Sequence[tuple[int, int]] = ()) -> DataFrame:
-        """(u0, u1, ...) as one plan, nothing written between the nodes."""
+    def _reduced(self, index: Index, shared: list[int], rows: DataFrame, store: Store) -> Index:
+        """The index with the edges between shared vertices that the rows of another node hold."""
+        n, edges = (dict(x) for x in index.sizes())
+        of = dict(index.of)
+        for u, w in self.query.edges:
+            if u in shared and w in shared:
+                of[u, w] = store.put(rows.select(F.col(col(u)).alias("src"), F.col(col(w)).alias("dst")).distinct())
+                at = of[u, w].agg(F.count("*"), F.approx_count_distinct("src"), F.approx_count_distinct("dst")).first()
+                edges[u, w], n[u], n[w] = at[0], min(n[u], at[1]), min(n[w], at[2])
+        return Index(index.candidates, of, known=(n, edges))
+
+    def _put(self, at: int, index: Index, done: Sequence[DataFrame], constraints: list[tuple[int, int]], store: Store) -> tuple[DataFrame, int]:
+        """A node's rows, written in slices if they are made of many more, so that what one shuffles is gone before the next; and the number of slices."""
+        node = self.nodes[at]
+        parts = engines.slices(index, list(node.vertices)) if node.kind == "multiway" and len(node.vertices) > 2 else [index]
+        return reduce(DataFrame.unionAll, [store.put(self._rows(at, x, done, constraints)) for x in parts]), len(parts)
+
+    def embeddings(self, index: Index, constraints: Sequence[tuple[int, int]] = (), store: Store | None = None) -> DataFrame:
+        """(u0, u1, ...) as one plan, nothing written between the nodes but for one case.
+
+        Where a pairwise node joins two multiway nodes that share an edge, the second of which makes more rows, the
+        first is written, to ``store`` or one of its own, and the second extends over the images of the edge that it holds.
+        """
         done: list[DataFrame] = []
-        for at in range(len(self.nodes)):
-            done.append(self._rows(at, index, done, list(constraints)))
+        of = {i: n for n in self.nodes for i in n.inputs}
+        large = lambda i: self.nodes[i].kind == "multiway" and len(self.nodes[i].vertices) > 2
+        for at, node in enumerate(self.nodes):
+            some, others = index, [i for i in of[at].inputs if i != at] if at in of else []
+            if others and others[0] < at and large(at) and large(others[0]):
+                other = self.nodes[others[0]].vertices
+                shared = [u for u in node.vertices if u in other]
+                most = lambda x: engines.written(index, engines.economical(index, list(x))[0])
+                if any(set(e) <= set(shared) for e in self.query.edges) and most(other) < most(node.vertices):
+                    store = store or Store(index.candidates.graph.vertices.sparkSession, "tree")
+                    done[others[0]], _ = self._put(others[0], index, done, list(constraints), store)
+                    some = self._reduced(index, shared, done[others[0]], store)
+            done.append(self._rows(at, some, done, list(constraints)))
         return engines._ordered(done[-1], len(self.query))
 
     def execute(self, index: Index, store: Store, constraints: Sequence[tuple[int, int]] = ()) -> tuple[DataFrame, list[tuple[int, str, int, float]]]:
-        """The embeddings, and (node, kind, rows, seconds) of each node; each node's rows are written to ``store``, in slices if they are made of many more, and read again."""
+        """The embeddings, and (node, kind, rows, seconds) of each node; each node's rows are written to ``store`` and read again."""
         done: list[DataFrame] = []
         report, written = [], []
         for at, node in enumerate(self.nodes):
             began = time.perf_counter()
-            parts = engines.slices(index, list(node.vertices)) if node.kind == "multiway" and len(node.vertices) > 2 else [index]
-            # slice by slice, so that what one shuffles is gone before the next
-            done.append(reduce(DataFrame.unionAll, [store.put(self._rows(at, x, done, list(constraints))) for x in parts]))
-            written.append(len(parts))
+            rows, n = self._put(at, index, done, list(constraints), store)
+            done.append(rows)
+            written.append(n)
             report.append((at, node.kind, done[-1].count(), time.perf_counter() - began))
             for i in node.inputs:
                 if written[i] == 1:  # slices stay until the store is cleared

@@ -2,7 +2,7 @@ from dataclasses import replace
 
 import pytest
 
-from sparkmatch.model import DataGraph
+from sparkmatch.model import DataGraph, QueryGraph
 from sparkmatch.operators import engines, filters
 from sparkmatch.operators.steps import steps
 from sparkmatch.plans import symmetry
@@ -318,8 +318,6 @@ def test_labelled_and_reified_squares_do_not_pair_within_a_nation(spark, trade):
 
 @pytest.mark.parametrize("edges", [[(0, 1), (1, 2), (2, 3), (3, 0)], [(0, 1), (1, 2), (2, 3), (3, 0), (0, 4), (2, 4)]])
 def test_twins_are_counted_without_enumerating_them(spark, edges, monkeypatch):
-    from sparkmatch.model import QueryGraph
-
     labels = [3] * 6 + [4] * 40
     q = QueryGraph.of([3, 4, 3, 4, 4][: max(map(max, edges)) + 1], edges)
     data = {(p, o): None for o in range(6, 46) for p in {o % 6, o * o % 5, o // 7 % 6}}
@@ -349,3 +347,15 @@ def test_a_prepared_plan_reads_each_table_once_and_keeps_no_edges_beside_the_ind
     assert {r.id: r.degree for r in plan.index.candidates.graph.vertices.collect()} == {r.id: r.degree for r in g.vertices.collect()}
     want = prepare(g, HOUSE, filter="label", order=[3, 1, 2, 4, 0]).count().first()[0]
     assert want and plan.count().first()[0] == replace(plan, engine="vf3").count().first()[0] == want
+
+
+def test_second_multiway_node_extends_over_the_edges_of_the_first(spark, trade, monkeypatch):
+    from sparkmatch.catalog import HOUSE, HOUSE_TREE
+
+    g, labels, edges = trade
+    plan, sizes, multiway = prepare(g, HOUSE, filter="label", order=[3, 1, 2, 4, 0], store=Store(spark, "t")), [], engines.multiway
+    monkeypatch.setattr(engines, "written", lambda index, order: len(set(order) & {2}))  # the triangle makes more rows
+    monkeypatch.setattr(engines, "multiway", lambda index, steps: sizes.append(index.sizes()[1][1, 3]) or multiway(index, steps))
+    found = sorted(map(tuple, HOUSE_TREE.embeddings(plan.index).collect()))
+    assert found == embeddings(labels, edges, HOUSE) != []
+    assert sizes[-1] == len({(e[1], e[3]) for e in embeddings(labels, edges, QueryGraph.of([0, 1, 2, 4], [(0, 1), (1, 3), (3, 2), (2, 0)]))}) < sizes[0]
