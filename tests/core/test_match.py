@@ -359,3 +359,15 @@ def test_second_multiway_node_extends_over_the_edges_of_the_first(spark, trade,
     found = sorted(map(tuple, HOUSE_TREE.embeddings(plan.index).collect()))
     assert found == embeddings(labels, edges, HOUSE) != []
     assert sizes[-1] == len({(e[1], e[3]) for e in embeddings(labels, edges, QueryGraph.of([0, 1, 2, 4], [(0, 1), (1, 3), (3, 2), (2, 0)]))}) < sizes[0]
+
+
+@pytest.mark.parametrize("order", ["rm", "tso"])
+def test_named_orders_search_without_stored_edges(spark, sf, order):
+    import os
+
+    from sparkmatch.catalog import HOUSE
+    from sparkmatch.sources import tables
+
+    store = Store(spark, "t")
+    plan = prepare(tables.graph(spark, sf, coarse=True), HOUSE, filter="ldf", order=order, engine="explore", store=store)
+    assert not os.path.exists(f"{store.base.removeprefix('file://')}/edges") and plan.order_name == order and plan.count().first()[0] > 0
