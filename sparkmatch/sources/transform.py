@@ -28,15 +28,21 @@ def reify(graph: DataGraph, offset: int, edge_ids: int, store: Store | None = No
     ``store``, or to one of their own, so that all reads see the same.
     """
     store = store or Store(graph.vertices.sparkSession, "reified")
-    one = graph.edges.where("src < dst").withColumn("eid", F.monotonically_increasing_id() + F.lit(edge_ids))
-    return _reify(graph, store.put(one), offset)
-
-
-def _reify(graph: DataGraph, one, offset: int) -> DataGraph:
-    label = F.coalesce("elabel", F.lit(0)) + F.lit(offset)
-    vertices = graph.vertices.select("id", "label").unionAll(one.select(F.col("eid").alias("id"), label.alias("label")))
-    edges = one.select(F.explode(F.array(F.struct("src", F.col("eid").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("eid").alias("dst")))).alias("e")).select("e.*")
-    return DataGraph.of(vertices, edges)
+    vertices = graph.vertices if graph.plain is None else graph.plain  # degrees are counted anew
+    there = (F.col("src_label") < F.col("dst_label")) | ((F.col("src_label") == F.col("dst_label")) & (F.col("src") < F.col("dst")))
+    one = graph.edges.where(there)
+    for end in ("src", "dst"):
+        one = one.join(vertices.select(F.col("id").alias(end)), end, "left_semi")
+    label = (F.coalesce("elabel", F.lit(0)) + F.lit(offset)).cast("int").alias("label")
+    one = one.select("src", "dst", "src_label", "dst_label", label, (F.monotonically_increasing_id() + F.lit(edge_ids)).alias("eid"))
+    return _reify(vertices, store.put(one))
+
+
+def _reify(vertices, one) -> DataGraph:
+    """The labels of both ends are those of the edge, so that a scan for one pair reads the edges of one label alone."""
+    full = vertices.selectExpr("cast(id as long) as id", "cast(label as int) as label").unionAll(one.selectExpr("eid as id", "label"))
+    ends = [one.selectExpr(f"{end} as a", "eid as b", "cast(null as int) as elabel", f"{end}_label as la", "label as lb") for end in ("src", "dst")]
+    return DataGraph.symmetric(full, ends[0].unionAll(ends[1]))
 
 
 def ring(spark: SparkSession, n: int) -> DataGraph:

@@ -64,6 +64,21 @@ def test_reified_graphs(spark):
     assert {r.dst for r in made.edges.collect()} <= ids and len(ids) == 5
 
 
+def test_reified_edges_are_scans(spark):
+    from sparkmatch.model import DataGraph
+    from sparkmatch.store import is_scan
+
+    vertices = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "id long, label int")
+    one = spark.createDataFrame([(1, 0, 2, 0, 0), (2, 1, 5, 1, 0), (2, 9, 5, 1, 0)], "a long, b long, elabel int, la int, lb int")
+    made = transform.reify(DataGraph.symmetric(vertices, one), 10, 1000)  # there is no vertex 9
+    assert is_scan(made.edges) and is_scan(made.between(0, 15))
+    near = {}
+    for r in made.edges.where("src < 1000").collect():
+        near.setdefault((r.dst_label, r.dst), set()).add((r.src, r.src_label, r.elabel))
+    assert {label: ends for (label, _), ends in near.items()} == {12: {(0, 0, None), (1, 0, None)}, 15: {(1, 0, None), (2, 1, None)}}
+    assert made.validate() == [] and {(r.id, r.label): r.degree for r in made.vertices.collect() if r.id < 1000} == {(0, 0): 1, (1, 0): 2, (2, 1): 1}
+
+
 def test_toys_as_queries_and_as_data(spark):
     sizes = {"ring 5": (5, 5), "ring 4 of 0 1": (4, 4), "chord 4": (4, 5), "clique 4": (4, 6), "petersen": (10, 15)}
     for name, (n, m) in sizes.items():
