@@ -168,14 +168,12 @@ def explore_count(index: Index, plan: list[Step]) -> DataFrame:
     """
     query, total = index.candidates.query, [F.count("*").alias("n_embeddings")]
     order = [s.u for s in plan]
-    if any(s.less for s in plan) or len(order) == 1 or written(index, economical(index, order)[0]) <= sum(index.sizes()[1].values()):
-        return explore(index, plan).agg(*total)
     groups = [sorted(g, key=order.index) for g in twins(query) if len(g) > 1]
-    found = []
-    for g in groups:
-        if sum(x == query.labels[g[0]] for x in query.labels) == len(g):
-            found.append((written(index, [u for u in order if u not in g[1:]]), g))
-    if not found or min(found)[0] >= written(index, economical(index, order)[0]):
+    alone = [g for g in groups if sum(x == query.labels[g[0]] for x in query.labels) == len(g)]
+    if any(s.less for s in plan) or not alone or (most := written(index, economical(index, order)[0])) <= sum(index.sizes()[1].values()):
+        return explore(index, plan).agg(*total)
+    found = [(written(index, [u for u in order if u not in g[1:]]), g) for g in alone]
+    if min(found)[0] >= most:
         return explore(index, plan).agg(*total)
     one, *others = min(found)[1]
     left = [g for g in groups if g[0] != one]
