@@ -131,6 +131,8 @@ class DataGraph:
     edges: DataFrame
     #: (id, label), if the degrees of ``vertices`` are still to be counted from ``edges``.
     plain: DataFrame | None = None
+    #: The tables that ``edges`` is made of, if each holds a pair of labels, the lesser first.
+    pairs: dict[tuple[int, int], DataFrame] | None = field(default=None, compare=False)
 
     @staticmethod
     def of(vertices: DataFrame, edges: DataFrame) -> DataGraph:
@@ -157,7 +159,11 @@ class DataGraph:
     @staticmethod
     def with_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         """(id, label, degree) from (id, label) and edges (src, ...) in both directions."""
-        degree = edges.groupBy("src").agg(F.count("*").cast("int").alias("degree"))
+        return DataGraph.with_counts(vertices, edges.groupBy("src").agg(F.count("*").cast("int").alias("degree")))
+
+    @staticmethod
+    def with_counts(vertices: DataFrame, degree: DataFrame) -> DataFrame:
+        """(id, label, degree) from (id, label) and (src, degree) of the vertices that have edges."""
         return vertices.join(degree, vertices.id == degree.src, "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
 
     def between(self, src_label: int, dst_label: int, elabel: int | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from sparkmatch.operators import filters
 from sparkmatch.operators.index import Index
 from sparkmatch.operators.steps import Step, col, steps
 from sparkmatch.plans.tree import twins
-from sparkmatch.store import Store
+from sparkmatch.store import Store, is_scan, large
 
 #: Index edges within reach that ``dpiso`` searches in one piece.
 LOCAL_EDGES = 100_000
@@ -158,8 +158,39 @@ def explore(index: Index, plan: list[Step]) -> DataFrame:
     return _binary(index, _economical_steps(index, plan), index.edges, index.edges)
 
 
-def explore_count(index: Index, plan: list[Step]) -> DataFrame:
-    """(n_embeddings), one row, of ``explore``.
+def narrows(index: Index, order: list[int]) -> int:
+    """Vertices up to the step whose tests leave fewest of the rows written so far, a CLEAR-th at most; 0 if there is none before the last."""
+    query, (n, edges) = index.candidates.query, index.sizes()
+    rows, most, found = float(n[order[0]]), 0.0, (1 / CLEAR, 0)
+    for i, u in enumerate(order[1:-1], 1):
+        lists = sorted(edges[min(u, w), max(u, w)] / max(1, n[w]) for w in query.adjacent[u] if w in order[:i])
+        rows *= lists[0]
+        most = max(most, rows)
+        for x in lists[1:]:
+            rows *= min(1.0, x / max(1, n[u]))
+        found = min(found, (rows / max(1.0, most), i + 1))
+    return found[1]
+
+
+def _explored(index: Index, plan: list[Step], store: Store | None) -> DataFrame:
+    """As ``explore``.
+
+    Over a large stored index, the few rows that a step leaves of many are written, in slices of the root if there are
+    very many, so that what was shuffled for them is gone before the rest of the search.
+    """
+    plan, parts = _economical_steps(index, plan), list(index.of.values())
+    k = narrows(index, [s.u for s in plan]) if store and parts and all(map(is_scan, parts)) and large(parts) else 0
+    if not k:
+        return _binary(index, plan, index.edges, index.edges)
+    some = slices(index, [s.u for s in plan[:k]])
+    out = reduce(DataFrame.unionAll, [store.put(_joined(x, plan[:k], x.edges, x.edges)) for x in some])
+    for step in plan[k:]:
+        out = _extend(out, step, index.edges(step.near[0], step.u), lambda w, u=step.u: index.edges(w, u))
+    return _ordered(out, len(plan))
+
+
+def explore_count(index: Index, plan: list[Step], store: Store | None = None) -> DataFrame:
+    """(n_embeddings), one row, of ``explore``; ``store`` is for what it may write on the way.
 
     If even the economical order has a step that writes more rows than the index has edges, and the query has twins
     that share their label with no other vertex, one of them is enumerated for all: the c images that it has beside the
@@ -171,10 +202,10 @@ def explore_count(index: Index, plan: list[Step]) -> DataFrame:
     groups = [sorted(g, key=order.index) for g in twins(query) if len(g) > 1]
     alone = [g for g in groups if sum(x == query.labels[g[0]] for x in query.labels) == len(g)]
     if any(s.less for s in plan) or not alone or (most := written(index, economical(index, order)[0])) <= sum(index.sizes()[1].values()):
-        return explore(index, plan).agg(*total)
+        return _explored(index, plan, store).agg(*total)
     found = [(written(index, [u for u in order if u not in g[1:]]), g) for g in alone]
     if min(found)[0] >= most:
-        return explore(index, plan).agg(*total)
+        return _explored(index, plan, store).agg(*total)
     one, *others = min(found)[1]
     left = [g for g in groups if g[0] != one]
     some = _sub_steps(query, [u for u in order if u not in others], [c for g in left for c in zip(g, g[1:], strict=False)])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkmatch.functions import stats as S
 from sparkmatch.model import DataGraph, QueryGraph
 from sparkmatch.plans import tree as T
-from sparkmatch.store import Store, is_scan, n_scans
+from sparkmatch.store import Store, is_scan, large, n_scans
 
 #: Hall's condition is checked by one sum for each set of same-label neighbours, up to so many sums; a matching is searched beyond.
 HALL_SETS = 254
@@ -168,7 +168,7 @@ def narrowed(graph: DataGraph, query: QueryGraph, store: Store, edge_store: Stor
     """The part of a graph with the query's labels, written once to be read by every step of a filter.
 
     Edges are written, to ``edge_store`` if there is one, in one direction; by pairs of labels, if the scans for these read no more than that for all.
-    Degrees that are still to be counted are counted from what was written, and from the edges to other labels.
+    Degrees that are still to be counted are counted from what was written, of large pairs one after the other, and from the edges to other labels.
     """
     if is_scan(graph.vertices) and is_scan(graph.edges):  # a stored graph: its scans filter by label themselves
         return graph
@@ -182,16 +182,25 @@ def narrowed(graph: DataGraph, query: QueryGraph, store: Store, edge_store: Stor
             pairs[a, b] = (e if a < b else e.where("src < dst")).select("src", "dst", "elabel")
             if not n_scans(pairs[a, b]):
                 del pairs[a, b]
+    stored = None
     if pairs and sum(map(n_scans, pairs.values())) <= n_scans(inside):
-        stored = zip(pairs, edge_store.put_all(list(pairs.values()), "pair"), strict=True)
-        parts = [e.select("src", "dst", "elabel", F.lit(a).alias("src_label"), F.lit(b).alias("dst_label")) for (a, b), e in stored]
+        stored = dict(zip(pairs, edge_store.put_all(list(pairs.values()), "pair"), strict=True))
+        parts = [e.select("src", "dst", "elabel", F.lit(a).alias("src_label"), F.lit(b).alias("dst_label")) for (a, b), e in stored.items()]
     else:
         parts = [edge_store.put(inside.sortWithinPartitions("src_label", "dst_label"))]
     edges = reduce(DataFrame.unionAll, [x for e in parts for x in (e, e.selectExpr("dst as src", "src as dst", "elabel", "dst_label as src_label", "src_label as dst_label"))])
     if graph.plain is None:
-        return DataGraph(store.put(graph.vertices.where(F.col("label").isin(labels))), edges)
-    beyond = graph.edges.where(F.col("src_label").isin(labels) & ~F.col("dst_label").isin(labels))
-    return DataGraph(store.put(DataGraph.with_degrees(graph.plain.where(F.col("label").isin(labels)), edges.select("src").unionAll(beyond.select("src")))), edges)
+        return DataGraph(store.put(graph.vertices.where(F.col("label").isin(labels))), edges, pairs=stored)
+    plain, ends = graph.plain.where(F.col("label").isin(labels)), [e.select("src").unionAll(e.select("dst")) for e in parts]
+    beyond = graph.edges.where(F.col("src_label").isin(labels) & ~F.col("dst_label").isin(labels)).select("src")
+    ends = [*ends, beyond] if n_scans(beyond) else [*ends[:-1], ends[-1].unionAll(beyond)]
+    if not large(ends):
+        return DataGraph(store.put(DataGraph.with_degrees(plain, reduce(DataFrame.unionAll, ends))), edges, pairs=stored)
+    counts = store.inner("degrees")
+    by = [counts.put(e.groupBy("src").agg(F.count("*").alias("n"))) for e in ends]
+    vertices = store.put(DataGraph.with_counts(plain, reduce(DataFrame.unionAll, by).groupBy("src").agg(F.sum("n").cast("int").alias("degree"))))
+    counts.clear()
+    return DataGraph(vertices, edges, pairs=stored)
 
 
 def _sweep(c: Candidates, order, visit: Callable[[int], None], store: Store) -> None:

@@ -99,10 +99,11 @@ class Index:
         return ways.agg(F.sum("ways")).first()[0] or 0.0
 
 
-def build(c: Candidates, store: Store | None = None) -> Index:
+def build(c: Candidates, store: Store | None = None, spent: Store | None = None) -> Index:
     """One semi-join on either side for each undirected query edge.
 
-    With a ``store`` all are written, to be read several times.
+    With a ``store`` all are written, to be read several times.  ``spent`` is the store of the graph's edges, if nothing
+    else is to read them: of large ones, each pair of labels is dropped when the last query edge over it is written.
     """
     of = {}
     for u, w in sorted(c.query.edges):
@@ -111,5 +112,11 @@ def build(c: Candidates, store: Store | None = None) -> Index:
             e = e.join(c.of[u].select(F.col("v").alias("src")), "src", "left_semi").join(c.of[w].select(F.col("v").alias("dst")), "dst", "left_semi")
         of[u, w] = e.select("src", "dst")
     if store and of:
-        of = dict(zip(of, store.put_all(list(of.values()), "edge"), strict=True))
+        over = [tuple(sorted(c.query.labels[u] for u in e)) for e in of]
+
+        def after(i: int) -> None:
+            if spent and over[i] not in over[i + 1 :] and spent.holds(edges := (c.graph.pairs or {}).get(over[i])):
+                spent.drop(edges)
+
+        of = dict(zip(of, store.put_all(list(of.values()), "edge", after), strict=True))
     return Index(c, of)

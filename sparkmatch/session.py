@@ -53,7 +53,7 @@ class Plan:
         if self.engine in engines.COUNTERS:
             return engines.COUNTERS[self.engine](self.index, self.steps)
         if self.engine == "explore":
-            return engines.explore_count(self.index, self.steps)
+            return engines.explore_count(self.index, self.steps, self.store)
         return self.embeddings().agg(F.count("*").alias("n_embeddings"))
 
     def _shares(self):
@@ -141,8 +141,9 @@ def prepare(
     else:
         edges = store.inner("edges")
         c = filters.make(filter, filters.narrowed(graph, query, store, edges), query, store, root).stored(store)
-        index = build(c, store)
-        if engine not in engines.READ_GRAPH and edges.paths:  # what is read from now on is the index
+        spent = engine not in engines.READ_GRAPH and bool(edges.paths)  # what is read from now on is the index
+        index = build(c, store, edges if spent else None)
+        if spent:
             c.graph = index.graph()
             edges.clear()
     if isinstance(order, str):

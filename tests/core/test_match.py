@@ -371,3 +371,38 @@ def test_named_orders_search_without_stored_edges(spark, sf, order):
     store = Store(spark, "t")
     plan = prepare(tables.graph(spark, sf, coarse=True), HOUSE, filter="ldf", order=order, engine="explore", store=store)
     assert not os.path.exists(f"{store.base.removeprefix('file://')}/edges") and plan.order_name == order and plan.count().first()[0] > 0
+
+
+def test_a_large_index_is_searched_in_stages_and_its_edges_go_pair_by_pair(spark, sf, monkeypatch):
+    from sparkmatch import store as stores
+    from sparkmatch.catalog import HOUSE
+    from sparkmatch.sources import tables
+
+    g = tables.graph(spark, sf, coarse=True)
+    want = prepare(g, HOUSE, filter="label", order=[3, 1, 2, 4, 0]).count().first()[0]
+    monkeypatch.setattr(stores, "AT_ONCE", 0)
+    put, drop, log = Store.put, Store.drop, []
+    monkeypatch.setattr(Store, "put", lambda self, df, by=(): log.append(("put", df.columns)) or put(self, df, by))
+    monkeypatch.setattr(Store, "drop", lambda self, df: log.append(("drop", df.columns)) or drop(self, df))
+    plan = prepare(g, HOUSE, filter="ldf", order="rm", engine="explore", store=Store(spark, "t"))
+    assert [x for x, c in log if c[:2] == ["src", "dst"]] == ["put"] * 6 + ["put", "drop"] * 6
+    assert [c for x, c in log if "n" in c] == [["src", "n"]] * 6  # degrees, from one pair of labels at a time
+    assert {r.id: r.degree for r in plan.index.candidates.graph.vertices.collect()} == {r.id: r.degree for r in g.vertices.collect()}
+    log.clear()
+    monkeypatch.setattr(engines, "narrows", lambda index, order: 4)
+    monkeypatch.setattr(engines, "SLICE", 64)
+    assert want and plan.count().first()[0] == want
+    assert len(log) > 1 and all(x == "put" and len(c) == 4 for x, c in log)  # slices of the root, before the last vertex
+
+
+def test_stages_follow_what_a_step_leaves():
+    from types import SimpleNamespace
+
+    from sparkmatch.catalog import HOUSE
+
+    n = {0: 25, 1: 60_000, 2: 1_200_000, 3: 9_000_000, 4: 900_000}
+    edges = {(0, 1): 60_000, (1, 2): 36_000_000, (2, 3): 36_000_000, (3, 4): 9_000_000, (0, 4): 900_000, (1, 3): 36_000_000}
+    index = SimpleNamespace(candidates=SimpleNamespace(query=HOUSE), sizes=lambda: (n, edges))
+    assert engines.narrows(index, [1, 3, 4, 0, 2]) == 4  # one in 25 of 36 million rows is left
+    assert engines.narrows(index, [3, 1, 2, 4, 0]) == 3  # few parts of an order are its supplier's; the last step needs no stage
+    assert engines.narrows(index, [4, 3, 1]) == 0
